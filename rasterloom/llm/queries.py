@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.llm import oracles
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,9 +31,16 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best of all other vectors for every vector whose id is divisible by 100."""
+    from rasterloom.llm.topk import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_shard": op7_shard}
+    return {f.__name__: f for f in (op3_top_k, op7_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_top_k": oracles.TOP_K}

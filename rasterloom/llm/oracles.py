@@ -14,3 +14,22 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+#: Base 32 of a SHA-1: 32 groups of 5 bits, each from two neighbouring hex digits.
+WARC = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) || '0' AS hex FROM pages),
+d AS (
+  SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+         list_aggregate(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             CAST(((((position(substr(hex, CAST(5 * i // 4 + 1 AS BIGINT), 1) IN '0123456789abcdef') - 1) * 16
+               + position(substr(hex, CAST(5 * i // 4 + 2 AS BIGINT), 1) IN '0123456789abcdef') - 1)
+               >> CAST(3 - (5 * i) % 4 AS BIGINT)) & 31) + 1 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+  FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""

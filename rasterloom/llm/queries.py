@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back."""
+    from rasterloom.llm.warc import archive_round_trip
+
+    records = archive_round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards under the law ``rows``."""
     from rasterloom.llm.sharding import shuffle_into_shards
@@ -39,8 +47,8 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_top_k, op7_shard)}
+    return {f.__name__: f for f in (op3_top_k, op4_warc, op7_shard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": oracles.TOP_K}
+    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC}

@@ -46,9 +46,18 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10-word windows of all benchmark items in all documents."""
+    from rasterloom.llm.decontaminate import decontaminate
+
+    found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
+    items = F.array_sort("items")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_top_k, op4_warc, op7_shard)}
+    return {f.__name__: f for f in (op3_top_k, op4_warc, op7_shard, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC}
+    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC, "op9_decontaminate": oracles.DECONTAMINATE}

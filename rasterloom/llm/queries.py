@@ -22,6 +22,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all whole texts."""
+    from rasterloom.llm.sentencepiece_codec import MODEL, read_model
+    from rasterloom.llm.token_count import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL)).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards under the law ``rows``."""
     from rasterloom.llm.sharding import shuffle_into_shards
@@ -39,6 +47,14 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all whole texts, and whether decoding gives the text again."""
+    from rasterloom.llm.sentencepiece_codec import MODEL, encode, read_model
+
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL), decoded=True)
+    return coded.select("doc_id", F.coalesce(F.array_size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all other vectors for every vector whose id is divisible by 100."""
     from rasterloom.llm.topk import exact_top_k
@@ -56,7 +72,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_top_k, op4_warc, op7_shard, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_top_k, op4_warc, op5_token_count, op7_shard, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

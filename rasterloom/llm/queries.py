@@ -55,6 +55,15 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.coalesce(F.array_size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all whole texts, learned from those that aren't held out."""
+    from rasterloom.llm.langid import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    langs, model = fit(docs.where(~held_out()).select("lang", "text"))
+    return identify(docs.select("doc_id", "text"), langs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "langs")
+
+
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 best of all other vectors for every vector whose id is divisible by 100."""
     from rasterloom.llm.topk import exact_top_k
@@ -62,6 +71,17 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of all whole texts, learned from labels of those that aren't held out."""
+    from rasterloom.llm.common import stage
+    from rasterloom.llm.langid import held_out
+    from rasterloom.llm.quality import score_statistics, train, with_statistics
+
+    stats = stage(with_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "stats")
+    forest = train(stats.where(~held_out()), table(spark, sf_dir, "labels"))
+    return score_statistics(stats, forest).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10-word windows of all benchmark items in all documents."""
     from rasterloom.llm.decontaminate import decontaminate
@@ -72,7 +92,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_top_k, op4_warc, op5_token_count, op7_shard, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_langid, op3_top_k, op4_warc, op5_token_count, op7_shard, op8_quality, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -30,7 +30,7 @@ from urllib.parse import urlsplit
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import bounded_batches, fresh_path, stage
@@ -104,7 +104,7 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
     rows = rows.withColumn("sha1", F.sha1("payload"))
     # hot payloads: counted before the shuffle, and their side of the join can be split by AQE
     first = rows.groupBy("sha1").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = rows.join(first, "sha1", "left").select("id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    marked = rows.join(first.hint("merge"), "sha1", "left").select("id", "url", "payload", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
     name = path.rstrip("/").rpartition("/")[2]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +223,8 @@ def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     while at < len(data):
         z = zlib.decompressobj(31)
         raw = z.decompress(memoryview(data)[at:])
+        if not z.eof:
+            return
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -233,11 +235,10 @@ def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         at = len(data) - len(z.unused_data)
 
 
-def read_archives(spark, path: str, entries: DataFrame) -> DataFrame:
-    """Records of the committed archives below path, one row for each."""
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """Records of all archives below path, one row for each; a file that a lost task left short ends at its last whole record."""
     bounded_batches(spark)
     whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    whole = whole.join(entries.select("file").distinct(), "file", "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,11 +258,16 @@ def read_archives(spark, path: str, entries: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(captures: DataFrame, path: str | None = None, **cols: str) -> DataFrame:
-    """Write captures, merge their index and read all back: the records with their place in the capture history."""
+    """Write captures, merge their index and read all back: the records with their place in the capture history.
+
+    The index decides which records count; one that it names but no archive holds is an error.
+    """
     spark = captures.sparkSession
     path = path or fresh_path(spark, "warc")
     runs = write_archives(captures, path, **cols)
     if runs.isEmpty():
         return spark.createDataFrame([], RECORD + ", urlkey string, seq_range int, seq long")
     index = merge_runs(runs).select("file", "offset", "urlkey", "seq_range", "seq")
-    return read_archives(spark, path, runs).join(index, ["file", "offset"])
+    there = read_archives(spark, path).withColumn("there", F.lit(True))
+    found = index.join(there, ["file", "offset"], "left").where(F.coalesce("there", F.raise_error(F.concat(F.lit("no record in "), "file")).cast("boolean")))
+    return found.drop("there")

@@ -30,6 +30,13 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL)).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
+    from rasterloom.llm.jaccard import components
+
+    return components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=5, num=75, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards under the law ``rows``."""
     from rasterloom.llm.sharding import shuffle_into_shards
@@ -92,8 +99,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_langid, op3_top_k, op4_warc, op5_token_count, op7_shard, op8_quality, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_langid, op3_top_k, op4_warc, op5_token_count, op6_jaccard, op7_shard, op8_quality, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC, "op9_decontaminate": oracles.DECONTAMINATE}
+    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC, "op6_jaccard": oracles.JACCARD, "op9_decontaminate": oracles.DECONTAMINATE}

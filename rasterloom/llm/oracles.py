@@ -76,3 +76,24 @@ reach AS (
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.root AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
+
+#: Bytes as pairs of hex digits; every 50-byte window of every document.
+SUFFIX_DEDUP = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (
+  SELECT doc_id, k, md5(substr(h, 2 * k + 1, 100)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT))) AS k FROM d WHERE length(h) >= 100)),
+low AS (SELECT w, min(doc_id) AS first_doc FROM win GROUP BY w),
+hit AS (SELECT win.doc_id, k FROM win JOIN low USING (w) WHERE first_doc < win.doc_id),
+runs AS (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run
+  FROM (SELECT doc_id, k, CASE WHEN k <= lag(k) OVER (PARTITION BY doc_id ORDER BY k) + 50 THEN 0 ELSE 1 END AS fresh FROM hit)),
+spans AS (SELECT doc_id, min(k) AS b, max(k) + 50 AS e FROM runs GROUP BY doc_id, run),
+of_doc AS (SELECT doc_id, count(*) AS n_spans, sum(e - b) AS n_removed, list(e ORDER BY b) AS ends, list(b ORDER BY b) AS begins FROM spans GROUP BY doc_id),
+joined AS (
+  SELECT d.doc_id, h, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed,
+         list_prepend(0, coalesce(ends, [])) AS f, list_append(coalesce(begins, []), CAST(length(h) // 2 AS BIGINT)) AS t
+  FROM d LEFT JOIN of_doc USING (doc_id))
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(list_zip(f, t), lambda p: substr(h, 2 * p[1] + 1, 2 * (p[2] - p[1]))), ''))) AS kept_sha256
+FROM joined
+"""

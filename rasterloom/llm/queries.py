@@ -98,9 +98,17 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without bytes in 50-byte strings that also start in a document with a smaller id."""
+    from rasterloom.llm.suffix_dedup import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50, kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_langid, op3_top_k, op4_warc, op5_token_count, op6_jaccard, op7_shard, op8_quality, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_langid, op3_top_k, op4_warc, op5_token_count, op6_jaccard, op7_shard, op8_quality, op9_decontaminate, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC, "op6_jaccard": oracles.JACCARD, "op9_decontaminate": oracles.DECONTAMINATE}
+    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC, "op6_jaccard": oracles.JACCARD, "op10_suffix_dedup": oracles.SUFFIX_DEDUP, "op9_decontaminate": oracles.DECONTAMINATE}

@@ -18,7 +18,6 @@ for itself. Result columns replace input columns of the same name.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -291,5 +290,9 @@ def annotate(docs: DataFrame, items: list[tuple[str, str]], window: int = 10, te
     return docs.mapInArrow(mark, schema)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents without any hit, with their own columns; one pass over the texts for each block of items."""
+    columns = docs.columns
+    for block in item_blocks(items, item_id, item_text):
+        docs = annotate(docs, block, window, text_col).where(~F.col("contaminated")).select(*columns)
+    return docs

@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from rasterloom.llm.common import chunks, input_bytes, mix64, stage, text_bytes
 from rasterloom.llm.graph import connected_components
@@ -291,8 +293,47 @@ def class_links(classes: DataFrame, num: int, den: int, hot: int = HOT, members:
     return links
 
 
+def _keyed(docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """docs with the key of their shingle set."""
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(at))
+            for i, j in chunks(np.diff(offsets), CHUNK):
+                tokens, o = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, _fixed(set_keys(tokens, o))], schema.fieldNames())
+
+    return docs.mapInArrow(run, schema)
+
+
+def representatives(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with the smallest id of each component; all columns stay.
+
+    Documents without shingles all stay. Of several rows with that id (or, in a component without ids, of all rows)
+    the first in the order of their set keys and texts stays.
+    """
+    found = stage(components(docs, size, num, den, id_col, text_col), "components")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least"))
+    # an id of one row decides by itself; others need their keys as well
+    alone = ids.where("n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"))
+    shared = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
+    one = docs.join(alone, docs[id_col].cast("long") == F.col("__id"), "left_semi")
+    if shared.isEmpty():
+        return one
+    one = one.join(shared, one[id_col].cast("long") == F.col("__id"), "left_anti")
+    several = _keyed(docs.join(shared, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi"), size, text_col)
+    roots = first.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "n_shingles", F.col("root").alias("__root")).distinct()
+    several = several.join(roots, several[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
+    rank = F.row_number().over(W.partitionBy("__root", "__id").orderBy("__key", text_col))
+    several = several.withColumn("__rank", rank).where("n_shingles = 0 OR __rank = 1").select(*docs.columns)
+    return one.unionByName(several)
+
+
 def components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, key, component_id) of every document; key is equal for equal sets."""
+    """(doc_id, n_shingles, key, root, component_id) of every document; key is equal for equal sets, root for equal components."""
     bits = range_bits(input_bytes(docs.select(text_col)))
     every = stage(frequent_enough(docs, size, num, den, bits, id_col, text_col), "sets")
     # one row for each set: copies are folded before the shuffle
@@ -303,7 +344,7 @@ def components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id
     member = held.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     member = stage(member, "members")
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_key = member.join(least, "root").select("key", "component_id")
-    alone = every.where(F.col("tokens").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key", F.col("doc_id").alias("component_id"))
-    linked = every.where(F.col("tokens").isNotNull()).select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key.hint("merge"), "key").select("doc_id", "n_shingles", "key", "component_id")
+    by_key = member.join(least, "root").select("key", "root", "component_id")
+    alone = every.where(F.col("tokens").isNull()).select("doc_id", F.col("n").alias("n_shingles"), "key", F.col("key").alias("root"), F.col("doc_id").alias("component_id"))
+    linked = every.where(F.col("tokens").isNotNull()).select("doc_id", F.col("n").alias("n_shingles"), "key").join(by_key.hint("merge"), "key").select("doc_id", "n_shingles", "key", "root", "component_id")
     return alone.unionByName(linked)

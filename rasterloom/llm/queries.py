@@ -102,7 +102,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without bytes in 50-byte strings that also start in a document with a smaller id."""
     from rasterloom.llm.suffix_dedup import remove_repeats
 
-    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50, kept=False)
+    found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50, kept=None)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 

@@ -173,19 +173,20 @@ def _open_head(data: bytes) -> tuple[pa.RecordBatch, bytes]:
     return pa.ipc.open_stream(data[8 + n :]).read_next_batch(), data[8 : 8 + n]
 
 
-ADDED = (T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()))
+ADDED = (T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept: bool = True, bits: int | None = None) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, spans ([first, end) bytes), kept_sha256 and (if asked) the kept bytes.
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept: str | None = "bytes", bits: int | None = None) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, spans ([first, end) bytes) and kept_sha256, and with what is left.
 
-    The text column is dropped.
+    kept: "bytes" adds kept (binary), "text" adds kept_text (null for a null text; characters that a removal cut in two are
+    left out), None neither. The text column is dropped.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     spark = docs.sparkSession
     bounded_batches(spark)
-    added = [f for f in ADDED if kept or f.name != "kept"]
+    added = [*ADDED[:5], *({"bytes": ADDED[5:6], "text": ADDED[6:7]}.get(kept, ()))]
     docs = docs.select(*[c for c in docs.columns if c == text_col or c == id_col or c not in {f.name for f in ADDED}])
     id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != text_col), *added])
@@ -347,8 +348,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             texts = [left[i:j] for i, j in zip(kept_at[:-1], kept_at[1:])]
             size = np.diff(offsets)
             cols = [pa.array(size), pa.array(size - np.diff(kept_at)), pa.array(np.diff(span_at).astype(np.int64)), pa.ListArray.from_arrays(pa.array(span_at.astype(np.int32)), inner_list), pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
-            if kept:
+            if kept == "bytes":
                 cols.append(pa.array(texts, pa.binary()))
+            elif kept == "text":
+                cols.append(pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string(), mask=np.asarray(batch.column(text_at).is_null())))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != text_at), *cols], schema.fieldNames())
 
     found = docs.mapInArrow(scatter, ROW).repartition(n_tasks, "part").sortWithinPartitions("part", "batch").mapInArrow(find_reaches, ROW)

@@ -61,10 +61,9 @@ def evict(nodes: DataFrame, current: int, most: int = MOST_NODES) -> DataFrame:
     count = F.count(F.lit(1)).over(W.partitionBy(*keys, F.lit(0)))
     rank = F.row_number().over(W.partitionBy(*keys, F.lit(0)).orderBy((F.col("id") == current).cast("int"), "ts", "id"))
     kept = nodes.withColumns({"_n": count, "_r": rank}).where(F.col("_r") > F.col("_n") - most).drop("_n", "_r")
-    ids = kept.select(*keys, F.col("id").alias("_pid"))
-    on = [kept[k] == ids[k] for k in keys] + [kept["parent_id"] == ids["_pid"]]
-    cond = on[0]
-    for c in on[1:]:
-        cond &= c
-    out = kept.join(ids, cond, "left")
-    return out.select(*[kept[c] if c != "parent_id" else F.col("_pid").alias("parent_id") for c in nodes.columns])
+    ids = kept.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("id").alias("_pid"))
+    on = F.col("parent_id") == F.col("_pid")
+    for k in keys:
+        on &= F.col(k) == F.col(f"_{k}")
+    out = kept.join(ids, on, "left")
+    return out.select(*[F.col(c) if c != "parent_id" else F.col("_pid").alias("parent_id") for c in nodes.columns])

@@ -285,3 +285,24 @@ def vignetting(v1: float, v2: float, strength: float, width: str, height: str) -
     a, b = num(v1 * strength * 0.01), num(v2 * strength * 0.01)
     r2 = f"((x - {width} * 0.5e0) * (x - {width} * 0.5e0) + (y - {height} * 0.5e0) * (y - {height} * 0.5e0)) / ({width} * {width} * 0.25e0 + {height} * {height} * 0.25e0)"
     return [{"_r2": r2}, {"_k": f"1e0 / {clamp(f'1e0 + {a} * _r2 + {b} * _r2 * _r2', 0.15, 1)}"}, per_channel(lambda c: f"{c} * _k")]
+
+
+def lut3d(table: list[tuple[float, float, float]], n: int, opacity: float = 1.0, d: Dialect = SPARK) -> list[Layer]:
+    """P25: a colour cube of n^3 entries (red fastest), interpolated in three directions and mixed in by opacity.
+
+    The cube is an array literal of fixed size (n^3 entries a channel), so it is part of the plan and no rows move.
+    """
+    if n < 2:
+        return []
+    out: list[Layer] = [{f"_cube{c}": d.array(num(v[i]) for v in table) for i, c in enumerate("rgb")}]
+    out.append({f"_p{c}": f"{clamp(c, 0, 1)} * {num(n - 1)}" for c in "rgb"})
+    out.append({f"_i{c}": f"least({d.floor(f'_p{c}')}, {n - 1})" for c in "rgb"})
+    out.append({f"_j{c}": f"least(_i{c} + 1, {n - 1})" for c in "rgb"} | {f"_f{c}": f"_p{c} - _i{c}" for c in "rgb"})
+    mix = lambda a, b, f: f"(({a}) * (1e0 - {f}) + ({b}) * {f})"
+
+    def sample(c: str) -> str:
+        at = lambda x, y, z: d.at(f"_cube{c}", f"_{z}b * {n * n} + _{y}g * {n} + _{x}r + 1")
+        face = lambda z: mix(mix(at("i", "i", z), at("j", "i", z), "_fr"), mix(at("i", "j", z), at("j", "j", z), "_fr"), "_fg")
+        return mix(face("i"), face("j"), "_fb")
+
+    return [*out, per_channel(lambda c: f"{c} * {num(1 - opacity)} + {sample(c)} * {num(opacity)}")]

@@ -500,9 +500,9 @@ def p37(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", catalog.exposure_line(F.col("p_brand"), F.col("p_name"), size, size / 10, F.lit(1.0) / (size + 1), size * 100, "X").alias("line"))
 
 
-@register("s08_shown_exif", "SELECT p_partkey, CASE WHEN t < 1 THEN '1/' || CAST(CAST(floor(1e0 / t + 0.5e0) AS BIGINT) AS VARCHAR) || 's' ELSE printf('%.1f', t) || 's' END AS shutter_text, 'f/' || printf('%.1f', p_size / 7e0) AS aperture_text, 'ISO ' || CAST(p_size * 50 AS VARCHAR) AS iso_text, CAST(p_size AS VARCHAR) || 'mm' AS focal_text FROM (SELECT *, p_size / 20e0 AS t FROM part)")
+@register("s08_shown_exif", "SELECT p_partkey, CASE WHEN t < 1 THEN '1/' || CAST(CAST(floor(1e0 / t + 0.5e0) AS BIGINT) AS VARCHAR) || 's' ELSE printf('%.1f', t) || 's' END AS shutter_text, 'f/' || printf('%.1f', p_size / 7e0) AS aperture_text, 'ISO ' || CAST(p_size * 50 AS VARCHAR) AS iso_text, CAST(p_size AS VARCHAR) || 'mm' AS focal_text FROM (SELECT *, p_size / 23e0 AS t FROM part)")
 def s08(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").selectExpr("p_partkey", "p_size / 20e0 AS exposure_time", "p_size / 7e0 AS f_number", "p_size * 50 AS iso_speed", "p_size AS focal_length")
+    p = table(spark, d, "part").selectExpr("p_partkey", "p_size / 23e0 AS exposure_time", "p_size / 7e0 AS f_number", "p_size * 50 AS iso_speed", "p_size AS focal_length")
     return catalog.shown_exif(p).select("p_partkey", "shutter_text", "aperture_text", "iso_text", "focal_text")
 
 
@@ -730,3 +730,63 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("flagship", f"SELECT channel, v AS bin, count(*) AS n FROM (SELECT unnest(['r', 'g', 'b']) AS channel, unnest([r8, g8, b8]) AS v FROM ({sql(PIXELS, PIXEL_COLUMNS, [*develop.white_balance(6200), *develop.exposure(0.5), *develop.shadows(20), c.eight_bit('srgb', DUCK)], '*')}) WHERE y % greatest(1, {HEIGHT} // 512) = 0) GROUP BY ALL")(flagship)
+
+
+CUBE = [((x / 4) ** 0.9, (y / 4) ** 1.1, 0.1 + 0.8 * z / 4) for z in range(5) for y in range(5) for x in range(5)]
+pixelwise("p25_lut3d", lambda d, h: develop.lut3d(CUBE, 5, 0.7, d))
+
+
+@register("s05_tile", f"SELECT x, y, x - 6 AS tx, y - 4 AS ty, round(r, 6) AS r FROM {PIXELS} WHERE x BETWEEN 6 AND 33 AND y BETWEEN 4 AND 23")
+def s05(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources.images import tile
+
+    return tile(pixels(spark, d), 10, 8, 20, 12, 4, WIDTH, height(spark, d)).selectExpr("x", "y", "tx", "ty", "round(r, 6) AS r")
+
+
+@register("s05_halo_tiles", f"SELECT tile_x, tile_y, count(*) AS n FROM (SELECT unnest(range(greatest((x - 4) // 16, 0), (x + 4) // 16 + 1)) AS tile_x, y FROM {PIXELS}) t, LATERAL (SELECT unnest(range(greatest((y - 4) // 16, 0), (y + 4) // 16 + 1)) AS tile_y) u GROUP BY ALL")
+def s05_halo(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources.images import halo_tiles
+
+    return halo_tiles(pixels(spark, d), 16, 4).groupBy("tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s03_tiff_round_trip")
+def s03(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of 16-bit values encoded, decoded again and compared."""
+    import pandas as pd
+
+    from rasterloom.sources.images import decode_tiff, encode_frames
+
+    q = apply(pixels(spark, d), [{f"{k}8": c.quantise(SPARK, c.encode(k), i, 16) for i, k in enumerate("rgb")}])
+
+    def check(parts):
+        for part in parts:
+            yield pd.DataFrame({"frame_id": part["frame_id"], "width": part["width"], "height": part["height"], "level_sum": [int((decode_tiff(x) * 65535).round().sum()) for x in part["data"]]})
+
+    return encode_frames(q, "tiff16").mapInPandas(check, "frame_id int, width int, height int, level_sum long")
+
+
+SQL["s03_tiff_round_trip"] = f"SELECT frame_id, CAST(max(x) + 1 AS INTEGER) AS width, CAST(max(y) + 1 AS INTEGER) AS height, CAST(sum(qr + qg + qb) AS BIGINT) AS level_sum FROM ({sql(PIXELS, PIXEL_COLUMNS, [{f'q{k}': c.quantise(DUCK, c.encode(k), i, 16) for i, k in enumerate('rgb')}], '*')}) GROUP BY frame_id"
+
+
+@register("k01_jpeg")
+def k01(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources.images import encode_frames
+
+    return encode_frames(px8(spark, d), "jpeg", 90).select("frame_id", "width", "height", F.octet_length("data").alias("n_bytes"), F.hex(F.substring("data", 1, 2)).alias("mark"))
+
+
+@register("k06_watermark", f"SELECT CASE WHEN y < {HEIGHT} THEN 'frame' ELSE 'margin' END AS part, count(*) AS n FROM (SELECT y FROM {PIXELS} UNION ALL SELECT {HEIGHT} + i // 50 FROM range(CAST(50 * greatest(60, CAST(floor({HEIGHT} * 0.08e0) AS BIGINT)) AS BIGINT)) t(i)) GROUP BY ALL")
+def k06(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources.images import watermark
+
+    h = height(spark, d)
+    w = watermark(px8(spark, d), WIDTH, h, "RASTER")
+    return w.groupBy(F.when(F.col("y") < h, "frame").otherwise("margin").alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("s04_synthetic")
+def s04(spark: SparkSession, d: str) -> DataFrame:
+    from rasterloom.sources.images import synthetic
+
+    return synthetic(spark, 96, 64).selectExpr(*rounded())

@@ -12,7 +12,7 @@ best rows of a query, which keeps results whole under any number of ties.
 Queries are worked off in blocks of at most ``block`` vectors; only one block (block x dimension x 8 bytes) is
 broadcast at a time, so the bound does not depend on the data.
 
-Defined results: rows take no part if the id or the vector is null, or a component is null or not finite. Vectors of
+Defined results: rows take no part if the id or the vector is null or empty, or a component is null or not finite. Vectors of
 another length than a query's are no candidates for it. Rows with a query's id are its own. Among repeated query ids
 the smallest vector counts. Fewer than k candidates: all are returned. Empty tables give empty results.
 """
@@ -42,7 +42,7 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> Da
     """(vec_id, v): v = floor(scale * x) of usable vectors."""
     x = F.col(vec_col)
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long")).alias("v"))
+    return vectors.where(F.col(id_col).isNotNull() & (F.size(x) > 0) & usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long")).alias("v"))
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

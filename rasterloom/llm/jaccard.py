@@ -308,13 +308,13 @@ def _keyed(docs: DataFrame, size: int, text_col: str) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def representatives(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
     """The rows of docs with the smallest id of each component; all columns stay.
 
     Documents without shingles all stay. Of several rows with that id (or, in a component without ids, of all rows)
     the first in the order of their set keys and texts stays.
     """
-    found = stage(components(docs, size, num, den, id_col, text_col), "components")
+    found = stage(components(docs, size, num, den, id_col, text_col, bits), "components")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     ids = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least"))
     # an id of one row decides by itself; others need their keys as well
@@ -332,9 +332,12 @@ def representatives(docs: DataFrame, size: int = 5, num: int = 75, den: int = 10
     return one.unionByName(several)
 
 
-def components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, key, root, component_id) of every document; key is equal for equal sets, root for equal components."""
-    bits = range_bits(input_bytes(docs.select(text_col)))
+def components(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """(doc_id, n_shingles, key, root, component_id) of every document; key is equal for equal sets, root for equal components.
+
+    bits: 2**bits ranges of the hash space (None: by the input's size).
+    """
+    bits = bits or range_bits(input_bytes(docs.select(text_col)))
     every = stage(frequent_enough(docs, size, num, den, bits, id_col, text_col), "sets")
     # one row for each set: copies are folded before the shuffle
     held = every.where(F.col("tokens").isNotNull()).groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("least"))

@@ -169,13 +169,13 @@ def test_jaccard_components(spark, docs, empty):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
     want = Counter((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(all_))
-    got = jaccard.components(docs)
+    got = jaccard.components(docs, bits=2)
     assert Counter(rows(got, "doc_id", "n_shingles", "component_id")) == want
-    kept = jaccard.representatives(docs)
+    kept = jaccard.representatives(docs, bits=2)
     assert kept.columns == docs.columns
     groups = Counter(find(i) if sets[i] else ("none", i) for i in range(len(all_)))
     assert kept.count() == len(groups)
-    assert jaccard.components(empty).count() == 0
+    assert jaccard.components(empty, bits=2).count() == 0
 
 
 def test_hot_lists_and_blocks(spark):
@@ -190,10 +190,10 @@ def test_hot_lists_and_blocks(spark):
         texts.append(" ".join(w))
     sets = [word_sets(t) for t in texts]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    every = jaccard.frequent_enough(df, 5, 75, 100, 6)
+    every = jaccard.frequent_enough(df, 5, 75, 100, 2)
     held = every.where("tokens IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("least"))
     held = held.cache()
-    classes = jaccard.prefixes(held.select("key", "n", "tokens"), 75, 100, 6)
+    classes = jaccard.prefixes(held.select("key", "n", "tokens"), 75, 100, 2)
     links = jaccard.class_links(classes, 75, 100, hot=4, members=7)
     of = {bytes(k): d for k, d in rows(held, "key", "least")}
     found = {tuple(sorted((of[bytes(a)], of[bytes(b)]))) for a, b in rows(links, "a", "b")}

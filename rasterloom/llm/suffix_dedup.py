@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from rasterloom.llm.common import BYTE64, bounded_batches, chunks, input_bytes, mix64, powers, text_bytes
 
 #: Text bytes of a batch (positions must fit 24 bits, unless one text is longer), and k-gram bytes of an anchor.
-BATCH = 4 << 20
+BATCH = 1 << 20
 GRAM = 16
 NONE = np.int64((1 << 63) - 1)
 REST = np.uint64(40)
@@ -65,6 +65,11 @@ class Rolling:
         return mix64((self.total[start + size] - self.total[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
 
 
+def gram_prints(roll: Rolling, place: np.ndarray) -> np.ndarray:
+    """Fingerprints of anchors' k-grams, mixed anew: an anchor was chosen for a small hash, which would crowd the low ranges."""
+    return mix64(roll.of(place, GRAM) ^ np.uint64(0xD1B54A32D192ED03))
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, roll: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, first window, last window, document) of each anchor, in order; windows start from first to last."""
     n_docs = len(offsets) - 1
@@ -192,6 +197,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     schema = T.StructType([*(f for f in docs.schema.fields if f.name != text_col), *added])
     if bits is None:  # a range gets about 4 MB of fingerprints
         bits = min(22, max(6, ((input_bytes(docs) or 1) >> 22).bit_length()))
+    bits = max(1, bits)
     ranges, down = 1 << bits, np.uint64(24 - bits)
     n_tasks = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -225,7 +231,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             roll = Rolling(data)
             place, first, last, doc = anchors(data, offsets, length, roll)
             if len(place):
-                yield from dealt(number, roll.of(place, GRAM), doc, ids_of(batch), roll.of(first, last - first + length), None)
+                yield from dealt(number, gram_prints(roll, place), doc, ids_of(batch), roll.of(first, last - first + length), None)
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in pieces(batches):
@@ -293,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 data, offsets = text_bytes(batch.column(text_at))
                 roll = Rolling(data)
                 place, first, last, doc = anchors(data, offsets, length, roll)
-                part = (roll.of(place, GRAM) >> (down + REST)).astype(np.int64)
+                part = (gram_prints(roll, place) >> (down + REST)).astype(np.int64)
                 order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
                 cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
                 state = np.zeros(len(place), np.uint8)

@@ -37,7 +37,9 @@ from rasterloom.llm.common import BYTE64, bounded_batches, chunks, input_bytes,
 
 #: Text bytes of a batch (positions must fit 24 bits, unless one text is longer), and k-gram bytes of an anchor.
 BATCH = 1 << 20
-GRAM = 16
+GRAM = 20
+#: The part of rows that carry removed spans to their batch; it sorts last.
+SPANS = (1 << 31) - 1
 NONE = np.int64((1 << 63) - 1)
 REST = np.uint64(40)
 MASK = np.uint64((1 << 40) - 1)
@@ -166,16 +168,15 @@ def in_batches(docs: np.ndarray, prints: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def _head(batch: pa.RecordBatch, extra: bytes = b"") -> bytes:
+def _head(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
         w.write_batch(batch)
-    return len(extra).to_bytes(8, "little") + extra + sink.getvalue().to_pybytes()
+    return sink.getvalue().to_pybytes()
 
 
-def _open_head(data: bytes) -> tuple[pa.RecordBatch, bytes]:
-    n = int.from_bytes(data[:8], "little")
-    return pa.ipc.open_stream(data[8 + n :]).read_next_batch(), data[8 : 8 + n]
+def _open_head(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 ADDED = (T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()))
@@ -238,11 +239,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             yield _row(part=-1, batch=number, n=batch.num_rows, head=_head(batch))
 
     def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict] | dict]:
-        """Rows of one range together; heads (part -1) as they come."""
+        """Rows of one range together; spans as they come."""
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
-                if row["part"] < 0:
+                if row["part"] == SPANS:
                     yield row
                     continue
                 if held and held[0]["part"] != row["part"]:
@@ -293,7 +294,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, rows in by_batch(batches):
-            batch, _ = _open_head(head["head"])
+            batch = _open_head(head["head"])
             removed = np.zeros(0, np.int64)
             if rows:
                 data, offsets = text_bytes(batch.column(text_at))
@@ -312,7 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     size = last[ask] - first[ask] + 1
                     t = np.arange(size.sum()) + np.repeat(first[ask] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
                     yield from dealt(head["batch"], roll.of(t, length), np.repeat(doc[ask], size), ids_of(batch), None, t)
-            yield _row(part=-1, batch=head["batch"], n=head["n"], head=_head(batch, removed.tobytes()))
+            if len(removed):
+                yield _row(part=SPANS, batch=head["batch"], n=len(removed), at=removed.tobytes())
 
     def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_part(batches):
@@ -329,12 +331,14 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, rows in by_batch(batches):
-            batch, removed = _open_head(head["head"])
+            batch = _open_head(head["head"])
             data, offsets = text_bytes(batch.column(text_at))
-            spans = np.frombuffer(removed, np.int64).reshape(-1, 2)
             change = np.zeros(len(data) + 1, np.int32)
-            np.add.at(change, spans[:, 0], 1), np.add.at(change, spans[:, 1], -1)
             for r in rows:
+                if r["part"] == SPANS:
+                    spans = np.frombuffer(r["at"], np.int64).reshape(-1, 2)
+                    np.add.at(change, spans[:, 0], 1), np.add.at(change, spans[:, 1], -1)
+                    continue
                 t = _unpack(r["at"], r["n"])
                 np.add.at(change, t, 1), np.add.at(change, t + length, -1)
             gone = np.cumsum(change[:-1]) > 0
@@ -362,6 +366,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
 
     found = docs.mapInArrow(scatter, ROW).repartition(n_tasks, "part").sortWithinPartitions("part", "batch").mapInArrow(find_reaches, ROW)
     asked = docs.mapInArrow(heads, ROW).unionByName(found).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(ask_windows, ROW)
-    spread = F.when(F.col("part") < 0, F.col("batch")).otherwise(-1)  # heads go evenly to all tasks
+    spread = F.when(F.col("part") == SPANS, F.col("batch")).otherwise(-1)  # spans go evenly to all tasks
     answered = asked.repartition(n_tasks, "part", spread).sortWithinPartitions("part", "batch").mapInArrow(find_windows, ROW)
-    return answered.repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(finish, schema)
+    # the scan makes the same batches again, which costs less than to carry them through a shuffle by range
+    return docs.mapInArrow(heads, ROW).unionByName(answered).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(finish, schema)

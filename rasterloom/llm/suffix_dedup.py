@@ -3,18 +3,21 @@
 A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id. The arrays are
 sparse and cut at ``length``: of the suffixes, those count that start a window's *anchor*, the k-gram with the least hash in
 the window (equal windows have equal anchors, so no match is missed), and suffixes are ordered by fingerprints of
-what they start with instead of by letters, which keeps equal prefixes side by side and fits five bytes.
+what they start with instead of by letters, which keeps equal prefixes side by side and fits some bytes.
 
 1. Each anchor sends two fingerprints to a range of the hash space: that of its k-gram, and that of its reach, the
    string over all windows that it anchors. In a range, documents come in order of their ids, in batches. A batch is sorted
    into an array and merge-scanned against the existing levels, each of which is a sorted array with the smallest document
    of each fingerprint; equal-sized levels merge geometrically. A reach found in a smaller document removes all
    its windows. Where a k-gram is shared but reaches differ (at the ends of matches), its windows are asked for one by one.
-2. The windows asked for pass through a second family in the same way, by the fingerprint of all their bytes.
+2. For these the bytes of the reach go to the range of the k-gram, where equal windows meet, as they have equal anchors. They
+   pass through further families in the same way, one for each place of the anchor in a window, by all their bytes.
 3. Removed windows are marked in the document, and what is left is kept.
 
 A batch of documents travels compressed beside its fingerprints, so texts are never joined by key, and a text's fingerprints
-of all ranges meet again in its batch. Fingerprints have 40 bits beside those of the range and, for reaches, of the k-gram.
+of all ranges meet again in its batch. Reaches count as equal by 96 bits from two independent hashes, beside those of the
+range and of the k-gram; windows by their bytes. Fingerprints of k-grams have 32 bits beside those of the range: where two
+k-grams share one, windows are asked for in vain, but none is removed.
 
 Defined results: a null text has no bytes. Documents that share an id don't remove each other's strings. Null ids are larger than
 all others and don't remove each other's strings. Texts shorter than ``length`` stay. Ids must be below 2**63 - 1. Result
@@ -24,7 +27,7 @@ columns replace input columns of the same name. An empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,9 @@ GRAM = 20
 #: The part of rows that carry removed spans to their batch; it sorts last.
 SPANS = (1 << 31) - 1
 NONE = np.int64((1 << 63) - 1)
-REST = np.uint64(40)
-MASK = np.uint64((1 << 40) - 1)
+REST = np.uint64(32)
+#: Values of bytes for a second fingerprint.
+OTHER64 = np.random.Generator(np.random.PCG64(20241107)).integers(0, 1 << 64, 256, dtype=np.uint64)
 #: Entries of a batch of the index family.
 LEVEL = 1 << 16
 
@@ -58,10 +62,10 @@ def _row(**v) -> pa.RecordBatch:
 class Rolling:
     """Fingerprints of any substring of a batch."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE64) -> None:
         up, self.down = powers(len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(BYTE64[data] * up[: len(data)], out=self.total[1:])
+        np.cumsum(values[data] * up[: len(data)], out=self.total[1:])
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return mix64((self.total[start + size] - self.total[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
@@ -112,14 +116,35 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n]), dtype=np.int64) if n else np.zeros(0, np.int64)
 
 
-def _five(x: np.ndarray) -> bytes:
-    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def same(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row (uint64), equal where all columns (uint64) are: exact, as the columns of equal hashes are compared."""
+    h = columns[0]
+    for c in columns[1:]:
+        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c)
+    order = np.argsort(h, kind="stable")
+    new = _changes(columns, order)
+    if (new[1:] & (h[order][1:] == h[order][:-1])).any():  # equal hashes of different rows may be mixed up
+        order = np.lexsort(columns)
+        new = _changes(columns, order)
+    out = np.empty(len(h), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _changes(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        c = c[order]
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
-def _from_five(data: bytes) -> np.ndarray:
-    x = np.zeros((len(data) // 5, 8), np.uint8)
-    x[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return x.view(np.uint64).ravel()
+def byte_columns(data: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
+    """The bytes of data[start : start + length] as words of 8 bytes; the last one may overlap."""
+    word = np.ndarray((len(data) - 7,), np.uint64, data, 0, (1,))
+    return [word[start + i] for i in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]]
 
 
 class LevelFamily:
@@ -199,7 +224,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if bits is None:  # a range gets about 4 MB of fingerprints
         bits = min(22, max(6, ((input_bytes(docs) or 1) >> 22).bit_length()))
     bits = max(1, bits)
-    ranges, down = 1 << bits, np.uint64(24 - bits)
+    ranges, down = 1 << bits, np.uint64(32 - bits)
+    small = np.uint8 if length < 256 else np.uint32  # holds places in a window
     n_tasks = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -213,18 +239,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     def ids_of(batch: pa.RecordBatch) -> np.ndarray:
         return batch.column(id_at).cast(pa.int64()).fill_null(int(NONE)).to_numpy(zero_copy_only=False)
 
-    def dealt(number: int, prints: np.ndarray, doc: np.ndarray, ids: np.ndarray, reach: np.ndarray | None, at: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        """One row for each range."""
+    def dealt(number: int, prints: np.ndarray, doc: np.ndarray, ids: np.ndarray, columns: Callable[[np.ndarray], dict[str, bytes]]) -> Iterator[pa.RecordBatch]:
+        """One row for each range, with columns of the given places."""
         part = (prints >> (down + REST)).astype(np.int64)
         order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
         cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
-        rest = (prints >> down) & MASK
         for p in np.flatnonzero(np.diff(cut)).tolist():
             rows = order[cut[p] : cut[p + 1]]
             own, local = np.unique(doc[rows], return_inverse=True)
-            more = {} if reach is None else {"reach": _five(reach[rows] & MASK)}
-            more |= {} if at is None else {"at": _pack(at[rows])}
-            yield _row(part=p, batch=number, n=len(rows), docs=_pack(local), ids=ids[own].tobytes(), key=_five(rest[rows]), **more)
+            yield _row(part=p, batch=number, n=len(rows), docs=_pack(local), ids=ids[own].tobytes(), **columns(rows))
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in pieces(batches):
@@ -232,7 +255,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             roll = Rolling(data)
             place, first, last, doc = anchors(data, offsets, length, roll)
             if len(place):
-                yield from dealt(number, gram_prints(roll, place), doc, ids_of(batch), roll.of(first, last - first + length), None)
+                prints = gram_prints(roll, place)
+                key, reach = (prints >> down).astype(np.uint32), roll.of(first, last - first + length)
+                more = Rolling(data, OTHER64).of(first, last - first + length).astype(np.uint32)
+                yield from dealt(number, prints, doc, ids_of(batch), lambda rows: {"key": key[rows].tobytes(), "reach": reach[rows].tobytes() + more[rows].tobytes()})  # noqa: B023
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, batch in pieces(batches):
@@ -253,16 +279,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if held:
             yield held
 
-    def opened(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def opened(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         size = np.array([r["n"] for r in rows])
         docs = np.concatenate([np.frombuffer(r["ids"], np.int64)[_unpack(r["docs"], r["n"])] for r in rows])
-        return np.concatenate([[0], np.cumsum(size)]), docs, np.concatenate([_from_five(r["key"]) for r in rows])
+        return np.concatenate([[0], np.cumsum(size)]), docs
 
     def find_reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_part(batches):
-            at, docs, key = opened(rows)
-            both = mix64(np.concatenate([_from_five(r["reach"]) for r in rows]) + key * np.uint64(0x9E3779B97F4A7C15))
-            key_least, reach_least = in_batches(docs, [key, both])
+            at, docs = opened(rows)
+            key = np.concatenate([np.frombuffer(r["key"], np.uint32) for r in rows]).astype(np.uint64)
+            reach = np.concatenate([np.frombuffer(r["reach"], np.uint64, r["n"]) for r in rows])
+            more = np.concatenate([np.frombuffer(r["reach"], np.uint32, r["n"], 8 * r["n"]) for r in rows]).astype(np.uint64)
+            both = same([reach, key << np.uint64(32) | more])
+            (reach_least,) = in_batches(docs, [both])
             # k-grams of several documents with several reaches: their first reaches are asked for window by window
             order = np.lexsort((both, key))
             k, b = key[order], both[order]
@@ -300,7 +329,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 data, offsets = text_bytes(batch.column(text_at))
                 roll = Rolling(data)
                 place, first, last, doc = anchors(data, offsets, length, roll)
-                part = (gram_prints(roll, place) >> (down + REST)).astype(np.int64)
+                prints = gram_prints(roll, place)
+                part = (prints >> (down + REST)).astype(np.int64)
                 order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
                 cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
                 state = np.zeros(len(place), np.uint8)
@@ -310,9 +340,16 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 removed = np.stack([first[gone], last[gone] + length], 1).ravel()
                 ask = np.flatnonzero(state == 3)
                 if len(ask):
-                    size = last[ask] - first[ask] + 1
-                    t = np.arange(size.sum()) + np.repeat(first[ask] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-                    yield from dealt(head["batch"], roll.of(t, length), np.repeat(doc[ask], size), ids_of(batch), None, t)
+                    place, first, last = place[ask], first[ask], last[ask]
+
+                    def columns(rows: np.ndarray) -> dict[str, bytes]:
+                        """First windows; places of anchors and numbers of further windows; bytes of reaches."""
+                        f, n = first[rows], last[rows] - first[rows]  # noqa: B023
+                        size = n + length
+                        t = np.arange(size.sum()) + np.repeat(f - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+                        return {"at": _pack(f), "key": (place[rows] - f).astype(small).tobytes() + n.astype(small).tobytes(), "reach": data[t].tobytes()}  # noqa: B023
+
+                    yield from dealt(head["batch"], prints[ask], doc[ask], ids_of(batch), columns)
             if len(removed):
                 yield _row(part=SPANS, batch=head["batch"], n=len(removed), at=removed.tobytes())
 
@@ -321,13 +358,28 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             if isinstance(rows, dict):
                 yield _row(**rows)
                 continue
-            at, docs, key = opened(rows)
-            (least,) = in_batches(docs, [key])
-            gone = least < docs
+            at, docs = opened(rows)
+            both = [np.frombuffer(r["key"], small).astype(np.int64).reshape(2, -1) for r in rows]
+            anchor, more = np.concatenate(both, 1)
+            first = np.concatenate([_unpack(r["at"], r["n"]) for r in rows])
+            begin = np.concatenate([[0], np.cumsum(more + length)[:-1]])
+            data = np.frombuffer(b"".join(r["reach"] for r in rows), np.uint8)
+            owner, found = [], []
+            for place in range(length - GRAM + 1):  # equal windows have equal anchors at equal places
+                own = np.flatnonzero((anchor >= place) & (anchor - place <= more))
+                if len(own):
+                    t = anchor[own] - place
+                    (least,) = in_batches(docs[own], [same(byte_columns(data, begin[own] + t, length))])
+                    gone = least < docs[own]
+                    owner.append(own[gone]), found.append((first[own] + t)[gone])
+            t = np.concatenate(found)
+            row = np.searchsorted(at, np.concatenate(owner), "right") - 1
+            order = np.lexsort((t, row))
+            cut = np.searchsorted(row[order], np.arange(len(rows) + 1))
             for i, r in enumerate(rows):
-                t = _unpack(r["at"], r["n"])[gone[at[i] : at[i + 1]]]
-                if len(t):
-                    yield _row(part=r["part"], batch=r["batch"], n=len(t), at=_pack(t))
+                own = t[order[cut[i] : cut[i + 1]]]
+                if len(own):
+                    yield _row(part=r["part"], batch=r["batch"], n=len(own), at=_pack(own))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, rows in by_batch(batches):

@@ -331,6 +331,25 @@ def test_repeats_by_brute_force(docs, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_equal_short_fingerprints_remove_nothing(spark):
+    # two windows with equal leading 41 bits of their fingerprints, each beside a text that shares its anchor, and two reaches of
+    # one anchor with equal last 40 bits
+    windows = ["nzbxmzsdyputtykttzhzoiykrttuccwkrtdtbtgnqnhncyajfz", "#zbxmzsdyputtykttzhzoiykrttuccwkrtdtbtgnqnhncyajfz", "kaouirmppoyvufseldnuocrdyyqjqkwmilapurbvrcnqifqsnc", "#aouirmppoyvufseldnuocrdyyqjqkwmilapurbvrcnqifqsnc"]
+    reaches = ["hvghpvzvxzlriplmzcvkiytfmbzacpdzbbdsigvzrmejzylqzy", "rlvuvtfnjvppddymzcvkiytfmbzacpdzbbdxxikjdjrdgpskjc"]
+    for texts in (windows, reaches):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bits=1)
+        assert sorted(rows(got, "doc_id", "n_removed")) == [(i, 0) for i in range(len(texts))]
+
+
+def test_rows_of_equal_hashes(monkeypatch):
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 9, (2, 300)).astype(np.uint64)
+    for mix in (suffix_dedup.mix64, np.zeros_like):
+        monkeypatch.setattr(suffix_dedup, "mix64", mix)
+        n = suffix_dedup.same([a, b])
+        assert len(set(zip(a.tolist(), b.tolist(), n.tolist()))) == len(set(zip(a.tolist(), b.tolist()))) == len(set(n.tolist()))
+
+
 def test_level_family():
     r = np.random.default_rng(9)
     f, seen = suffix_dedup.LevelFamily(), {}

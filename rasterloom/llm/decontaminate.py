@@ -103,7 +103,7 @@ class BlockIndex:
     def phrases(self, p: Phrases, within: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, starts of matches, their windows, item lists) for each window length; within: proximity instead of order."""
         begin, size = self.lists(p.terms)
-        number = np.full(len(self.positions), 0, np.int64)
+        number = np.full(len(self.positions), len(p.terms), np.int64)  # of terms that aren't in p
         for t, (b, n) in enumerate(zip(begin.tolist(), size.tolist())):
             number[b : b + n] = t
         keys = number << 32 | self.positions

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,6 +307,20 @@ def test_proximity(spark):
     assert decontaminate.search(index, [("q", "alpha beta gamma")]).where("contaminated").count() == 0
 
 
+def test_words_outside_the_items_do_not_match(spark, monkeypatch):
+    phrase = ["alpha", "beta", "gamma"]
+    least = min(phrase, key=lambda w: decontaminate.tokens(pa.array([w]))[0][0])  # term 0, which is made the most frequent
+    texts = [" ".join("other" if w == least else w for w in phrase), least, least, least, " ".join(phrase)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    hit = lambda df: [r.doc_id for r in df.where("contaminated").collect()]
+    index = decontaminate.build_index(docs)
+    assert hit(decontaminate.search(index, [("q", " ".join(phrase))])) == [4]
+    assert hit(decontaminate.search(index, [("q", " ".join(phrase))], within=4)) == [4]
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 1)
+    bench = spark.createDataFrame([(1, " ".join(phrase)), (2, "other words stand here")], "item_id long, text string")
+    assert hit(decontaminate.decontaminate(docs, bench)) == [4]
+
+
 def test_repeats_by_brute_force(docs, empty):
     length = 50
     all_ = [(i, (t or "").encode()) for i, t in rows(docs, "doc_id", "text")]

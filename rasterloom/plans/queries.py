@@ -455,12 +455,12 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
 
 @register("j06_triangles")
 def j06(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.triangles(calibrate.detect_stars(pixels(spark, d), 1.0), 12).selectExpr(*rounded(("r1", "r2"), keys=("frame_id", "v0", "v1", "v2")))
+    return calibrate.triangles(calibrate.detect_stars(pixels(spark, d), 1.0)).selectExpr(*rounded(("r1", "r2"), keys=("frame_id", "v0", "v1", "v2")))
 
 
 @register("g09_transform")
 def g09(spark: SparkSession, d: str) -> DataFrame:
-    stars = calibrate.detect_stars(pixels(spark, d), 1.0, 12)
+    stars = calibrate.detect_stars(pixels(spark, d), 1.0)
     t = calibrate.estimate_transform(stars, stars.withColumns({"x": F.col("x") + 3.0, "y": F.col("y") + 2.0}))
     return spark.createDataFrame([tuple(round(v, 6) for v in t)], "m00 double, m01 double, tx double, m10 double, m11 double, ty double")
 

@@ -22,3 +22,7 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_triangles_take_thirty_stars(spark, sf_dir):
+    assert QUERIES["j06_triangles"](spark, sf_dir).agg({"v0": "max", "v1": "max", "v2": "max"}).selectExpr("greatest(`max(v0)`, `max(v1)`, `max(v2)`)").first()[0] == 30

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -39,7 +40,7 @@ def plain(v):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return tuple(map(plain, v))
-    if v is None or v != v:
+    if pd.isna(v):
         return None
     return round(v, 6) + 0.0 if isinstance(v, float) else v
 

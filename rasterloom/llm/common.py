@@ -1,15 +1,16 @@
 """Helpers that all operators of this subpackage share.
 
 Storage: intermediate tables go below the folder that the cluster names in
-``spark.checkpoint.dir`` (read from the session). Only where that is unset, as in
-tests, a local folder is made and set as the checkpoint folder.
+``spark.checkpoint.dir`` (read from the session). Only where that is unset and all runs in one process (``local[n]``), as in
+tests, a local folder is made and set as the checkpoint folder; on a cluster it is an error.
 """
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
         if held.isDefined():
             base = held.get()
         else:
+            if not spark.sparkContext.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="rasterloom-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -70,6 +73,27 @@ def input_bytes(df: DataFrame) -> int | None:
     return n if n < 1 << 60 else None
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; a worker serves many tasks, so what a task has freed goes back to the system at its end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+def give_back() -> None:
+    """Return free memory of Arrow's pool and of the C library to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column in one array, and offsets (n + 1) of its rows; null rows are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -112,29 +136,51 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
-#: A random 64-bit value for each byte, and powers of an odd base and of its inverse (mod 2**64).
+#: A random 64-bit value for each byte, and powers of an odd base and of its inverse (mod 2**64), split into low and high
+#: halves of the exponent: small tables serve texts of up to 2**31 bytes.
 BYTE64 = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_LOW = 16
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, np.uint64)
+    x[0] = 1
+    return np.multiply.accumulate(x)
+
+
+def _halves(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _table(base, 1 << _LOW), _table(pow(base, 1 << _LOW, 1 << 64), 1 << (31 - _LOW))
+
+
+_UP, _DOWN = _halves(BASE), _halves(pow(BASE, -1, 1 << 64))
+
+
+def _first(halves: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    low, high = halves
+    return (high[: (n >> _LOW) + 1, None] * low[None, : max(1, min(n, len(low)))]).ravel()[:n]
+
+
+def rising(n: int) -> np.ndarray:
+    """BASE**i for i < n."""
+    return _first(_UP, n)
+
+
+def falling(n: int) -> np.ndarray:
+    """BASE**-i for i < n."""
+    return _first(_DOWN, n)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n at least."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
+def falling_at(i: np.ndarray) -> np.ndarray:
+    """BASE**-i."""
+    return _DOWN[0][i & ((1 << _LOW) - 1)] * _DOWN[1][i >> _LOW]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]; equal for equal bytes wherever they stand."""
-    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE64[data] * up[: len(data)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    np.cumsum(BYTE64[data] * rising(len(data)), out=total[1:])
+    return mix64((total[end] - total[start]) * falling_at(start) + (end - start).astype(np.uint64))
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

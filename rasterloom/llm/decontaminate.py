@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import BASE, LOWER, bounded_batches, chunks, span_hashes, stage, text_bytes, words
+from rasterloom.llm.common import BASE, LOWER, bounded_batches, chunks, lean, span_hashes, stage, text_bytes, words
 
 #: Text bytes in a block of the index, and of test items that are broadcast at once.
 BLOCK_BYTES = 4 << 20
@@ -200,7 +200,7 @@ def build_index(docs: DataFrame, terms: np.ndarray | None = None, gap: int = 16,
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stage(rows.mapInArrow(index, INDEX).withColumn("block", F.monotonically_increasing_id()), "postings")
+    return stage(rows.mapInArrow(lean(index), INDEX).withColumn("block", F.monotonically_increasing_id()), "postings")
 
 
 def search(index: DataFrame, items: list[tuple[str, str]], window: int = 10, within: int | None = None) -> DataFrame:
@@ -224,7 +224,7 @@ def search(index: DataFrame, items: list[tuple[str, str]], window: int = 10, wit
                 keys = [pa.array([block] * len(ids), pa.int64()), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*keys, *_found(np.diff(first), x.matches(p, within))], schema.fieldNames())
 
-    return index.mapInArrow(look, schema)
+    return index.mapInArrow(lean(look), schema)
 
 
 def _found(n_words: np.ndarray, found: list) -> list[pa.Array]:
@@ -287,7 +287,7 @@ def annotate(docs: DataFrame, items: list[tuple[str, str]], window: int = 10, te
                 x = BlockIndex.build(h, first, p.longest + 1, p.terms)
                 yield pa.RecordBatch.from_arrays([*part.columns, *_found(np.diff(first), x.matches(p))], schema.fieldNames())
 
-    return docs.mapInArrow(mark, schema)
+    return docs.mapInArrow(lean(mark), schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from rasterloom.llm.common import chunks, input_bytes, mix64, stage, text_bytes
+from rasterloom.llm.common import chunks, input_bytes, lean, mix64, stage, text_bytes
 from rasterloom.llm.graph import connected_components
 from rasterloom.llm.shingles import shingle_sets
 from rasterloom.llm.token_exchange import Batch, exchange
@@ -260,7 +260,7 @@ def search_cells(rows: DataFrame, num: int, den: int, n_cells: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["a", "b"])
 
     order = F.when(F.col("role") == 1, 1).otherwise(0)
-    return rows.select("cell", "role", "key", "n", "tokens").repartition(n_cells, "cell").sortWithinPartitions("cell", order, "key").mapInArrow(run, "a binary, b binary")
+    return rows.select("cell", "role", "key", "n", "tokens").repartition(n_cells, "cell").sortWithinPartitions("cell", order, "key").mapInArrow(lean(run), "a binary, b binary")
 
 
 def class_links(classes: DataFrame, num: int, den: int, hot: int = HOT, members: int = BLOCK_MEMBERS) -> DataFrame:
@@ -305,7 +305,7 @@ def _keyed(docs: DataFrame, size: int, text_col: str) -> DataFrame:
                 tokens, o = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, _fixed(set_keys(tokens, o))], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def representatives(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:

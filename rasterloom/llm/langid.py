@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches, chunks, text_bytes, words
+from rasterloom.llm.common import bounded_batches, chunks, lean, text_bytes, words
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -78,7 +78,7 @@ def count_ngrams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
             b = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(b), pa.string()), pa.array(b.astype(np.int32)), pa.array(n[b].astype(np.int64))], ["lang", "bucket", "n"])
 
-    return rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(lean(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tuple[list[str], np.ndarray]:
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, text_col: str
                 found.append(langs[b]), score.append(min(1.0, float(x[b]))), sets.append([(langs[l], float(x[l])) for l in np.flatnonzero(x)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.map_(pa.string(), pa.float64()))], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

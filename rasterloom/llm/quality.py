@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches, chunks, span_hashes, text_bytes, words
+from rasterloom.llm.common import bounded_batches, chunks, lean, span_hashes, text_bytes, words
 
 CHUNK = 1 << 20
 MAX_ROWS = 20_000
@@ -214,7 +214,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "stats")
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_rows: int = MAX_ROWS, **options) -> Forest:
@@ -236,7 +236,7 @@ def score_statistics(stats: DataFrame, forest: Forest) -> DataFrame:
             x = batch.column(len(kept)).flatten().to_numpy().reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(x))], schema.fieldNames())
 
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(lean(run), schema)
 
 
 def score_texts(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
@@ -251,4 +251,4 @@ def score_texts(docs: DataFrame, forest: Forest, text_col: str = "text") -> Data
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(held.value.score(statistics(batch.column(at))))], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

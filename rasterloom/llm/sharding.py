@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches, fresh_path, input_bytes
+from rasterloom.llm.common import bounded_batches, fresh_path, input_bytes, lean
 
 OUT = ("shard", "slot")
 
@@ -88,7 +88,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 2024050
     (
         scattered.repartition(n_buckets, "__bucket")
         .sortWithinPartitions("__bucket", *docs.columns)
-        .mapInArrow(permute, schema)
+        .mapInArrow(lean(permute), schema)
         .write.partitionBy("shard").parquet(path)
     )
     return spark.read.schema(schema).parquet(path)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import BYTE64, bounded_batches, chunks, input_bytes, mix64, powers, text_bytes
+from rasterloom.llm.common import BYTE64, bounded_batches, chunks, input_bytes, lean, mix64, rising, falling_at, text_bytes
 
 #: Text bytes of a batch (positions must fit 24 bits, unless one text is longer), and k-gram bytes of an anchor.
 BATCH = 1 << 20
@@ -63,12 +63,11 @@ class Rolling:
     """Fingerprints of any substring of a batch."""
 
     def __init__(self, data: np.ndarray, values: np.ndarray = BYTE64) -> None:
-        up, self.down = powers(len(data) + 1)
         self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * up[: len(data)], out=self.total[1:])
+        np.cumsum(values[data] * rising(len(data)), out=self.total[1:])
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return mix64((self.total[start + size] - self.total[start]) * self.down[start] + np.asarray(size).astype(np.uint64))
+        return mix64((self.total[start + size] - self.total[start]) * falling_at(start) + np.asarray(size).astype(np.uint64))
 
 
 def gram_prints(roll: Rolling, place: np.ndarray) -> np.ndarray:
@@ -416,9 +415,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 cols.append(pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string(), mask=np.asarray(batch.column(text_at).is_null())))
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != text_at), *cols], schema.fieldNames())
 
-    found = docs.mapInArrow(scatter, ROW).repartition(n_tasks, "part").sortWithinPartitions("part", "batch").mapInArrow(find_reaches, ROW)
-    asked = docs.mapInArrow(heads, ROW).unionByName(found).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(ask_windows, ROW)
+    found = docs.mapInArrow(lean(scatter), ROW).repartition(n_tasks, "part").sortWithinPartitions("part", "batch").mapInArrow(lean(find_reaches), ROW)
+    asked = docs.mapInArrow(lean(heads), ROW).unionByName(found).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(lean(ask_windows), ROW)
     spread = F.when(F.col("part") == SPANS, F.col("batch")).otherwise(-1)  # spans go evenly to all tasks
-    answered = asked.repartition(n_tasks, "part", spread).sortWithinPartitions("part", "batch").mapInArrow(find_windows, ROW)
+    answered = asked.repartition(n_tasks, "part", spread).sortWithinPartitions("part", "batch").mapInArrow(lean(find_windows), ROW)
     # the scan makes the same batches again, which costs less than to carry them through a shuffle by range
-    return docs.mapInArrow(heads, ROW).unionByName(answered).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(finish, schema)
+    return docs.mapInArrow(lean(heads), ROW).unionByName(answered).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(lean(finish), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from rasterloom.llm.common import bounded_batches, stage
+from rasterloom.llm.common import bounded_batches, lean, stage
 
 #: Scores held at once in a worker.
 CELLS = 1 << 21
@@ -115,7 +115,7 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
             q, bin_ = np.nonzero((hist > 0) & (above < left[:, None]))
             yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(bin_.astype(np.int32)), pa.array(hist[q, bin_])], ["q", "bin", "n"])
 
-        hist = base.mapInArrow(count, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        hist = base.mapInArrow(lean(count), "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         up_to = F.sum("n").over(W.partitionBy("q").orderBy(F.desc("bin")))
         wanted = spark.createDataFrame([(i, int(v)) for i, v in enumerate(left)], "q int, wanted long")
         hit = (
@@ -162,4 +162,4 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
             yield pa.RecordBatch.from_arrays([pa.array(held.value["ids"][q_all[0]]), pa.array(c_all[0]), pa.array(s_all[0])], ["query_id", "vec_id", "score"])
 
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return base.mapInArrow(best, "query_id long, vec_id long, score long").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return base.mapInArrow(lean(best), "query_id long, vec_id long, score long").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

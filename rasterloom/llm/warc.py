@@ -33,7 +33,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, fresh_path, stage
+from rasterloom.llm.common import bounded_batches, fresh_path, lean, stage
 
 #: Compressed bytes after which a writer begins a new file.
 ROLL_BYTES = 16 << 20
@@ -131,7 +131,7 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
         if run:
             yield _entries(sorted(run, key=_order))
 
-    return stage(marked.mapInArrow(write, ENTRY), "runs")
+    return stage(marked.mapInArrow(lean(write), ENTRY), "runs")
 
 
 def _order(entry: tuple) -> tuple:
@@ -214,7 +214,7 @@ def merge_runs(runs: DataFrame, n_ranges: int | None = None) -> DataFrame:
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(i, i + n, dtype=np.int64))], [*b.schema.names, "seq_range", "seq"])
 
-    return dealt.mapInArrow(merge, ENTRY + ", seq_range int, seq long")
+    return dealt.mapInArrow(lean(merge), ENTRY + ", seq_range int, seq long")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -254,7 +254,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in RECORD.split(", ")])
 
-    return whole.mapInArrow(read, RECORD)
+    return whole.mapInArrow(lean(read), RECORD)
 
 
 def archive_round_trip(captures: DataFrame, path: str | None = None, **cols: str) -> DataFrame:

@@ -10,6 +10,7 @@ search whose steps weigh 0 (the pair holds) or minus infinity.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from functools import lru_cache
@@ -18,6 +19,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _F = struct.Struct("f")
+#: Pairs of pieces that a model keeps: some 20 MB.
+KEPT_PAIRS = 1 << 16
 
 
 def single(x: float) -> float:
@@ -47,6 +50,7 @@ class PieceModel:
         normal = [self.scores[i] for i in self.ids.values()]
         self.unk_score = single(min(normal, default=0.0) - 10.0)
         exact = all(s == int(s) for s in normal) and max(map(abs, normal), default=0) < 1 << 17
+        self.exact = exact
         self.add = (lambda a, b: a + b) if exact else (lambda a, b: single(a + b))
         n = m.normalizer_spec
         self.dummy_prefix, self.strip_extra = n.add_dummy_prefix, n.remove_extra_whitespaces
@@ -64,7 +68,8 @@ class PieceModel:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.pair = lru_cache(1 << 20)(self._pair)
+        self._traces: dict[str, tuple[tuple, tuple, tuple] | None] = {}
+        self.pair = lru_cache(KEPT_PAIRS)(self.stays)
 
     def _surface(self, i: int) -> bytes:
         if self.types[i] == BYTE:
@@ -83,23 +88,50 @@ class PieceModel:
             self._library = sentencepiece.SentencePieceProcessor(model_proto=self._library)
         return self._library.normalize(text)
 
-    def merge(self, text: str) -> list[str]:
-        """Plain BPE of a short string; for pairs of pieces only."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
+    def trace(self, piece: str) -> tuple[tuple, tuple, tuple] | None:
+        """What merging a piece's characters goes through: its first and last part and the score of the next merge at each step;
+        None if merging doesn't give the piece."""
+        if piece in self._traces:
+            return self._traces[piece]
+        parts, first, last, score = list(piece), [], [], []
+        while True:
+            best, at = -math.inf, -1
             for i in range(len(parts) - 1):
                 k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.scores[k] > best):
-                    best, at = self.scores[k], i
+                if k is not None and self.scores[k] > best:
+                    best, at, id_ = self.scores[k], i, k
+            first.append(parts[0]), last.append(parts[-1]), score.append(best)
             if at < 0:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _pair(self, a: str, b: str) -> bool:
-        """Whether pieces a and b stay as they are side by side; a may be '' for the start."""
-        return self.merge(a + b) == ([a, b] if a else [b])
+            parts[at : at + 2] = [self.pieces[id_]]
+        if len(self._traces) > KEPT_PAIRS:
+            self._traces.clear()
+        found = self._traces[piece] = (tuple(first), tuple(last), tuple(score)) if len(parts) == 1 else None
+        return found
+
+    def stays(self, a: str, b: str) -> bool:
+        """Whether pieces a and b stay as they are side by side; a may be '' for the start.
+
+        Both merge as they do alone until the parts beside the boundary would merge first.
+        """
+        y = self.trace(b)
+        if not a or y is None:
+            return y is not None
+        x = self.trace(a)
+        if x is None:
+            return False
+        i = j = 0
+        while True:
+            left, right = x[2][i], y[2][j]
+            k = self.ids.get(x[1][i] + y[0][j])
+            if k is not None and self.scores[k] > left and self.scores[k] >= right:  # leftmost first among equals
+                return False
+            if left == right == -math.inf:
+                return True
+            if left >= right:
+                i += 1
+            else:
+                j += 1
 
     def ids_of(self, piece: str, id_: int | None) -> tuple[int, ...]:
         """The ids that a piece of a path gives: its own, or those of an unknown character."""

@@ -23,11 +23,13 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all whole texts."""
+    """Token counts of all whole texts; beside the model's own, those of the unigram reading of its vocabulary and their scores."""
+    from rasterloom.llm.piece_model import UNIGRAM
     from rasterloom.llm.sentencepiece_codec import MODEL, read_model
     from rasterloom.llm.token_count import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL)).select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL), kinds={"n_tokens": None, "n_unigram": UNIGRAM}, scores={"unigram_score": "n_unigram"})
+    return counted.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_unigram", "unigram_score")))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +57,11 @@ def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of all whole texts, and whether decoding gives the text again."""
+    """Ids of all whole texts, whether decoding gives the text again, and the best score of the unigram reading."""
     from rasterloom.llm.sentencepiece_codec import MODEL, encode, read_model
 
-    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL), decoded=True)
-    return coded.select("doc_id", F.coalesce(F.array_size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL), decoded=True, scored=True)
+    return coded.select("doc_id", F.coalesce(F.array_size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("text")).alias("round_trip"), F.coalesce("path_score", F.lit(0.0)).alias("unigram_score"))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

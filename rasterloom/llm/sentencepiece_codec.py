@@ -2,7 +2,8 @@
 
 The distinct marked words (units) of a batch are sorted, which is a depth-first order of their trie. The forward states of
 a word's positions stay on a stack, and the next word goes on from the longest prefix that they share. A state
-holds the best score and last piece (unigram), or the one valid last piece (BPE; see piece_model).
+holds the best score and last piece (unigram), or the one valid last piece (BPE; see piece_model); beside it, the best score of
+the vocabulary's unigram reading can be carried.
 Each text is then put together from its words' ids with numpy. Words are kept between batches up to a bound.
 
 Decoding joins the pieces' bytes, drops the leading mark that encoding added, and turns each invalid byte into U+FFFD.
@@ -14,6 +15,7 @@ columns of the same name.
 from __future__ import annotations
 
 import codecs
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,24 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches
+from rasterloom.llm.common import bounded_batches, lean
 from rasterloom.llm.piece_model import CONTROL, MARK, UNIGRAM, PieceModel
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that a worker keeps, and longest word that it keeps.
-KEPT_WORDS, KEPT_CHARS = 400_000, 64
+#: Bytes of words that a worker keeps, with what Python adds to each.
+KEPT_BYTES, WORD_BYTES = 32 << 20, 200
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
 
 class Encoder:
-    def __init__(self, model: PieceModel) -> None:
-        self.m = model
+    def __init__(self, model: PieceModel, unigram: PieceModel | None = None) -> None:
+        """unigram: the same vocabulary read as a unigram model; its best scores are carried along (``path_score``)."""
+        self.m, self.u = model, unigram
         self.reset()
 
     def reset(self) -> None:
         self.code: dict[str, int] = {}
+        self.used = 0
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.score = np.zeros(0)
 
     def learn(self, new: list[str]) -> None:
         """Ids of sorted new units."""
@@ -46,16 +51,18 @@ class Encoder:
         last: list[tuple[int, str, int | None]] = [(0, "", None)]  # per position: start of the last piece, the piece, its id
         score: list[float] = [0.0]
         active: list[list[tuple[int, dict]]] = [[]]  # per position: starts from which the vocabulary trie is still walked
+        path, own_scores, u = [0.0], [], self.u  # per position: best score of the unigram reading
+        u_scores, u_add, u_unknown = (u.scores, u.add, u.unk_score) if u else ([], None, 0.0)
         before, flat, sizes = "", [], []
         pair, add, scores = m.pair, m.add, m.scores
         for word in new:
             i, n = 0, min(len(before), len(word))
             while i < n and before[i] == word[i]:
                 i += 1
-            del last[i + 1 :], score[i + 1 :], active[i + 1 :]  # what the common prefix gave stays
+            del last[i + 1 :], score[i + 1 :], active[i + 1 :], path[i + 1 :]  # what the common prefix gave stays
             for i in range(i, len(word)):
                 c = word[i]
-                walked, best, found = [], None, None
+                walked, best, found, top = [], None, None, -math.inf
                 alone = False
                 for s, node in (*active[i], (i, trie)):  # longer pieces first
                     node = node.get(c)
@@ -66,6 +73,8 @@ class Encoder:
                     if id_ is None:
                         continue
                     alone |= s == i
+                    if u and (x := u_add(path[s], u_scores[id_])) > top:
+                        top = x
                     if unigram:
                         x = add(score[s], scores[id_])
                         if best is None or x > best:
@@ -79,10 +88,14 @@ class Encoder:
                             best, found = x, (i, c, None)
                     elif found is None:
                         found = (i, c, None)
+                    if u and (x := u_add(path[i], u_unknown)) > top:
+                        top = x
                 last.append(found)
+                path.append(top if u else 0.0)
                 score.append(best or 0.0)
                 active.append(walked)
             before = word
+            own_scores.append(path[-1])
             at, ids = len(word), []
             while at:
                 s, piece, id_ = last[at]
@@ -93,6 +106,8 @@ class Encoder:
             sizes.append(len(own))
         n = len(self.code)
         self.code.update(zip(new, range(n, n + len(new))))
+        self.used += sum(map(len, new)) + WORD_BYTES * len(new)
+        self.score = np.concatenate([self.score, np.array(own_scores, float)])
         sizes = np.array(sizes, np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])]) if len(sizes) else self.start
         self.size = np.concatenate([self.size, sizes])
@@ -100,7 +115,11 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and offsets."""
-        if len(self.code) > KEPT_WORDS:
+        return self.encode_scored(texts)[:2]
+
+    def encode_scored(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in one array, offsets, and scores of the unigram reading's best paths (words' scores added up)."""
+        if self.used > KEPT_BYTES:
             self.reset()
         units, ends = [], [0]
         for t in texts:
@@ -113,15 +132,14 @@ class Encoder:
         at = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.repeat(self.start[codes] - at[:-1], size) + np.arange(at[-1])]
         offsets = at[np.array(ends)]
-        if any(len(u) > KEPT_CHARS for u in set(units)):  # very long words aren't worth keeping
-            self.reset()
         if not self.m.byte_fallback:  # unknown characters side by side are one piece
             row = np.repeat(np.arange(len(texts)), np.diff(offsets))
             keep = np.ones(len(ids), bool)
             keep[1:] = (ids[1:] != self.m.unk) | (ids[:-1] != self.m.unk) | (row[1:] != row[:-1])
             offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
             ids = ids[keep]
-        return ids, offsets
+        total = np.concatenate([[0.0], np.cumsum(self.score[codes])])[np.array(ends)]
+        return ids, offsets, np.diff(total)
 
 
 class Decoder:
@@ -150,15 +168,16 @@ class Decoder:
         return out
 
 
-_LOADED: dict[tuple[int, int | None], tuple[Encoder, Decoder]] = {}
+_LOADED: dict[tuple[int, int | None, bool], tuple[Encoder, Decoder]] = {}
 
 
-def _loaded(data: bytes, kind: int | None) -> tuple[Encoder, Decoder]:
-    key = (hash(data), kind)
+def _loaded(data: bytes, kind: int | None, scored: bool = False) -> tuple[Encoder, Decoder]:
+    """A worker holds one model at a time."""
+    key = (hash(data), kind, scored)
     if key not in _LOADED:
         _LOADED.clear()
         m = PieceModel(data, kind)
-        _LOADED[key] = Encoder(m), Decoder(m)
+        _LOADED[key] = Encoder(m, PieceModel(data, UNIGRAM) if scored else None), Decoder(m)
     return _LOADED[key]
 
 
@@ -168,28 +187,33 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-ADDED = (T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()))
+ADDED = (T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("path_score", T.DoubleType()))
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", kind: int | None = None, decoded: bool = False) -> DataFrame:
-    """docs with token_ids, and with the text decoded from them again if asked."""
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", kind: int | None = None, decoded: bool = False, scored: bool = False) -> DataFrame:
+    """docs with token_ids; with the text decoded from them again and with path_score, the score of the best path of the
+    vocabulary read as a unigram model, if asked."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(*[c for c in docs.columns if c not in {f.name for f in ADDED[: 1 + decoded]}])
-    schema = T.StructType([*docs.schema.fields, *ADDED[: 1 + decoded]])
+    added = [ADDED[0], *ADDED[1:2] * decoded, *ADDED[2:] * scored]
+    docs = docs.select(*[c for c in docs.columns if c not in {f.name for f in added}])
+    schema = T.StructType([*docs.schema.fields, *added])
     at, held = docs.columns.index(text_col), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = _loaded(held.value, kind)
+        enc, dec = _loaded(held.value, kind, scored)
         for batch in batches:
             col = batch.column(at)
-            ids, offsets = enc.encode(col.to_pylist())
-            gone = col.is_null()
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=gone) if col.null_count else pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            more = [pa.array(dec.decode(ids, offsets), pa.string(), mask=np.asarray(gone))] if decoded else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists, *more], schema.fieldNames())
+            ids, offsets, score = enc.encode_scored(col.to_pylist())
+            gone = np.asarray(col.is_null())
+            more = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=pa.array(gone))]
+            if decoded:
+                more.append(pa.array(dec.decode(ids, offsets), pa.string(), mask=gone))
+            if scored:
+                more.append(pa.array(score, pa.float64(), mask=gone))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def decode(tokens: DataFrame, model: bytes, ids_col: str = "token_ids") -> DataFrame:
@@ -208,4 +232,4 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "token_ids") -> DataF
             text = dec.decode(col.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string(), mask=np.asarray(col.is_null()))], schema.fieldNames())
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(lean(run), schema)

@@ -51,12 +51,12 @@ def test_pieces_of_random_strings():
     strings = ["".join(r.choice("abcdetionsh  ▁\n\té漢🙂\0ß.,0<>=-") for _ in range(r.randint(0, 60))) for _ in range(800)] + ["=" * 90, " " * 50 + "x"]
     for kind in (None, UNIGRAM):
         sp, m = library(kind), PieceModel(MODEL, kind)
-        enc, count = sentencepiece_codec.Encoder(m), token_count.Counter(m)
+        enc, count = sentencepiece_codec.Encoder(m), token_count.Counter([m])
         # scores add up in single precision over a whole text in the library, so unigram paths are compared word by word
         some = strings if kind is None else [w for s in strings for w in re.split(r"[\s▁\0🙂<>=]", s) if w]
         ids, at = enc.encode(some)
         assert [ids[at[i] : at[i + 1]].tolist() for i in range(len(some))] == sp.encode(some)
-        assert [count.text(s) for s in some] == [len(x) for x in sp.encode(some)]
+        assert count.count_all(some)[0][0].tolist() == [len(x) for x in sp.encode(some)]
     dec = sentencepiece_codec.Decoder(PieceModel(MODEL))
     lists = [[r.randrange(400) for _ in range(r.randint(0, 30))] for _ in range(500)]
     assert dec.decode(np.array([x for p in lists for x in p]), np.concatenate([[0], np.cumsum([len(p) for p in lists])])) == library().decode(lists)
@@ -69,6 +69,55 @@ def test_token_counts(docs, empty):
     assert token_count.count_tokens(empty, MODEL).count() == 0
 
 
+def best_paths(m, word):
+    """(score, pieces) of a word by trying every segmentation, the earliest start of the last piece first among equals."""
+    best = [(0.0, 0)]
+    for e in range(1, len(word) + 1):
+        options = [(m.add(best[s][0], m.scores[m.ids[word[s:e]]]), best[s][1] + 1) for s in range(e) if word[s:e] in m.ids]
+        if word[e - 1] not in m.ids:
+            options.append((m.add(best[e - 1][0], m.unk_score), best[e - 1][1] + (len(word[e - 1].encode()) if m.byte_fallback else 1)))
+        top = max(x for x, _ in options)
+        best.append(next(o for o in options if o[0] == top))
+    return best[-1]
+
+
+def test_unigram_scores_of_both_operators(docs):
+    """Scores and counts of the unigram reading against every segmentation; both operators give the same score."""
+    m = PieceModel(MODEL, UNIGRAM)
+    r = random.Random(5)
+    words = ["▁" + "".join(r.choice("abcdetionshé漢🙂ß.,0") for _ in range(r.randint(0, 30))) for _ in range(300)] + ["▁" + "ab漢" * 60]
+    counter = token_count.Counter([PieceModel(MODEL), m])
+    counter.learn(sorted(set(words)))
+    enc = sentencepiece_codec.Encoder(PieceModel(MODEL), m)
+    enc.learn(sorted(set(words)))
+    for w in words:
+        score, n = best_paths(m, w)
+        k = counter.code[w]
+        assert (counter.score[1][k], counter.count[1][k]) == (score, n) and enc.score[enc.code[w]] == score
+    counted = token_count.count_tokens(docs, MODEL, kinds={"n_tokens": None, "n_unigram": UNIGRAM}, scores={"unigram_score": "n_unigram"})
+    a = Counter(rows(counted, "doc_id", "text", "unigram_score"))
+    assert a == Counter(rows(sentencepiece_codec.encode(docs, MODEL, scored=True), "doc_id", "text", "path_score"))
+    assert all((t is None) == (s is None) for _, t, s in a)
+
+
+def test_pairs_of_pieces_stay_as_merging_says():
+    m, r = PieceModel(MODEL), random.Random(6)
+
+    def merged(text):
+        parts = list(text)
+        while True:
+            found = [(-m.scores[m.ids[a + b]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in m.ids]
+            if not found:
+                return parts
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    names = [*r.sample(sorted(m.ids), 300), "漢", "🙂", "e", "th", "▁the"]
+    for a in ["", *names]:
+        for b in r.sample(names, 20):
+            assert m.stays(a, b) == (merged(a + b) == ([a, b] if a else [b])), (a, b)
+
+
 def test_language_mixture(spark, docs, empty):
     r = random.Random(2)
     say = lambda words, n: " ".join(r.choice(words) for _ in range(n))

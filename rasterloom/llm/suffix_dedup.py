@@ -1,23 +1,25 @@
 """Suffix-array deduplication of long repeated strings with a logarithmic index family.
 
-A byte goes if it lies in a string of ``length`` bytes that also starts in a document with a smaller id. The arrays are
-sparse and cut at ``length``: of the suffixes, those count that start a window's *anchor*, the k-gram with the least hash in
-the window (equal windows have equal anchors, so no match is missed), and suffixes are ordered by fingerprints of
-what they start with instead of by letters, which keeps equal prefixes side by side and fits some bytes.
-
-1. Each anchor sends two fingerprints to a range of the hash space: that of its k-gram, and that of its reach, the
-   string over all windows that it anchors. In a range, documents come in order of their ids, in batches. A batch is sorted
-   into an array and merge-scanned against the existing levels, each of which is a sorted array with the smallest document
-   of each fingerprint; equal-sized levels merge geometrically. A reach found in a smaller document removes all
-   its windows. Where a k-gram is shared but reaches differ (at the ends of matches), its windows are asked for one by one.
-2. For these the bytes of the reach go to the range of the k-gram, where equal windows meet, as they have equal anchors. They
-   pass through further families in the same way, one for each place of the anchor in a window, by all their bytes.
-3. Removed windows are marked in the document, and what is left is kept.
-
-A batch of documents travels compressed beside its fingerprints, so texts are never joined by key, and a text's fingerprints
-of all ranges meet again in its batch. Reaches count as equal by 96 bits from two independent hashes, beside those of the
-range and of the k-gram; windows by their bytes. Fingerprints of k-grams have 32 bits beside those of the range: where two
-k-grams share one, windows are asked for in vain, but none is removed.
+A byte goes if it lies in a string of ``length`` bytes (a window) that also starts in a document with a smaller id. The suffix
+arrays are sparse: they hold the suffixes that start at *anchors*. A window's anchor is its 20-byte substring with the least hash,
+so equal windows have equal anchors at equal places, and no match is missed. Suffixes are ordered by their letters; beside
+each stands the text before the anchor, so that a window counts as found when the common prefix of two suffixes and the
+common text before them cover it. Every removal is decided by bytes, never by hashes.
+
+1. Anchors whose 20 bytes stand in one document only can't match. Each batch of documents sends the hashes of its distinct
+   anchors to ranges of the hash space, which answer which of them other documents hold too.
+2. Each batch deals its remaining strings (an anchor with all windows around it) to the anchors' ranges. Equal strings of a batch are
+   folded: larger documents' ones go at once, and the smallest's one travels. Anchors that very many batches hold are dealt
+   window by window, by the hash of the whole window, which spreads them over all tasks.
+3. In a range, documents come in order of their ids, in batches. A batch gets a suffix array, which is merge-scanned with each
+   older level for common strings, and becomes a level; levels merge when they are about equal in size (``LevelFamily``).
+4. Removed windows are marked in their documents, and what is left is kept.
+
+``StoredFamily`` keeps the levels of all ranges as tables in a shared folder: documents that come later are scanned against them
+without reading the older documents again, and stored levels merge in the same geometric way.
+
+Batches are made anew by each scan of the input; a checksum of ids and texts travels with them, and a scan that gives
+other batches is an error (the input must then be written to a table first).
 
 Defined results: a null text has no bytes. Documents that share an id don't remove each other's strings. Null ids are larger than
 all others and don't remove each other's strings. Texts shorter than ``length`` stay. Ids must be below 2**63 - 1. Result
@@ -27,82 +29,100 @@ columns replace input columns of the same name. An empty table gives an empty re
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import BYTE64, bounded_batches, chunks, input_bytes, lean, mix64, rising, falling_at, text_bytes
+from rasterloom.llm.common import bounded_batches, chunks, drop_path, input_bytes, lean, mix64, stage, text_bytes
 
-#: Text bytes of a batch (positions must fit 24 bits, unless one text is longer), and k-gram bytes of an anchor.
-BATCH = 1 << 20
-GRAM = 20
+#: Text bytes of a batch, bytes of an anchor, and places whose hashes are made at once.
+BATCH, GRAM, BLOCK = 4 << 20, 20, 1 << 16
+#: Strings of a batch of the index family, and batches that hold an anchor above which its windows are dealt one by one.
+LEVEL, HOT = 1 << 16, 1 << 12
 #: The part of rows that carry removed spans to their batch; it sorts last.
 SPANS = (1 << 31) - 1
 NONE = np.int64((1 << 63) - 1)
-REST = np.uint64(32)
-#: Values of bytes for a second fingerprint.
-OTHER64 = np.random.Generator(np.random.PCG64(20241107)).integers(0, 1 << 64, 256, dtype=np.uint64)
-#: Entries of a batch of the index family.
-LEVEL = 1 << 16
+#: The id of strings in stored levels: smaller than all.
+EARLIER = np.int64(-(1 << 63))
 
-ROW = "part int, batch long, n int, docs binary, ids binary, key binary, reach binary, at binary, head binary"
+ROW = "part int, batch long, n int, sum long, at binary, which binary, ids binary, place binary, strings binary, head binary"
 _NAMES = [x.split()[0] for x in ROW.split(", ")]
-_KINDS = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 6]
+_KINDS = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
 
 
 def _row(**v) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v.get(n)], k) for n, k in zip(_NAMES, _KINDS)], _NAMES)
 
 
-class Rolling:
-    """Fingerprints of any substring of a batch."""
+def _squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = BYTE64) -> None:
-        self.total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * rising(len(data)), out=self.total[1:])
 
-    def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        return mix64((self.total[start + size] - self.total[start]) * falling_at(start) + np.asarray(size).astype(np.uint64))
+def _open(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def gram_prints(roll: Rolling, place: np.ndarray) -> np.ndarray:
-    """Fingerprints of anchors' k-grams, mixed anew: an anchor was chosen for a small hash, which would crowd the low ranges."""
-    return mix64(roll.of(place, GRAM) ^ np.uint64(0xD1B54A32D192ED03))
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a number."""
+    return np.ndarray((max(0, len(data) - 7),), np.uint64, data, 0, (1,))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, roll: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def gram_hashes(word: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """Hashes of the GRAM bytes from each place on."""
+    i = (lambda k: slice(at.start + k, at.stop + k)) if isinstance(at, slice) else (lambda k: at + k)
+    h = word[i(0)] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += word[i(8)]
+    h *= np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h += word[i(GRAM - 8)]
+    h *= np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(place, first window, last window, document) of each anchor, in order; windows start from first to last."""
-    n_docs = len(offsets) - 1
     n = len(data) - length + 1
-    none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, none
-    width = length - GRAM + 1  # k-grams in a window
-    bits = max(24, int(len(data)).bit_length())
-    place = np.arange(len(data) - GRAM + 1)
-    low = (roll.of(place, GRAM) >> np.uint64(bits) << np.uint64(bits)) | place.astype(np.uint64)
-    span = 1
-    while span * 2 <= width:  # minima of 1, 2, 4, ... neighbours
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    rest = width - span
-    low = np.minimum(low[: len(low) - rest], low[rest:])[:n]
-    count = np.maximum(np.diff(offsets) - length + 1, 0)
-    doc = np.repeat(np.arange(n_docs), count)
-    t = np.arange(len(doc)) + np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-    if not len(t):
-        return none, none, none, none
-    p = (low[t] & np.uint64((1 << bits) - 1)).astype(np.int64)
-    new = np.ones(len(t), bool)
-    new[1:] = (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(t)) - 1
-    return p[first], t[first], t[last], doc[first]
+        return (np.zeros(0, np.int64),) * 4
+    width = length - GRAM + 1  # anchors that a window may have
+    word, mask, own = _words(data), np.uint64((1 << 24) - 1), np.empty(n, np.int64)
+    numbers = np.arange(BLOCK + width - 1, dtype=np.uint64)
+    for b in range(0, n, BLOCK):
+        e = min(n, b + BLOCK)
+        low = gram_hashes(word, slice(b, e + width - 1)) & ~mask
+        low |= numbers[: len(low)]  # the leftmost of equal hashes
+        span = 1
+        while span * 2 <= width:  # minima of 1, 2, 4, ... neighbours
+            low = np.minimum(low[: len(low) - span], low[span:])
+            span *= 2
+        if rest := width - span:
+            low = np.minimum(low[: len(low) - rest], low[rest:])
+        own[b:e] = low[: e - b] & mask
+        own[b:e] += b
+    inside = np.zeros(n + 1, bool)  # windows that don't cross documents
+    inside[:n] = True
+    ends = offsets[1:-1]
+    if len(ends):
+        cross = np.zeros(len(data) + 1, np.int32)
+        np.add.at(cross, np.maximum(ends - length + 1, 0), 1)
+        np.add.at(cross, ends, -1)
+        inside[:n] &= np.cumsum(cross[:n]) == 0
+    new = inside[:n].copy()
+    new[1:] &= (own[1:] != own[:-1]) | ~inside[: n - 1]
+    last = inside[:n].copy()
+    last &= np.append(new[1:], True) | ~inside[1:]
+    first, last = np.flatnonzero(new), np.flatnonzero(last)
+    return own[first], first, last, np.searchsorted(offsets, first, "right") - 1
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -115,80 +135,131 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n]), dtype=np.int64) if n else np.zeros(0, np.int64)
 
 
-def same(columns: list[np.ndarray]) -> np.ndarray:
-    """A number for each row (uint64), equal where all columns (uint64) are: exact, as the columns of equal hashes are compared."""
-    h = columns[0]
-    for c in columns[1:]:
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + c)
-    order = np.argsort(h, kind="stable")
-    new = _changes(columns, order)
-    if (new[1:] & (h[order][1:] == h[order][:-1])).any():  # equal hashes of different rows may be mixed up
-        order = np.lexsort(columns)
-        new = _changes(columns, order)
-    out = np.empty(len(h), np.uint64)
-    out[order] = np.cumsum(new)
-    return out
+class SuffixArray:
+    """Strings around anchors, ordered by the letters from the anchor on.
 
+    ahead: the bytes from the anchor on; behind: those before it, backwards; both are padded with zeros. ``most`` and
+    ``least`` are the largest and smallest number of bytes before the anchor among the string's windows: its places.
+    """
 
-def _changes(columns: list[np.ndarray], order: np.ndarray) -> np.ndarray:
-    """Whether a row differs from the one before it."""
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for c in columns:
-        c = c[order]
-        new[1:] |= c[1:] != c[:-1]
-    return new
+    def __init__(self, ahead: np.ndarray, behind: np.ndarray, most: np.ndarray, least: np.ndarray, ids: np.ndarray) -> None:
+        self.ahead, self.behind, self.most, self.least, self.ids = ahead, behind, most, least, ids
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    @classmethod
+    def build(cls, data: np.ndarray, most: np.ndarray, more: np.ndarray, ids: np.ndarray, length: int) -> tuple[SuffixArray, np.ndarray]:
+        """The array of the strings that stand in data one after the other, and their order. more: windows besides the first."""
+        size, n = more + length, len(most)
+        begin = np.concatenate([[0], np.cumsum(size)])[:n].astype(np.int64)
+        back, least = length - GRAM, most - more
+        wide = np.concatenate([np.zeros(back, np.uint8), data, np.zeros(length, np.uint8)])
+        view = np.lib.stride_tricks.sliding_window_view
+        ahead = view(wide, length)[begin + most + back]
+        ahead[np.arange(length) >= (length - least)[:, None]] = 0
+        behind = view(wide, back)[begin + most][:, ::-1]
+        behind = np.where(np.arange(back) < most[:, None], behind, 0).astype(np.uint8)
+        order = _order(ahead)
+        return cls(ahead[order], behind[order], most[order], least[order], ids[order]), order
+
+    def merged(self, other: SuffixArray) -> tuple[SuffixArray, np.ndarray]:
+        """Both arrays in one, and where its rows come from (other's after own); a stable sort merges the two runs."""
+        order = _order(np.concatenate([self.ahead, other.ahead]))
+        both = lambda a, b: np.concatenate([a, b])[order]
+        return SuffixArray(both(self.ahead, other.ahead), both(self.behind, other.behind), both(self.most, other.most), both(self.least, other.least), both(self.ids, other.ids)), order
+
+    def chosen(self, rows: np.ndarray) -> SuffixArray:
+        return SuffixArray(self.ahead[rows], self.behind[rows], self.most[rows], self.least[rows], self.ids[rows])
+
+    def found(self) -> np.ndarray:
+        """For each string and place whether its window also stands in a string with a smaller id."""
+        n, back = self.behind.shape
+        length = self.ahead.shape[1]
+        out = np.zeros((n, back + 1), bool)
+        if n < 2:
+            return out
+        common = _common(self.ahead)  # with the suffix before
+        order = _order(self.behind)
+        common_back = _common(self.behind[order])
+        class_back = np.zeros(n, np.int64)
+        for place in range(back + 1):
+            # runs of suffixes with a common prefix that reaches the windows' ends
+            run = np.concatenate([[0], np.cumsum(common < length - place)])
+            rows = np.flatnonzero((self.least <= place) & (place <= self.most))
+            rows = rows[np.bincount(run[rows], minlength=run[-1] + 1)[run[rows]] > 1]
+            if not len(rows):
+                continue
+            key = run[rows]
+            if place:  # and with common text back to their starts
+                class_back[order] = np.concatenate([[0], np.cumsum(common_back < place)])
+                key = key * n + class_back[rows]
+            by = np.argsort(key, kind="stable")
+            key, rows = key[by], rows[by]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            least = np.minimum.reduceat(self.ids[rows], np.flatnonzero(new))
+            out[rows, place] = self.ids[rows] > least[np.cumsum(new) - 1]
+        return out
 
 
-def byte_columns(data: np.ndarray, start: np.ndarray, length: int) -> list[np.ndarray]:
-    """The bytes of data[start : start + length] as words of 8 bytes; the last one may overlap."""
-    word = np.ndarray((len(data) - 7,), np.uint64, data, 0, (1,))
-    return [word[start + i] for i in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]]
+def _order(rows: np.ndarray) -> np.ndarray:
+    """The order of rows of bytes by their letters; sorted runs are merged."""
+    rows = np.ascontiguousarray(rows)
+    return np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
 
 
-class LevelFamily:
-    """Sorted arrays of fingerprints with the smallest document of each; sizes at least double from level to level."""
-
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def scan(self, prints: np.ndarray) -> np.ndarray:
-        """The smallest document of each fingerprint in all levels, or NONE."""
-        out = np.full(len(prints), NONE)
-        for keys, least in self.levels:
-            i = np.searchsorted(keys, prints)
-            i[i == len(keys)] = 0
-            out = np.where(keys[i] == prints, np.minimum(out, least[i]), out)
-        return out
+def _common(rows: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of neighbouring rows."""
+    differ = rows[1:] != rows[:-1]
+    return np.where(differ.any(1), differ.argmax(1), rows.shape[1])
 
-    def add(self, prints: np.ndarray, docs: np.ndarray) -> None:
-        """A new batch's array; levels that aren't larger merge with it."""
-        new = self._array(prints, docs)
-        while self.levels and len(self.levels[-1][0]) <= 2 * len(new[0]):
-            keys, least = self.levels.pop()
-            new = self._array(np.concatenate([keys, new[0]]), np.concatenate([least, new[1]]))
-        self.levels.append(new)
 
-    @staticmethod
-    def _array(prints: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(prints, kind="stable")
-        p, d = prints[order], docs[order]
-        first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
-        return p[first], np.minimum.reduceat(d, first)
-
-
-def in_batches(docs: np.ndarray, prints: list[np.ndarray]) -> list[np.ndarray]:
-    """For each kind of fingerprint: the smallest document among equal ones of documents up to the own (NONE or >= own: no smaller one).
+class LevelFamily:
+    """Suffix arrays of older batches; sizes at least double from level to level."""
+
+    def __init__(self, levels: list[SuffixArray] = ()) -> None:
+        self.levels = list(levels)
+
+    def scan(self, batch: SuffixArray) -> np.ndarray:
+        """Windows of the batch (as ``SuffixArray.found``) that stand in strings with smaller ids, of all levels or of the batch."""
+        if not self.levels:
+            return batch.found()
+        out = np.zeros((len(batch), batch.behind.shape[1] + 1), bool)
+        for level in self.levels:
+            both, source = level.merged(batch)
+            of_batch = source >= len(level)
+            out[source[of_batch] - len(level)] |= both.found()[of_batch]
+        return out
 
-    Documents come in order of their ids and enter the families batch by batch; a batch is scanned after it entered.
-    """
-    order = np.argsort(docs, kind="stable")
-    families, out = [LevelFamily() for _ in prints], [np.full(len(docs), NONE) for _ in prints]
-    for i in range(0, len(order), LEVEL):
-        rows = order[i : i + LEVEL]
-        for f, p, o in zip(families, prints, out):
-            f.add(p[rows], docs[rows])
-            o[rows] = f.scan(p[rows])
+    def add(self, batch: SuffixArray) -> None:
+        """The batch's array becomes a level; levels that aren't much larger merge with it."""
+        while self.levels and len(self.levels[-1]) <= 2 * len(batch):
+            batch, _ = self.levels.pop().merged(batch)
+        self.levels.append(batch)
+
+    def take(self, array: SuffixArray) -> np.ndarray:
+        """Scan a batch and add those of its strings that have a window of their own; gives the windows found."""
+        gone = self.scan(array)
+        places = np.arange(gone.shape[1])
+        covered = (array.least[:, None] <= places) & (places <= array.most[:, None])
+        fresh = np.flatnonzero((covered & ~gone).any(1))
+        if len(fresh):
+            self.add(array.chosen(fresh))
+        return gone
+
+
+def find_windows(data: np.ndarray, most: np.ndarray, more: np.ndarray, ids: np.ndarray, length: int, family: LevelFamily | None = None, level: int = LEVEL) -> np.ndarray:
+    """For each string and place whether its window stands in a string with a smaller id; batches of ``level`` strings."""
+    family = family or LevelFamily()
+    out = np.zeros((len(ids), length - GRAM + 1), bool)
+    begin = np.concatenate([[0], np.cumsum(more + length)])
+    by = np.argsort(ids, kind="stable")
+    for i in range(0, len(by), level):
+        rows = by[i : i + level]
+        size = more[rows] + length
+        t = np.arange(size.sum()) + np.repeat(begin[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+        array, order = SuffixArray.build(data[t], most[rows], more[rows], ids[rows], length)
+        out[rows[order]] = family.take(array)
     return out
 
 
@@ -203,66 +274,57 @@ def _open_head(data: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(data).read_next_batch()
 
 
-ADDED = (T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()))
-
+@dataclass(frozen=True)
+class _Job:
+    """The functions that tasks run; picklable."""
 
-def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept: str | None = "bytes", bits: int | None = None) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, spans ([first, end) bytes) and kept_sha256, and with what is left.
+    length: int
+    bits: int
+    id_at: int
+    text_at: int
+    kept: str | None
+    names: list[str]
+    hot: int = HOT
+    level: int = LEVEL
 
-    kept: "bytes" adds kept (binary), "text" adds kept_text (null for a null text; characters that a removal cut in two are
-    left out), None neither. The text column is dropped.
-    """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} at least")
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    added = [*ADDED[:5], *({"bytes": ADDED[5:6], "text": ADDED[6:7]}.get(kept, ()))]
-    docs = docs.select(*[c for c in docs.columns if c == text_col or c == id_col or c not in {f.name for f in ADDED}])
-    id_at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
-    schema = T.StructType([*(f for f in docs.schema.fields if f.name != text_col), *added])
-    if bits is None:  # a range gets about 4 MB of fingerprints
-        bits = min(22, max(6, ((input_bytes(docs) or 1) >> 22).bit_length()))
-    bits = max(1, bits)
-    ranges, down = 1 << bits, np.uint64(32 - bits)
-    small = np.uint8 if length < 256 else np.uint32  # holds places in a window
-    n_tasks = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    def pieces(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+        """(number, rows, bytes, offsets, checksum) of the batches that a task's rows are cut into."""
         base, seq = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            _, offsets = text_bytes(batch.column(text_at))
+            _, offsets = text_bytes(batch.column(self.text_at))
             for i, j in chunks(np.diff(offsets), BATCH):
-                yield base + seq, batch.slice(i, j - i)
+                part = batch.slice(i, j - i)
+                data, own = text_bytes(part.column(self.text_at))
+                yield base + seq, part, data, own, zlib.crc32(data, zlib.crc32(own.tobytes(), zlib.crc32(self.ids(part).tobytes())))
                 seq += 1
 
-    def ids_of(batch: pa.RecordBatch) -> np.ndarray:
-        return batch.column(id_at).cast(pa.int64()).fill_null(int(NONE)).to_numpy(zero_copy_only=False)
-
-    def dealt(number: int, prints: np.ndarray, doc: np.ndarray, ids: np.ndarray, columns: Callable[[np.ndarray], dict[str, bytes]]) -> Iterator[pa.RecordBatch]:
-        """One row for each range, with columns of the given places."""
-        part = (prints >> (down + REST)).astype(np.int64)
-        order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
-        cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
-        for p in np.flatnonzero(np.diff(cut)).tolist():
-            rows = order[cut[p] : cut[p + 1]]
-            own, local = np.unique(doc[rows], return_inverse=True)
-            yield _row(part=p, batch=number, n=len(rows), docs=_pack(local), ids=ids[own].tobytes(), **columns(rows))
-
-    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in pieces(batches):
-            data, offsets = text_bytes(batch.column(text_at))
-            roll = Rolling(data)
-            place, first, last, doc = anchors(data, offsets, length, roll)
-            if len(place):
-                prints = gram_prints(roll, place)
-                key, reach = (prints >> down).astype(np.uint32), roll.of(first, last - first + length)
-                more = Rolling(data, OTHER64).of(first, last - first + length).astype(np.uint32)
-                yield from dealt(number, prints, doc, ids_of(batch), lambda rows: {"key": key[rows].tobytes(), "reach": reach[rows].tobytes() + more[rows].tobytes()})  # noqa: B023
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in pieces(batches):
-            yield _row(part=-1, batch=number, n=batch.num_rows, head=_head(batch))
+    def ids(self, batch: pa.RecordBatch) -> np.ndarray:
+        return batch.column(self.id_at).cast(pa.int64()).fill_null(int(NONE)).to_numpy(zero_copy_only=False)
 
+    def keys(self, data: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Range and 32 more bits of anchors' hashes, mixed anew: an anchor was chosen for a small hash."""
+        h = mix64(gram_hashes(_words(data), place) ^ np.uint64(0xD1B54A32D192ED03)) if len(place) else np.zeros(0, np.uint64)
+        return (h >> np.uint64(32 - self.bits)).astype(np.int64)
+
+    def scatter(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct anchors of each batch, and whether several of its documents hold them."""
+        for number, batch, data, offsets, total in self.pieces(batches):
+            place, _, _, doc = anchors(data, offsets, self.length)
+            if not len(place):
+                continue
+            key, back = np.unique(self.keys(data, place), return_inverse=True)
+            least, most = np.full(len(key), len(offsets)), np.zeros(len(key), np.int64)
+            np.minimum.at(least, back, doc), np.maximum.at(most, back, doc)
+            part, low, several = key >> 32, key.astype(np.uint32), least < most
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(key)]])
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                yield _row(part=int(part[i]), batch=number, sum=total, n=j - i, at=low[i:j].tobytes(), which=np.packbits(several[i:j]).tobytes())
+
+    def heads(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch, _, _, total in self.pieces(batches):
+            yield _row(part=-1, batch=number, sum=total, n=batch.num_rows, head=_head(batch))
+
+    @staticmethod
     def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict] | dict]:
         """Rows of one range together; spans as they come."""
         held: list[dict] = []
@@ -278,35 +340,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         if held:
             yield held
 
-    def opened(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([r["n"] for r in rows])
-        docs = np.concatenate([np.frombuffer(r["ids"], np.int64)[_unpack(r["docs"], r["n"])] for r in rows])
-        return np.concatenate([[0], np.cumsum(size)]), docs
-
-    def find_reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_part(batches):
-            at, docs = opened(rows)
-            key = np.concatenate([np.frombuffer(r["key"], np.uint32) for r in rows]).astype(np.uint64)
-            reach = np.concatenate([np.frombuffer(r["reach"], np.uint64, r["n"]) for r in rows])
-            more = np.concatenate([np.frombuffer(r["reach"], np.uint32, r["n"], 8 * r["n"]) for r in rows]).astype(np.uint64)
-            both = same([reach, key << np.uint64(32) | more])
-            (reach_least,) = in_batches(docs, [both])
-            # k-grams of several documents with several reaches: their first reaches are asked for window by window
-            order = np.lexsort((both, key))
-            k, b = key[order], both[order]
-            new_key = np.concatenate([[True], k[1:] != k[:-1]])
-            new = new_key | np.concatenate([[True], b[1:] != b[:-1]])
-            group = np.cumsum(new_key) - 1
-            start = np.flatnonzero(new_key)
-            several = (np.bincount(group, new) >= 2) & (np.maximum.reduceat(docs[order], start) > np.minimum.reduceat(docs[order], start))
-            mixed = np.empty(len(key), bool)
-            mixed[order] = several[group]
-            state = np.where(reach_least < docs, 2, np.where(mixed, 3, 0)).astype(np.uint8)
-            for i, r in enumerate(rows):
-                own = state[at[i] : at[i + 1]]
-                if own.any():
-                    yield _row(part=r["part"], batch=r["batch"], n=len(own), at=own.tobytes())
-
+    @staticmethod
     def by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[dict]]]:
         head, rows = None, []
         for batch in batches:
@@ -315,73 +349,123 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                     if head:
                         yield head, rows
                     head, rows = row, []
-                else:
-                    rows.append(row)
+                    continue
+                if head is None or (row["batch"], row["sum"]) != (head["batch"], head["sum"]):
+                    raise RuntimeError("the input gave other rows when it was read again; write it to a table first")
+                rows.append(row)
         if head:
             yield head, rows
 
-    def ask_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for head, rows in by_batch(batches):
-            batch = _open_head(head["head"])
-            removed = np.zeros(0, np.int64)
+    def find_shared(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which anchors of each batch several documents hold (at), and which very many batches do (which)."""
+        for rows in self.by_part(batches):
+            key = np.concatenate([np.frombuffer(r["at"], np.uint32) for r in rows])
+            several = np.concatenate([np.unpackbits(np.frombuffer(r["which"], np.uint8), count=r["n"]) for r in rows])
+            order = np.argsort(key, kind="stable")
+            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            group, start = np.cumsum(new) - 1, np.flatnonzero(new)
+            times = np.diff(np.append(start, len(key)))
+            shared, hot = np.empty(len(key), bool), np.empty(len(key), bool)
+            shared[order] = ((times > 1) | (np.maximum.reduceat(several[order], start) > 0))[group]
+            hot[order] = (times > self.hot)[group]
+            at = 0
+            for r in rows:
+                own = slice(at, at + r["n"])
+                at += r["n"]
+                if shared[own].any():
+                    yield _row(part=r["part"], batch=r["batch"], sum=r["sum"], n=r["n"], at=np.packbits(shared[own]).tobytes(), which=np.packbits(hot[own]).tobytes() if hot[own].any() else None)
+
+    def ask(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, rows in self.by_batch(batches):
             if rows:
-                data, offsets = text_bytes(batch.column(text_at))
-                roll = Rolling(data)
-                place, first, last, doc = anchors(data, offsets, length, roll)
-                prints = gram_prints(roll, place)
-                part = (prints >> (down + REST)).astype(np.int64)
-                order = np.argsort(part.astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
-                cut = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=ranges))])
-                state = np.zeros(len(place), np.uint8)
+                batch = _open_head(head["head"])
+                data, offsets = text_bytes(batch.column(self.text_at))
+                place, first, last, doc = anchors(data, offsets, self.length)
+                key, back = np.unique(self.keys(data, place), return_inverse=True)
+                shared, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
                 for r in rows:
-                    state[order[cut[r["part"]] : cut[r["part"] + 1]]] = np.frombuffer(r["at"], np.uint8)
-                gone = np.flatnonzero(state == 2)
-                removed = np.stack([first[gone], last[gone] + length], 1).ravel()
-                ask = np.flatnonzero(state == 3)
-                if len(ask):
-                    place, first, last = place[ask], first[ask], last[ask]
-
-                    def columns(rows: np.ndarray) -> dict[str, bytes]:
-                        """First windows; places of anchors and numbers of further windows; bytes of reaches."""
-                        f, n = first[rows], last[rows] - first[rows]  # noqa: B023
-                        size = n + length
-                        t = np.arange(size.sum()) + np.repeat(f - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-                        return {"at": _pack(f), "key": (place[rows] - f).astype(small).tobytes() + n.astype(small).tobytes(), "reach": data[t].tobytes()}  # noqa: B023
-
-                    yield from dealt(head["batch"], prints[ask], doc[ask], ids_of(batch), columns)
-            if len(removed):
-                yield _row(part=SPANS, batch=head["batch"], n=len(removed), at=removed.tobytes())
-
-    def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_part(batches):
+                    i = np.searchsorted(key, r["part"] << 32)
+                    shared[i : i + r["n"]] = np.unpackbits(np.frombuffer(r["at"], np.uint8), count=r["n"])
+                    if r["which"]:
+                        hot[i : i + r["n"]] = np.unpackbits(np.frombuffer(r["which"], np.uint8), count=r["n"])
+                own = np.flatnonzero(shared[back])
+                yield from self.deal(head["batch"], head["sum"], data, place[own], first[own], last[own], self.ids(batch)[doc[own]], key[back[own]] >> 32, hot[back[own]])
+
+    def deal_all(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The strings of all anchors, for a stored family."""
+        for number, batch, data, offsets, total in self.pieces(batches):
+            place, first, last, doc = anchors(data, offsets, self.length)
+            yield from self.deal(number, total, data, place, first, last, self.ids(batch)[doc], self.keys(data, place) >> 32, np.zeros(len(place), bool))
+
+    def deal(self, number: int, total: int, data: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarray, part: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row for each range with the strings of a batch, and one with the spans that smaller documents of the batch remove."""
+        if hot.any():  # window by window, by the whole window's hash
+            at = np.flatnonzero(hot)
+            times = last[at] - first[at] + 1
+            t = np.repeat(first[at] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            h, word = np.zeros(len(t), np.uint64), _words(data)
+            for k in (*range(0, self.length - 7, 8), self.length - 8):
+                h = mix64(h + word[t + k])
+            cool = ~hot
+            join = lambda x, y: np.concatenate([x[cool], y])
+            place, ids, part = join(place, np.repeat(place[at], times)), join(ids, np.repeat(ids[at], times)), join(part, (h >> np.uint64(64 - self.bits)).astype(np.int64))
+            first, last = join(first, t), join(last, t)
+        blob, seen = data.tobytes(), {}
+        which = np.array([seen.setdefault(blob[f:e], len(seen)) for f, e in zip(first.tolist(), (last + self.length).tolist())], np.int64)
+        least = np.full(len(seen), NONE)
+        np.minimum.at(least, which, ids)
+        gone = ids > least[which]  # folded: a smaller document of this batch has the whole string
+        if gone.any():
+            yield _row(part=SPANS, batch=number, sum=total, n=int(gone.sum()), at=np.stack([first[gone], last[gone] + self.length], 1).tobytes())
+        strings, left = list(seen), np.flatnonzero(~gone)
+        left = left[np.lexsort((first[left], part[left]))]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(part[left])) + 1, [len(left)]]) if len(left) else [0]
+        for i, j in zip(cut[:-1], cut[1:]):
+            rows = left[i:j]
+            own, at, back = np.unique(which[rows], return_index=True, return_inverse=True)
+            one = rows[at]  # an entry of each distinct string
+            places = np.stack([place[one] - first[one], last[one] - first[one]]).astype(np.int32)
+            yield _row(part=int(part[rows[0]]), batch=number, sum=total, n=len(rows), at=_pack(first[rows]), which=_squeeze(back.astype(np.uint32).tobytes()), ids=_squeeze(ids[one].tobytes()), place=_squeeze(places.tobytes()), strings=_squeeze(b"".join([strings[k] for k in own.tolist()])))
+
+    @staticmethod
+    def opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """(most, more, ids, bytes) of a row's distinct strings."""
+        most, more = np.frombuffer(_open(r["place"]), np.int32).reshape(2, -1).astype(np.int64)
+        return most, more, np.frombuffer(_open(r["ids"]), np.int64), _open(r["strings"])
+
+    def find(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Removed windows of each batch. Rows of batches below 0 are stored levels, and then the new level comes out too."""
+        for rows in self.by_part(batches):
             if isinstance(rows, dict):
                 yield _row(**rows)
                 continue
-            at, docs = opened(rows)
-            both = [np.frombuffer(r["key"], small).astype(np.int64).reshape(2, -1) for r in rows]
-            anchor, more = np.concatenate(both, 1)
-            first = np.concatenate([_unpack(r["at"], r["n"]) for r in rows])
-            begin = np.concatenate([[0], np.cumsum(more + length)[:-1]])
-            data = np.frombuffer(b"".join(r["reach"] for r in rows), np.uint8)
-            owner, found = [], []
-            for place in range(length - GRAM + 1):  # equal windows have equal anchors at equal places
-                own = np.flatnonzero((anchor >= place) & (anchor - place <= more))
-                if len(own):
-                    t = anchor[own] - place
-                    (least,) = in_batches(docs[own], [same(byte_columns(data, begin[own] + t, length))])
-                    gone = least < docs[own]
-                    owner.append(own[gone]), found.append((first[own] + t)[gone])
-            t = np.concatenate(found)
-            row = np.searchsorted(at, np.concatenate(owner), "right") - 1
-            order = np.lexsort((t, row))
-            cut = np.searchsorted(row[order], np.arange(len(rows) + 1))
-            for i, r in enumerate(rows):
-                own = t[order[cut[i] : cut[i + 1]]]
-                if len(own):
-                    yield _row(part=r["part"], batch=r["batch"], n=len(own), at=_pack(own))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for head, rows in by_batch(batches):
+            older = [self.load(r) for r in rows if r["batch"] < 0]
+            rows = [r for r in rows if r["batch"] >= 0]
+            if not rows:
+                continue
+            of = [self.opened(r) for r in rows]
+            most, more, ids = (np.concatenate([x[k] for x in of]) for k in range(3))
+            data = np.frombuffer(b"".join(x[3] for x in of), np.uint8)
+            gone = find_windows(data, most, more, ids, self.length, LevelFamily(older), self.level)
+            at = 0
+            for r, x in zip(rows, of):
+                own, mine = gone[at : at + len(x[0])], slice(at, at + len(x[0]))
+                at += len(x[0])
+                string, place = np.nonzero(own)
+                if not len(string):
+                    continue
+                # windows of every entry of each string
+                back = np.frombuffer(_open(r["which"]), np.uint32).astype(np.int64)
+                first, times = _unpack(r["at"], r["n"]), np.bincount(string, minlength=len(own))
+                begin = np.concatenate([[0], np.cumsum(times)])
+                n = times[back]
+                t = np.repeat(begin[back] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                windows = np.sort(np.repeat(first, n) + most[mine][np.repeat(back, n)] - place[t])
+                yield _row(part=r["part"], batch=r["batch"], sum=r["sum"], n=len(windows), at=_pack(windows))
+
+    def finish(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text_at, kept, length = self.text_at, self.kept, self.length
+        for head, rows in self.by_batch(batches):
             batch = _open_head(head["head"])
             data, offsets = text_bytes(batch.column(text_at))
             change = np.zeros(len(data) + 1, np.int32)
@@ -413,11 +497,123 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                 cols.append(pa.array(texts, pa.binary()))
             elif kept == "text":
                 cols.append(pa.array([x.decode("utf-8", "ignore") for x in texts], pa.string(), mask=np.asarray(batch.column(text_at).is_null())))
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != text_at), *cols], schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != text_at), *cols], self.names)
+
 
-    found = docs.mapInArrow(lean(scatter), ROW).repartition(n_tasks, "part").sortWithinPartitions("part", "batch").mapInArrow(lean(find_reaches), ROW)
-    asked = docs.mapInArrow(lean(heads), ROW).unionByName(found).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(lean(ask_windows), ROW)
+    # stored levels
+
+    @staticmethod
+    def load(r: dict) -> SuffixArray:
+        most, more, ids, data = _Job.opened(r)
+        length = (len(data) - int(more.sum())) // max(1, len(most))
+        return SuffixArray.build(np.frombuffer(data, np.uint8), most, more, np.full(len(ids), EARLIER), length)[0]
+
+    def save(self, part: int, array: SuffixArray) -> pa.RecordBatch:
+        """A row with the array's strings in their order."""
+        more, strings = array.most - array.least, []
+        for ahead, behind, most, least in zip(array.ahead, array.behind, array.most.tolist(), array.least.tolist()):
+            strings.append(behind[:most][::-1].tobytes() + ahead[: self.length - least].tobytes())
+        return _row(part=part, batch=-1, n=len(array), ids=_squeeze(array.ids.tobytes()), place=_squeeze(np.stack([array.most, more]).astype(np.int32).tobytes()), strings=_squeeze(b"".join(strings)))
+
+    def new_level(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One array for each range of the strings of all batches."""
+        for rows in self.by_part(batches):
+            if isinstance(rows, list):
+                of = [self.opened(r) for r in rows]
+                distinct: dict[bytes, tuple[int, int]] = {}
+                for most, more, _, data in of:
+                    at = 0
+                    for m, k in zip(most.tolist(), more.tolist()):
+                        distinct[data[at : at + k + self.length]] = (m, k)
+                        at += k + self.length
+                places = np.array(list(distinct.values()), np.int64).T
+                array, _ = SuffixArray.build(np.frombuffer(b"".join(distinct), np.uint8), *places, np.full(len(distinct), EARLIER), self.length)
+                yield self.save(rows[0]["part"], array)
+
+
+ADDED = (T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType()))
+
+
+def _prepare(docs: DataFrame, length: int, id_col: str, text_col: str, kept: str | None, bits: int, hot: int, level: int) -> tuple[DataFrame, _Job, T.StructType]:
+    if length < 2 * GRAM:
+        raise ValueError(f"length must be {2 * GRAM} at least")
+    bounded_batches(docs.sparkSession)
+    added = [*ADDED[:5], *({"bytes": ADDED[5:6], "text": ADDED[6:7]}.get(kept, ()))]
+    docs = docs.select(*[c for c in docs.columns if c == text_col or c == id_col or c not in {f.name for f in ADDED}])
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != text_col), *added])
+    return docs, _Job(length, bits, docs.columns.index(id_col), docs.columns.index(text_col), kept, schema.fieldNames(), hot, level), schema
+
+
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
     spread = F.when(F.col("part") == SPANS, F.col("batch")).otherwise(-1)  # spans go evenly to all tasks
-    answered = asked.repartition(n_tasks, "part", spread).sortWithinPartitions("part", "batch").mapInArrow(lean(find_windows), ROW)
+    return rows.repartition(n, "part", spread).sortWithinPartitions("part", "batch")
+
+
+def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", kept: str | None = "bytes", bits: int | None = None, hot: int = HOT, level: int = LEVEL) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, spans ([first, end) bytes) and kept_sha256, and with what is left.
+
+    kept: "bytes" adds kept (binary), "text" adds kept_text (null for a null text; characters that a removal cut in two are
+    left out), None neither. The text column is dropped. bits: 2**bits ranges (None: by the input's size).
+    """
+    if bits is None:
+        bits = min(22, max(6, ((input_bytes(docs) or 1) >> 21).bit_length()))
+    docs, job, schema = _prepare(docs, length, id_col, text_col, kept, max(1, bits), hot, level)
+    n_tasks = max(1 << job.bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    heads = docs.mapInArrow(lean(job.heads), ROW)
+    batches = lambda rows: rows.repartition(n_tasks, "batch").sortWithinPartitions("batch", "part")
+    shared = _dealt(docs.mapInArrow(lean(job.scatter), ROW), n_tasks).mapInArrow(lean(job.find_shared), ROW)
+    asked = batches(heads.unionByName(shared)).mapInArrow(lean(job.ask), ROW)
+    found = _dealt(asked, n_tasks).mapInArrow(lean(job.find), ROW)
     # the scan makes the same batches again, which costs less than to carry them through a shuffle by range
-    return docs.mapInArrow(lean(heads), ROW).unionByName(answered).repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(lean(finish), schema)
+    return batches(heads.unionByName(found)).mapInArrow(lean(job.finish), schema)
+
+
+class StoredFamily:
+    """The levels of all ranges as tables below a shared folder, for documents that come batch by batch.
+
+    Strings of documents that came earlier count as those of smaller ids. A batch that is added becomes a level; levels merge while the older
+    one isn't more than twice as large. The list of live levels is written last, so a failed call leaves the family as it was.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, length: int = 50, bits: int = 6) -> None:
+        self.spark, self.path, self.length, self.bits = spark, path.rstrip("/"), length, bits
+        self.generation, self.levels = 0, []
+        jvm, at = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(at):
+            names = sorted(f.getPath().getName() for f in fs.listStatus(at))
+            done = [n for n in names if n.startswith("list-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+            if done:
+                self.generation = int(done[-1][5:])
+                self.levels = [tuple(r) for r in spark.read.parquet(f"{self.path}/{done[-1]}").orderBy(F.desc("strings")).collect()]
+
+    def _read(self, names: list[str]) -> DataFrame | None:
+        return self.spark.read.schema(ROW).parquet(*[f"{self.path}/{n}" for n in names]) if names else None
+
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: str | None = "bytes") -> DataFrame:
+        """What ``remove_repeats`` gives, against all documents so far; their strings then belong to the family."""
+        spark = self.spark
+        docs, job, schema = _prepare(docs, self.length, id_col, text_col, kept, self.bits, HOT, LEVEL)
+        n_tasks = max(1 << job.bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = stage(docs.mapInArrow(lean(job.deal_all), ROW), "strings")
+        older = self._read([n for n, _ in self.levels])
+        found = _dealt(dealt if older is None else dealt.unionByName(older), n_tasks).mapInArrow(lean(job.find), ROW)
+        both = docs.mapInArrow(lean(job.heads), ROW).unionByName(found)
+        out = stage(both.repartition(n_tasks, "batch").sortWithinPartitions("batch", "part").mapInArrow(lean(job.finish), schema), "kept")
+        self.generation += 1
+        mine, merged = dealt.where(F.col("part") != SPANS), []
+        levels = list(self.levels)
+        n = mine.agg(F.sum("n")).first()[0] or 0
+        while levels and levels[-1][1] <= 2 * n:
+            merged.append(levels.pop())
+            n += merged[-1][1]
+        if merged:
+            mine = mine.unionByName(self._read([name for name, _ in merged]))
+        name = f"level-{self.generation:06d}"
+        _dealt(mine, n_tasks).mapInArrow(lean(job.new_level), ROW).write.parquet(f"{self.path}/{name}")
+        n = self._read([name]).agg(F.sum("n")).first()[0] or 0
+        self.levels = [*levels, (name, n)]
+        spark.createDataFrame(self.levels, "name string, strings long").coalesce(1).write.parquet(f"{self.path}/list-{self.generation:06d}")
+        for old, _ in merged:
+            drop_path(spark, f"{self.path}/{old}")
+        return out

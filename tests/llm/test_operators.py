@@ -405,24 +405,72 @@ def test_equal_short_fingerprints_remove_nothing(spark):
         assert sorted(rows(got, "doc_id", "n_removed")) == [(i, 0) for i in range(len(texts))]
 
 
-def test_rows_of_equal_hashes(monkeypatch):
-    r = np.random.default_rng(4)
-    a, b = r.integers(0, 9, (2, 300)).astype(np.uint64)
-    for mix in (suffix_dedup.mix64, np.zeros_like):
-        monkeypatch.setattr(suffix_dedup, "mix64", mix)
-        n = suffix_dedup.same([a, b])
-        assert len(set(zip(a.tolist(), b.tolist(), n.tolist()))) == len(set(zip(a.tolist(), b.tolist()))) == len(set(n.tolist()))
-
-
-def test_level_family():
-    r = np.random.default_rng(9)
-    f, seen = suffix_dedup.LevelFamily(), {}
-    for doc in range(40):
-        p = r.integers(0, 500, r.integers(1, 60)).astype(np.uint64)
-        f.add(p, np.full(len(p), doc))
-        for x in p.tolist():
-            seen[x] = min(doc, seen.get(x, doc))
-    probe = np.arange(500, dtype=np.uint64)
-    assert f.scan(probe).tolist() == [seen.get(x, int(suffix_dedup.NONE)) for x in range(500)]
-    sizes = [len(k) for k, _ in f.levels]
-    assert all(a > b for a, b in zip(sizes, sizes[1:]))
+def removed_windows(texts, length, before=()):
+    """For (id, bytes) of each text the places of windows that start in a text with a smaller id, or in one of ``before``."""
+    least = {b[i : i + length]: suffix_dedup.EARLIER for b in before for i in range(len(b) - length + 1)}
+    for d, b in sorted(texts):
+        for i in range(len(b) - length + 1):
+            least.setdefault(b[i : i + length], d)
+    return [[i for i in range(len(b) - length + 1) if least[b[i : i + length]] < d] for d, b in texts]
+
+
+def repeated(r, n, low=0, high=400):
+    """Bytes with shared passages, periods, zeros and high bytes."""
+    parts = [bytes(r.choice(b"abc\0\xff ") for _ in range(r.randint(20, 120))) for _ in range(12)] + [b"ab" * 70, b"\0" * 90]
+    return [b"".join(r.choice(parts)[: r.randint(1, 200)] for _ in range(r.randint(low, high) // 40)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("level", [7, 50, 1 << 16])
+def test_suffix_arrays_and_levels(level):
+    r, length = random.Random(level), 45
+    texts = [(r.randrange(12), b) for b in repeated(r, 30)]
+    data = np.frombuffer(b"".join(b for _, b in texts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(b) for _, b in texts])])
+    place, first, last, doc = suffix_dedup.anchors(data, offsets, length)
+    covered = [(offsets[d] + i) for d, (_, b) in enumerate(texts) for i in range(len(b) - length + 1)]
+    assert [t for f, e in zip(first, last) for t in range(f, e + 1)] == covered
+    assert all(f <= p <= f + length and e <= p <= e + length - suffix_dedup.GRAM + length for p, f, e in zip(place, first, last))
+    ids = np.array([texts[d][0] for d in doc])
+    strings = np.concatenate([data[f : e + length] for f, e in zip(first, last)])
+    family = suffix_dedup.LevelFamily()
+    gone = suffix_dedup.find_windows(strings, place - first, last - first, ids, length, family, level)
+    got = sorted(int(place[k] - a) for k, a in zip(*np.nonzero(gone)))
+    assert got == sorted(int(offsets[d]) + i for d, of in enumerate(removed_windows(texts, length)) for i in of)
+    sizes = [len(x) for x in family.levels]
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    for x in family.levels:  # in the order of letters
+        rows_ = [bytes(v) for v in x.ahead]
+        assert rows_ == sorted(rows_)
+
+
+def test_hot_anchors_and_small_levels_change_nothing(docs):
+    cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    want = Counter(rows(suffix_dedup.remove_repeats(docs), *cols))
+    assert Counter(rows(suffix_dedup.remove_repeats(docs.repartition(5), bits=2, hot=0, level=16), *cols)) == want
+
+
+def test_stored_family(spark, tmp_path):
+    """Batches that come one after the other, against all texts at once; a family opened anew goes on."""
+    r, before, path = random.Random(8), [], f"file://{tmp_path}/family"
+    names = []
+    for k in range(5):
+        texts = [(i, b.decode("latin-1").encode()) for i, b in enumerate(repeated(r, (20, 6, 6, 3, 0)[k]))]
+        df = spark.createDataFrame([(i, b.decode()) for i, b in texts], "doc_id long, text string").repartition(2)
+        family = suffix_dedup.StoredFamily(spark, path, length=50, bits=2)
+        assert [n for n, _ in family.levels] == names
+        got = dict(rows(family.add(df), "doc_id", "kept"))
+        for (i, b), windows in zip(texts, removed_windows(texts, 50, before)):
+            gone = {t + j for t in windows for j in range(50)}
+            assert bytes(got[i]) == bytes(c for j, c in enumerate(b) if j not in gone)
+        before += [b for _, b in texts]
+        names = [n for n, _ in family.levels]
+        sizes = [n for _, n in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    assert len(names) < 5
+
+
+def test_other_batches_are_an_error():
+    rows_ = [{"part": -1, "batch": 3, "sum": 5, "head": b""}, {"part": 2, "batch": 3, "sum": 6}]
+    table = pa.RecordBatch.from_pylist(rows_, pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("sum", pa.int64()), ("head", pa.binary())]))
+    with pytest.raises(RuntimeError, match="other rows"):
+        list(suffix_dedup._Job.by_batch(iter([table])))

@@ -48,10 +48,25 @@ pos AS (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WH
 grams AS (SELECT rid, n, k, array_to_string(w[k : k + n - 1], ' ') AS phrase FROM pos),
 hit AS (SELECT g.rid, g.k, g.n, win.item_id FROM grams g JOIN win ON win.n = g.n AND win.phrase = g.phrase),
 cov AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM hit) GROUP BY rid),
+tile AS (
+  SELECT row_number() OVER () AS tid, item_id, t, list_distinct(t) AS u FROM (
+    SELECT DISTINCT item_id, w[k : k + 9] AS t FROM (
+      SELECT item_id, w, unnest(list_distinct(list_append(range(1, greatest(len(w) - 9, 1) + 1, 10), greatest(len(w) - 9, 1)))) AS k FROM i WHERE len(w) > 0))),
+need AS (SELECT tid, unnest(u) AS word, len(u) AS n_words FROM tile),
+place AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+held AS (
+  SELECT rid, tid FROM (SELECT DISTINCT rid, word FROM place) JOIN need USING (word) GROUP BY rid, tid HAVING count(*) = any_value(n_words)),
+around AS (
+  SELECT rid, tid, list(word) OVER (PARTITION BY rid, tid ORDER BY p RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS s
+  FROM held JOIN need USING (tid) JOIN place USING (rid, word)),
+near AS (
+  SELECT rid, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_near FROM (SELECT * FROM around JOIN tile USING (tid) WHERE len(s) >= len(t))
+  WHERE list_bool_and(list_transform(u, lambda x: len(list_filter(s, lambda y: y = x)) >= len(list_filter(t, lambda z: z = x)))) GROUP BY rid),
 its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS joined FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hit) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(joined, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
-FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(joined, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid) LEFT JOIN near USING (rid)
 """
 
 JACCARD = r"""

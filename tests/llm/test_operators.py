@@ -348,12 +348,38 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "z " * 30 + "beta gamma")], "doc_id long, text string")
-    index = decontaminate.build_index(docs)
-    near = decontaminate.search(index, [("q", "alpha beta gamma")], window=10, within=4)
-    assert sorted(r.doc_id for r in near.where("contaminated").collect()) == [1, 2]
-    assert decontaminate.search(index, [("q", "alpha beta gamma")]).where("contaminated").count() == 0
+def test_proximity(spark, monkeypatch):
+    """Hit words and items by trying every stretch of every document; documents beside each other don't add up."""
+    r = random.Random(12)
+    word = lambda: r.choice("alpha beta gamma delta eps q q the the".split())
+    texts = [" ".join(word() for _ in range(r.randint(0, 30))) for _ in range(60)] + ["alpha one", "beta gamma", "alpha q", None]
+    items = [(f"i{k}", " ".join(word() for _ in range(r.randint(1, 9)))) for k in range(25)] + [("abc", "alpha beta gamma"), ("qqa", "q q alpha")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for window, within in ((4, 7), (3, 20), (9, 9)):
+        want = {}
+        for d, t in enumerate(texts):
+            w, hit, found = (t or "").split(), set(), set()
+            for item, text in items:
+                own = text.split()
+                for j in range(max(1, len(own) - window + 1)):
+                    phrase = Counter(own[j : j + window])
+                    for i in range(len(w)):
+                        if not phrase - Counter(w[i : i + within]):
+                            hit |= {k for k in range(i, min(len(w), i + within)) if w[k] in phrase}
+                            found.add(item)
+            want[d] = (len(w), len(hit), sorted(found), bool(hit))
+        index = decontaminate.build_index(docs, gap=20)
+        got = decontaminate.search(index, items, window=window, within=within)
+        assert {d: (n, h, i, c) for d, n, h, i, c in rows(got, "doc_id", "n_words", "n_hit", "items", "contaminated")} == want
+    with pytest.raises(Exception, match="gap"):
+        decontaminate.search(decontaminate.build_index(docs, gap=4), items, window=3, within=6).collect()
+    # tiles beside exact phrases, in one and in several blocks of items
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    tiles = {i: {tuple(t.split()[j : j + 4]) for j in (*range(0, len(t.split()) - 4, 4), max(0, len(t.split()) - 4))} for i, t in items}
+    want = {d: sorted(i for i, of in tiles.items() if any(not Counter(p) - Counter((t or "").split()[k : k + 6]) for p in of for k in range(len((t or "").split())))) for d, t in enumerate(texts)}
+    for size in (decontaminate.ITEM_BYTES, 100):
+        monkeypatch.setattr(decontaminate, "ITEM_BYTES", size)
+        assert {d: sorted(i) for d, i in rows(decontaminate.decontaminate(docs, bench, window=4, near=6), "doc_id", "near_items")} == want
 
 
 def test_words_outside_the_items_do_not_match(spark, monkeypatch):

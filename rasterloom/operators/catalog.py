@@ -33,13 +33,13 @@ def file_type(fmt: Column) -> tuple[Column, Column]:
 
 
 def shown_exif(df: DataFrame) -> DataFrame:
-    """Display strings of exposure_time, f_number, iso_speed and focal_length (0: empty)."""
+    """Display strings of exposure_time, f_number, iso_speed and focal_length (0: empty); 1 / time is cut off, numbers are written in full."""
     t = F.col("exposure_time")
-    shutter = F.when(t <= 0, "").when(t < 1, F.concat(F.lit("1/"), F.floor(1 / t + 0.5).cast("string"), F.lit("s"))).otherwise(F.concat(F.format_string("%.1f", t), F.lit("s")))
+    shutter = F.when(t <= 0, "").when(t < 1, F.concat(F.lit("1/"), F.floor(1 / t).cast("string"), F.lit("s"))).otherwise(F.concat(t.cast("double").cast("string"), F.lit("s")))
     return df.select(
         "*",
         shutter.alias("shutter_text"),
-        F.when(F.col("f_number") > 0, F.concat(F.lit("f/"), F.format_string("%.1f", F.col("f_number")))).otherwise("").alias("aperture_text"),
+        F.when(F.col("f_number") > 0, F.concat(F.lit("f/"), F.col("f_number").cast("double").cast("string"))).otherwise("").alias("aperture_text"),
         F.when(F.col("iso_speed") > 0, F.concat(F.lit("ISO "), F.col("iso_speed").cast("string"))).otherwise("").alias("iso_text"),
         F.when(F.col("focal_length") > 0, F.concat(F.floor("focal_length").cast("string"), F.lit("mm"))).otherwise("").alias("focal_text"),
     )

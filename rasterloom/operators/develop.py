@@ -195,33 +195,86 @@ def concat_matrices(outer: tuple[float, ...], inner: tuple[float, ...]) -> tuple
     return tuple(sum(a[i][k] * b[k][j] for k in range(5)) for i in range(4) for j in range(5))
 
 
-def exposure_matrix(ev: float, contrast_: float, saturation: float) -> tuple[float, ...]:
-    """Exposure, contrast around mid grey and saturation as one preview matrix."""
-    g, c, s = 2.0**ev, 1 + contrast_ * 0.01, 1 + saturation * 0.01
-    gain = (g, 0, 0, 0, 0, 0, g, 0, 0, 0, 0, 0, g, 0, 0, 0, 0, 0, 1, 0)
-    o = 127.5 * (1 - c)
-    con = (c, 0, 0, 0, o, 0, c, 0, 0, o, 0, 0, c, 0, o, 0, 0, 0, 1, 0)
-    w = (0.213, 0.715, 0.072)
-    sat = tuple(x for i in range(3) for x in (*(w[j] * (1 - s) + (s if i == j else 0) for j in range(3)), 0, 0)) + (0, 0, 0, 1, 0)
-    return concat_matrices(sat, concat_matrices(con, gain))
+# Channel gains of the preview's colour profiles.
+PROFILE_GAINS = {"cinetone": (1.04, 0.98, 0.94), "landscape": (0.96, 1.06, 1.12), "portrait": (1.08, 1.02, 0.96)}
+REC709 = (0.2126, 0.7152, 0.0722)
 
 
-def colour_wheels(lift: tuple[float, float, float], gamma: tuple[float, float, float], gain: tuple[float, float, float], offset: tuple[float, float, float]) -> list[Layer]:
-    """out = (max(0, in * gain + lift * (1 - in) + offset)) ^ (1 / gamma)."""
-    make = lambda c, i: f"pow(greatest(0e0, {c} * {num(gain[i])} + {num(lift[i])} * (1e0 - {c}) + {num(offset[i])}), {num(1 / max(0.01, gamma[i]))})"
-    return [{c: make(c, i) for i, c in enumerate("rgb")}]
+@dataclass(frozen=True)
+class Preview:
+    """Settings that the preview's matrix stands for; amounts in percent, neutral by default."""
+
+    exposure_ev: float = 0.0
+    contrast: float = 0.0
+    shadows: float = 0.0
+    blacks: float = 0.0
+    highlights: float = 0.0
+    whites: float = 0.0
+    kelvin: float = 5500.0
+    tint: float = 0.0
+    clarity: float = 0.0
+    saturation: float = 0.0
+    vibrance: float = 0.0
+    profile: str = ""
+    monochrome: bool = False
+    mono_weights: tuple[float, ...] = ()
+
+
+def exposure_matrix(p: Preview) -> tuple[float, ...]:
+    """Gain, saturation, white balance and profile as one 4 x 5 matrix; the offset is the same for all channels."""
+    bound = lambda x, lo, hi: min(max(x, lo), hi)
+    steep = 1 + bound(p.contrast / 100, -0.95, 3)
+    lift = 127.5 * (1 - steep) + 0.4 * (0.35 * (p.shadows + p.highlights) + 0.25 * (p.blacks + p.whites))
+    gain = max(0.01, bound(2.0**p.exposure_ev, 0.05, 20) * steep * (1 + p.clarity / 250))
+    if p.monochrome or p.profile == "monochrome":
+        # red, green and blue stand at the bands 0, 3 and 5 of the mixer
+        parts = [p.mono_weights[k] if k < len(p.mono_weights) else REC709[i] for i, k in enumerate((0, 3, 5))]
+        row = (*(gain * x / max(0.001, sum(parts)) for x in parts), 0.0, lift)
+        return (*row, *row, *row, 0.0, 0.0, 0.0, 1.0, 0.0)
+    keep = max(0.0, 1 + (p.saturation + 0.75 * p.vibrance) / 100)
+    warm, magenta = 0.45 * (p.kelvin / 5500 - 1), p.tint / 200
+    balance = (bound(1 + warm, 0.2, 2.5) * bound(1 + magenta, 0.2, 2), bound(1 - magenta, 0.2, 2), bound(1 - warm, 0.2, 2.5))
+    own = [b * g for b, g in zip(balance, PROFILE_GAINS.get(p.profile, (1.0, 1.0, 1.0)))]
+    spill = [(1 - keep) * w for w in REC709]  # what each channel gives to the others
+    rows = [(*(gain * ((spill[j] + keep) * own[j] if i == j else spill[j]) for j in range(3)), 0.0, lift) for i in range(3)]
+    return (*rows[0], *rows[1], *rows[2], 0.0, 0.0, 0.0, 1.0, 0.0)
+
+
+def preview_gain(ev: float, kelvin: float) -> list[Layer]:
+    """8-bit values under exposure and a gain of red (warm) or blue (cold), cut off to whole numbers."""
+    gain = {"r8": 1 + max(0.0, kelvin - 5500) / 10000, "g8": 1.0, "b8": 1 + max(0.0, 5500 - kelvin) / 7000}
+    return [{c: f"CAST({clamp(f'floor({c} * {num(2.0**ev)} * {num(k)})', 0, 255)} AS INT)" for c, k in gain.items()}]
+
+
+Wheel = tuple[float, float, float, float]
+
+
+def colour_wheels(shadows: Wheel, midtones: Wheel, highlights: Wheel, overall: Wheel, balance: float = 0.0, blending: float = 0.5) -> list[Layer]:
+    """Wheels (r, g, b, luminance) added by weights of the pixel's luma, around a middle that balance (-1 to 1) moves."""
+    middle, wide = min(max(0.5 + 0.2 * balance, 0.15), 0.85), max(0.1, 0.4 * blending)
+    low = clamp(f"1e0 - {luma()} / {num(middle + wide)}", 0, 1)
+    high = clamp(f"({luma()} - {num(middle - wide)}) / {num(1 - (middle - wide))}", 0, 1)
+    add = lambda i: " + ".join(f"{w} * {num(0.5 * wheel[i] + 0.2 * wheel[3])}" for w, wheel in (("_ws", shadows), ("_wm", midtones), ("_wh", highlights)))
+    return [
+        {"_ls": low, "_lh": high},
+        {"_ws": "_ls * _ls", "_wh": "_lh * _lh"},
+        {"_wm": "greatest(0e0, 1e0 - _ws - _wh)"},
+        {c: f"greatest(0e0, {c} + {add(i)} + {num(0.3 * overall[i] + 0.15 * overall[3])})" for i, c in enumerate("rgb")},
+    ]
 
 
 def split_toning(shadow_hue: float, shadow_sat: float, high_hue: float, high_sat: float, balance: float = 0.0) -> list[Layer]:
-    """Shadows and highlights move towards two hues; balance moves the middle."""
+    """Dark and bright pixels move towards pure hues of twice their luma. Hues and saturations from 0 to 1, balance from -1 to 1."""
     import colorsys
 
-    lo, hi = (colorsys.hls_to_rgb(h / 360.0 % 1.0, 0.5, 1.0) for h in (shadow_hue, high_hue))
-    mid = 0.5 + balance * 0.005
-    weight = f"(CASE WHEN {clamp(luma(), 0, 1)} < {num(mid)} THEN 1e0 ELSE 0e0 END)"
-    amount = f"abs({clamp(luma(), 0, 1)} - {num(mid)}) * 2e0"
-    tone = lambda c, i: f"{c} + {amount} * ({weight} * {num((lo[i] - 0.5) * shadow_sat * 0.01)} + (1e0 - {weight}) * {num((hi[i] - 0.5) * high_sat * 0.01)})"
-    return [{"_sr": tone("r", 0), "_sg": tone("g", 1), "_sb": tone("b", 2)}, {"r": "greatest(0e0, _sr)", "g": "greatest(0e0, _sg)", "b": "greatest(0e0, _sb)"}]
+    if shadow_sat < LEAST and high_sat < LEAST:
+        return []
+    dark, bright = (colorsys.hls_to_rgb(h, 0.5, 1.0) for h in (shadow_hue, high_hue))
+    pivot = min(max(0.5 + 0.25 * balance, 0.1), 0.9)
+    first = f"{clamp(f'({num(pivot)} - _y) / {num(pivot)}', 0, 1)} * {num(0.5 * shadow_sat)}"
+    then = f"{clamp(f'(_y - {num(pivot)}) / {num(1 - pivot)}', 0, 1)} * {num(0.5 * high_sat)}"
+    mix = lambda w, hue: {c: f"{c} + {w} * ({num(2 * hue[i])} * _y - {c})" for i, c in enumerate("rgb")}
+    return [{"_y": luma()}, {"_kd": first, "_kb": then}, mix("_kd", dark), mix("_kb", bright)]
 
 
 @dataclass(frozen=True)

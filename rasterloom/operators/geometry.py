@@ -7,11 +7,12 @@ join them to the source by frame and place (one shuffle of either side), then we
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.dialect import num
+from rasterloom.functions.dialect import apply, num
 
 
 def flip(df: DataFrame, width: int, height: int, horizontal: bool = False, vertical: bool = False) -> DataFrame:
@@ -55,13 +56,13 @@ def targets(spark: SparkSession, width: int, height: int, frames: DataFrame | No
 def bilinear(source: DataFrame, places: DataFrame, width: int, height: int, edge: str = "clamp", cols: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """Values of source at places (frame_id, x, y, sx, sy) as (frame_id, x, y, cols).
 
-    edge: clamp repeats the frame's edge; zero gives 0 where a place is outside or has no right or lower neighbour.
+    edge: clamp repeats the frame's edge; inside gives 0 where the places' column ``inside`` is false; zero gives 0 where a place is outside or has no right or lower neighbour.
     """
     p = places.withColumns({"_x": F.floor("sx"), "_y": F.floor("sy")}).withColumns({"_fx": F.col("sx") - F.col("_x"), "_fy": F.col("sy") - F.col("_y")})
     if edge == "zero":
         p = p.withColumn("_in", (F.col("sx") >= 0) & (F.col("sx") < width - 1) & (F.col("sy") >= 0) & (F.col("sy") < height - 1))
     else:
-        p = p.withColumn("_in", F.lit(True))
+        p = p.withColumn("_in", F.col("inside") if edge == "inside" else F.lit(True))
     inside = lambda c, n: F.least(F.greatest(c, F.lit(0)), F.lit(n - 1))
     corner = lambda dx, dy: F.struct(inside(F.col("_x") + dx, width).cast("long").alias("x"), inside(F.col("_y") + dy, height).cast("long").alias("y"), ((F.col("_fx") if dx else 1 - F.col("_fx")) * (F.col("_fy") if dy else 1 - F.col("_fy"))).alias("k"))
     each = p.select("frame_id", "x", "y", "_in", F.explode(F.array(*[corner(dx, dy) for dy in (0, 1) for dx in (0, 1)])).alias("c"))
@@ -107,21 +108,51 @@ def downscale(df: DataFrame, width: int, height: int, longest: int, cols: tuple[
     return out.withColumns({c: F.least(F.greatest(F.round(F.col(c), 9) + 0.5, F.lit(0.0)), F.lit(float(top))).cast("int") for c in cols})
 
 
-def projective(m: tuple[float, ...], keystone: tuple[float, float] = (0.0, 0.0), radial: float = 0.0) -> tuple[str, str]:
-    """Source place of a place nx, ny (-1 to 1) under a 3 x 3 matrix, keystone and radial terms, as SQL over nx, ny."""
-    k = f"(1e0 + {num(keystone[0])} * ny + {num(keystone[1])} * nx)"
-    u, v = f"(nx / {k})", f"(ny / {k})"
-    w = f"({num(m[6])} * {u} + {num(m[7])} * {v} + {num(m[8])})"
-    px, py = (f"(({num(m[i])} * {u} + {num(m[i + 1])} * {v} + {num(m[i + 2])}) / {w})" for i in (0, 3))
-    r = f"(1e0 + {num(radial)} * ({px} * {px} + {py} * {py}))"
-    return f"{px} * {r}", f"{py} * {r}"
+@dataclass(frozen=True)
+class Framing:
+    """One projective look at a frame: crop in parts of it, quarter turns clockwise, fine turn in degrees, tilts, distortion from -1 to 1."""
 
+    crop: tuple[float, float, float, float] = (0.0, 0.0, 1.0, 1.0)
+    degrees: float = 0.0
+    steps: int = 0
+    flip_h: bool = False
+    flip_v: bool = False
+    tilt_v: float = 0.0
+    tilt_h: float = 0.0
+    distortion: float = 0.0
 
-def keystone(df: DataFrame, width: int, height: int, m: tuple[float, ...], tilt: tuple[float, float], radial: float) -> DataFrame:
-    """Outside the frame is black."""
-    u, v = projective(m, tilt, radial)
-    at = lambda s: s.replace("nx", f"((x + 0.5e0) / {num(width)} * 2e0 - 1e0)").replace("ny", f"((y + 0.5e0) / {num(height)} * 2e0 - 1e0)")
-    return warp(df, width, height, f"({at(u)} + 1e0) * 0.5e0 * {num(width)} - 0.5e0", f"({at(v)} + 1e0) * 0.5e0 * {num(height)} - 0.5e0", edge="zero")
+
+def framed_places(p: Framing, width: int, height: int) -> list[dict[str, str]]:
+    """Layers over target places x, y of a width x height target: where (u, v in parts of the source) a pixel comes from.
+
+    ``inside`` is false behind the tilted plane and outside the source.
+    """
+    side_x, side_y = ("-" if p.flip_h else ""), ("-" if p.flip_v else "")
+    turn = {0: ("_a", "_b"), 1: ("-_b", "_a"), 2: ("-_a", "-_b"), 3: ("_b", "-_a")}[p.steps % 4]
+    cos, sin = num(math.cos(math.radians(p.degrees))), num(math.sin(math.radians(p.degrees)))
+    bent = f"1e0 + {num(0.5 * p.distortion)} * (_px * _px + _py * _py)" if abs(p.distortion) > 1e-4 else "1e0"
+    x, y, w, h = p.crop
+    if min(w, h) <= 1e-6:
+        w = h = 1.0
+    return [
+        {"_a": f"{side_x}((x + 0.5e0) / {num(width)} - 0.5e0)", "_b": f"{side_y}((y + 0.5e0) / {num(height)} - 0.5e0)"},
+        {"_tx": turn[0], "_ty": turn[1]},
+        {"_rx": f"_tx * {cos} + _ty * {sin}", "_ry": f"_ty * {cos} - _tx * {sin}"},
+        {"_w": f"1e0 + _ry * {num(0.4 * p.tilt_v)} + _rx * {num(0.4 * p.tilt_h)}"},
+        {"_px": "CASE WHEN _w > 0 THEN _rx / _w ELSE 9e0 END", "_py": "CASE WHEN _w > 0 THEN _ry / _w ELSE 9e0 END"},
+        {"_k": bent},
+        {"u": f"{num(x)} + (_px * _k + 0.5e0) * {num(w)}", "v": f"{num(y)} + (_py * _k + 0.5e0) * {num(h)}"},
+        {"inside": "_w > 0 AND u BETWEEN 0e0 AND 1e0 AND v BETWEEN 0e0 AND 1e0"},
+    ]
+
+
+def framed(df: DataFrame, width: int, height: int, p: Framing, size: tuple[int, int] | None = None, cols: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """Flips, turns, tilts, distortion and crop in one gather to ``size``; what lies outside the frame is black."""
+    w, h = size or (width, height)
+    places = apply(targets(df.sparkSession, w, h, df), framed_places(p, w, h))
+    edge = lambda c, n: F.least(F.greatest(F.col(c) * float(n) - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
+    places = places.select("frame_id", "x", "y", "inside", F.when(F.col("inside"), edge("u", width)).otherwise(0.0).alias("sx"), F.when(F.col("inside"), edge("v", height)).otherwise(0.0).alias("sy"))
+    return bilinear(df, places, width, height, "inside", cols)
 
 
 def lens_places(width: int, height: int, k1: float, k2: float, tca: float, strength: float, tca_strength: float) -> tuple[str, str]:

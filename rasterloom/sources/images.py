@@ -302,21 +302,43 @@ def halo_tiles(df: DataFrame, size: int = 2048, pad: int = 16) -> DataFrame:
     return df.withColumn("tile_x", F.explode(span("x"))).withColumn("tile_y", F.explode(span("y")))
 
 
-# 5 x 7 glyphs, a number of five bits for each row.
-GLYPHS = {"A": (14, 17, 17, 31, 17, 17, 17), "I": (14, 4, 4, 4, 4, 4, 14), "L": (16, 16, 16, 16, 16, 16, 31), "M": (17, 27, 21, 21, 17, 17, 17), "O": (14, 17, 17, 17, 17, 17, 14), "R": (30, 17, 17, 30, 20, 18, 17), "S": (15, 16, 16, 14, 1, 1, 30), "T": (31, 4, 4, 4, 4, 4, 4), "E": (31, 16, 16, 30, 16, 16, 31), "W": (17, 17, 17, 21, 21, 27, 17)}
-
-
-def watermark(df: DataFrame, width: int, height: int, text: str, ink: tuple[int, int, int] = (220, 220, 220), margin: tuple[int, int, int] = (15, 15, 18)) -> DataFrame:
-    """K6: quantised pixels with a dark margin below that carries centred text; the margin's rows are generated, glyph cells are few and broadcast."""
+# 5 x 7 glyphs, a number of seven bits (lowest on top) for each of five columns.
+GLYPHS = {
+    " ": (0x00, 0x00, 0x00, 0x00, 0x00), "(": (0x00, 0x1C, 0x22, 0x41, 0x00), ")": (0x00, 0x41, 0x22, 0x1C, 0x00), "-": (0x08, 0x08, 0x08, 0x08, 0x08),
+    ".": (0x00, 0x60, 0x60, 0x00, 0x00), "/": (0x20, 0x10, 0x08, 0x04, 0x02), "0": (0x3E, 0x51, 0x49, 0x45, 0x3E), "1": (0x00, 0x42, 0x7F, 0x40, 0x00),
+    "2": (0x42, 0x61, 0x51, 0x49, 0x46), "4": (0x18, 0x14, 0x12, 0x7F, 0x10), "5": (0x27, 0x45, 0x45, 0x45, 0x39), "6": (0x3C, 0x4A, 0x49, 0x49, 0x30),
+    "7": (0x01, 0x71, 0x09, 0x05, 0x03), "8": (0x36, 0x49, 0x49, 0x49, 0x36), "A": (0x7E, 0x11, 0x11, 0x11, 0x7E), "C": (0x3E, 0x41, 0x41, 0x41, 0x22),
+    "D": (0x7F, 0x41, 0x41, 0x22, 0x1C), "E": (0x7F, 0x49, 0x49, 0x49, 0x41), "F": (0x7F, 0x09, 0x09, 0x09, 0x01), "G": (0x3E, 0x41, 0x49, 0x49, 0x7A),
+    "I": (0x00, 0x41, 0x7F, 0x41, 0x00), "L": (0x7F, 0x40, 0x40, 0x40, 0x40), "M": (0x7F, 0x02, 0x0C, 0x02, 0x7F), "N": (0x7F, 0x04, 0x08, 0x10, 0x7F),
+    "O": (0x3E, 0x41, 0x41, 0x41, 0x3E), "R": (0x7F, 0x09, 0x19, 0x29, 0x46), "S": (0x46, 0x49, 0x49, 0x49, 0x31), "T": (0x01, 0x01, 0x7F, 0x01, 0x01),
+    "U": (0x3F, 0x40, 0x40, 0x40, 0x3F), "Y": (0x07, 0x08, 0x70, 0x08, 0x07), "f": (0x08, 0x7E, 0x09, 0x01, 0x02), "m": (0x7C, 0x04, 0x18, 0x04, 0x78),
+    "s": (0x48, 0x54, 0x54, 0x54, 0x20), "|": (0x00, 0x00, 0x7F, 0x00, 0x00),
+}
+
+
+def glyph_cells(text: str, scale: int, font: dict[str, tuple[int, ...]]) -> set[tuple[int, int]]:
+    """Places of a text's ink from its upper left corner. A character that the font lacks is an error."""
+    if missing := sorted(set(text) - font.keys()):
+        raise ValueError(f"the font has no glyph for {missing}; give one that has")
+    return {((7 * i + col) * scale + dx, row * scale + dy) for i, ch in enumerate(text) for col, bits in enumerate(font[ch]) for row in range(7) if bits >> row & 1 for dx in range(scale) for dy in range(scale)}
+
+
+def watermark(df: DataFrame, width: int, height: int, text: str, font: dict[str, tuple[int, ...]] = GLYPHS, below: bool = True) -> DataFrame:
+    """K6: quantised pixels with centred text on a dark margin below (its rows are generated), or blended into the lower right corner.
+
+    font: five column numbers for each character; the default one has some of the printable characters only. Glyph cells are few and broadcast.
+    """
     scale = max(1, width // 1000)
-    tall = max(60, int(height * 0.08))
-    step = 7 * scale
-    left, top = max(20, (width - len(text) * step) // 2), height + (tall - 7 * scale) // 2
-    cells = {(left + i * step + (4 - b) * scale + dx, top + row * scale + dy) for i, ch in enumerate(text.upper()) for row, bits in enumerate(GLYPHS.get(ch, (0,) * 7)) for b in range(5) if bits >> b & 1 for dx in range(scale) for dy in range(scale)}
-    spark = df.sparkSession
-    marks = spark.createDataFrame([(x, y) for x, y in sorted(cells) if x < width] or [(-1, -1)], "x long, y long").withColumn("ink", F.lit(True))
-    frames = df.select("frame_id").distinct()
-    below = spark.range(width * tall).select(F.expr(f"CAST(id % {width} AS BIGINT)").alias("x"), F.expr(f"{height} + id div {width}").alias("y")).join(F.broadcast(marks), ["x", "y"], "left").crossJoin(F.broadcast(frames))
-    cols = ("r8", "g8", "b8")
-    rows = below.select("frame_id", "x", "y", *[F.when(F.col("ink"), a).otherwise(b).cast("int").alias(k) for k, a, b in zip(cols, ink, margin)])
-    return df.select("frame_id", "x", "y", *cols).unionByName(rows)
+    tall, long = max(60, int(height * 0.08)), 7 * scale * len(text)
+    left, top = (max(20, (width - long) // 2), height + (tall - 7 * scale) // 2) if below else (max(20, width - long - 30 * scale), height - 31 * scale)
+    cells = sorted((left + x, top + y) for x, y in glyph_cells(text, scale, font) if left + x < width and 0 <= top + y < height + tall * below)
+    spark, cols = df.sparkSession, ("r8", "g8", "b8")
+    marks = F.broadcast(spark.createDataFrame(cells or [(-1, -1)], "x long, y long").withColumn("ink", F.lit(True)))
+    pixels = df.select("frame_id", "x", "y", *cols)
+    if not below:
+        blended = [F.when(F.col("ink"), F.floor((F.col(c) * 30 + 255 * 225) / 255)).otherwise(F.col(c)).cast("int").alias(c) for c in cols]
+        return pixels.join(marks, ["x", "y"], "left").select("frame_id", "x", "y", *blended)
+    ink, dark = (0xE5, 0xE5, 0xEA), (0x0F, 0x0F, 0x12)
+    margin = spark.range(width * tall).select(F.expr(f"CAST(id % {width} AS BIGINT)").alias("x"), F.expr(f"{height} + id div {width}").alias("y")).join(marks, ["x", "y"], "left")
+    margin = margin.crossJoin(F.broadcast(df.select("frame_id").distinct()))
+    return pixels.unionByName(margin.select("frame_id", "x", "y", *[F.when(F.col("ink"), a).otherwise(b).cast("int").alias(k) for k, a, b in zip(cols, ink, dark)]))

@@ -338,3 +338,62 @@ def test_trim_and_append(spark):
     assert gone == ["f0", "f1", "f2"]  # until 720 or less is left
     assert catalog.trim_oldest(f, 1000).count() == 0
     assert catalog.append_new(f, f.withColumn("name", F.lit("new")), "name").count() == 11
+
+
+def test_preview_matrix_by_hand():
+    assert develop.exposure_matrix(develop.Preview()) == pytest.approx((1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 1, 0))
+    m = develop.exposure_matrix(develop.Preview(exposure_ev=1, kelvin=6600, tint=20, saturation=-100, profile="portrait"))
+    assert m[:5] == pytest.approx((2 * 0.2126 * 1.09 * 1.1 * 1.08, 2 * 0.7152, 2 * 0.0722, 0, 0))
+    assert m[5:8] == pytest.approx((2 * 0.2126, 2 * 0.7152 * 0.9 * 1.02, 2 * 0.0722)) and m[12] == pytest.approx(2 * 0.0722 * 0.91 * 0.96)
+    grey = develop.exposure_matrix(develop.Preview(contrast=20, shadows=10, whites=-4, profile="monochrome"))
+    assert grey[:5] == grey[5:10] == grey[10:15] == pytest.approx((1.2 * 0.2126, 1.2 * 0.7152, 1.2 * 0.0722, 0, -25.5 + 0.4 * (3.5 - 1)))
+
+
+def test_preview_gain_by_hand(spark):
+    df = spark.createDataFrame([(0, 0, 101, 200, 90)], "x int, y int, r8 int, g8 int, b8 int")
+    assert tuple(apply(df, develop.preview_gain(0.0, 6500)).first())[2:] == (111, 200, 90)
+    assert tuple(apply(df, develop.preview_gain(1.0, 4800)).first())[2:] == (202, 255, 198)
+
+
+def test_wheels_and_split_toning_by_hand(spark):
+    none = (0.0, 0.0, 0.0, 0.0)
+    w = (2 / 7) ** 2
+    out = grid(apply(grey(spark, 0.5), develop.colour_wheels((0.0, 0.4, 0.0, 0.0), none, (0.2, 0.0, 0.0, 0.1), (0.0, 0.0, -0.1, 0.2))))[1, 1]
+    assert out == pytest.approx([0.5 + w * 0.12 + 0.03, 0.5 + w * (0.2 + 0.02) + 0.03, 0.5 + w * 0.02 - 0.03 + 0.03])
+    dark = grid(apply(grey(spark, 0.25), develop.split_toning(2 / 3, 0.8, 0.0, 0.5)))[1, 1]  # blue: half way, by 0.4
+    assert dark == pytest.approx([0.25 * 0.8, 0.25 * 0.8, 0.25 * 0.8 + 0.5 * 0.2])
+    assert develop.split_toning(0.1, 0.0, 0.2, 0.0) == []
+
+
+def test_framing_by_hand(spark):
+    px = np.arange(24, dtype=float).reshape(4, 6, 1).repeat(3, 2)
+    src = frame(spark, px)
+    look = lambda p, size=(6, 4): grid(geometry.framed(src, 6, 4, p, size))[..., 0]
+    assert np.allclose(look(geometry.Framing()), px[..., 0])
+    assert np.allclose(look(geometry.Framing(flip_h=True)), px[:, ::-1, 0]) and np.allclose(look(geometry.Framing(steps=2)), px[::-1, ::-1, 0])
+    assert np.allclose(look(geometry.Framing(crop=(0.5, 0.0, 0.5, 1.0)), (3, 4)), px[:, 3:, 0])
+    tilted = look(geometry.Framing(tilt_v=1.0))  # rows above the middle spread beyond the frame, rows below shrink
+    assert tilted[0, 0] == 0 and tilted[3, 0] > 0
+    assert (look(geometry.Framing(tilt_v=1.0, tilt_h=1.0, crop=(0.0, 0.0, 0.0, 1.0))) >= 0).all()
+
+
+def test_watermark_prints_a_camera_line(spark):
+    from rasterloom.sources.images import GLYPHS, glyph_cells, watermark
+
+    line = "SONY ILCE-7RM5 | FE 24-70mm F2.8 GM II | 50mm f/2.8 1/250s ISO 100 | (C) 2026 DUFFY"
+    cells = glyph_cells(line, 1, GLYPHS)
+    assert {x for x, y in cells if x < 7} == {0, 1, 2, 3, 4} and sorted(y for x, y in cells if x == 0) == [1, 2, 6]  # an S
+    df = spark.createDataFrame([(0, x, y, 60, 60, 60) for x in range(120) for y in range(40)], "frame_id int, x long, y long, r8 int, g8 int, b8 int")
+    out = watermark(df, 120, 40, "(C) 2026")
+    ink = out.where("y >= 40 AND r8 = 229 AND g8 = 229 AND b8 = 234").count()
+    assert out.count() == 120 * 100 and ink == len(glyph_cells("(C) 2026", 1, GLYPHS)) and out.where("y >= 40 AND r8 = 15 AND b8 = 18").count() == 120 * 60 - ink
+    over = watermark(df, 120, 40, "ISO", below=False)
+    assert over.count() == 4800 and sorted({r.r8 for r in over.select("r8").collect()}) == [60, (60 * 30 + 255 * 225) // 255]
+    with pytest.raises(ValueError, match="no glyph"):
+        watermark(df, 120, 40, "é")
+
+
+def test_shown_exif_by_hand(spark):
+    df = spark.createDataFrame([(1 / 250, 2.8, 100, 50.9), (0.3, 4.0, 0, 0.0), (2.0, 0.0, 64, 24.0), (0.0, 1.4, 1, 8.0)], "exposure_time double, f_number double, iso_speed int, focal_length double")
+    got = [tuple(r)[4:] for r in catalog.shown_exif(df).collect()]
+    assert got == [("1/250s", "f/2.8", "ISO 100", "50mm"), ("1/3s", "f/4.0", "", ""), ("2.0s", "", "ISO 64", "24mm"), ("", "f/1.4", "ISO 1", "8mm")]

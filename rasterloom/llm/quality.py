@@ -14,6 +14,7 @@ scored each for itself; result columns replace input columns of the same name.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -218,9 +219,17 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "stats")
 
 
 def train(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_rows: int = MAX_ROWS, **options) -> Forest:
-    """A forest from at most max_rows labelled rows. stats: (id_col, stats); ids with several labels take the smallest."""
+    """A forest from at most max_rows labelled rows, those of the least id hashes. stats: (id_col, stats); ids with several labels take the smallest.
+
+    A bound on the hash leaves little more than max_rows rows before they are ordered, whatever the number of partitions.
+    """
     y = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("y"))
-    rows = stats.select(id_col, "stats").join(y, id_col).orderBy(F.xxhash64(id_col), "stats").limit(max_rows).select("stats", "y").collect()
+    n, key = stats.select(id_col).join(y, id_col).count(), F.xxhash64(id_col)
+    wanted = max_rows + 10 * math.isqrt(max_rows) + 100  # more than max_rows nearly always; a few rows less do no harm
+    if n > wanted:
+        least = F.lit(-(1 << 63) + (1 << 64) * wanted // n)
+        stats, y = stats.where(key < least), y.where(key < least)
+    rows = stats.select(id_col, "stats").join(y, id_col).orderBy(key, "stats").limit(max_rows).select("stats", "y").collect()
     return fit(np.array([r[0] for r in rows], np.float32).reshape(-1, len(FEATURES)), np.array([r[1] for r in rows], np.float64), **options)
 
 

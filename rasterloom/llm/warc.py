@@ -37,6 +37,8 @@ from rasterloom.llm.common import bounded_batches, fresh_path, lean, stage
 
 #: Compressed bytes after which a writer begins a new file.
 ROLL_BYTES = 16 << 20
+#: Bytes of an archive that are decompressed at once, and index entries of a range of the merge.
+PIECE, RANGE_ENTRIES = 1 << 14, 500_000
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 ENTRY = "urlkey string, ts string, id long, file string, offset long, length long, digest string, kind string, refers_to long, payload_bytes long"
 RECORD = "id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
@@ -63,12 +65,16 @@ def capture_time(id_: int | None) -> str:
     return (EPOCH + timedelta(seconds=abs(id_ or 0) % (1 << 33))).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def record(url: str | None, ts: str, id_: int | None, payload: bytes, digest: str, refers_to: int | None, name: str) -> bytes:
-    """One WARC/1.1 record, uncompressed. A revisit carries no payload."""
+def record(url: str | None, ts: str, id_: int | None, payload: bytes, digest: str, refers_to: int | None, name: str, place: str) -> bytes:
+    """One WARC/1.1 record, uncompressed. A revisit carries no payload.
+
+    place (file and offset) tells records apart. A response is named by its id and payload, so that revisits can refer to it;
+    only rows that repeat both share a name.
+    """
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{id_}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{id_}/{digest}' if refers_to is None and id_ is not None else f'{name}/{place}')}>",
         f"WARC-Date: {ts}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -82,7 +88,7 @@ def record(url: str | None, ts: str, id_: int | None, payload: bytes, digest: st
         head.append("Content-Type: application/http; msgtype=response")
         body = http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
     else:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{refers_to}')}>", f"X-Refers-To-Capture: {refers_to}", "Content-Type: application/http; msgtype=response"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}/{refers_to}/{digest}')}>", f"X-Refers-To-Capture: {refers_to}", "Content-Type: application/http; msgtype=response"]
         body = http + b"\r\n"
     return "\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -119,7 +125,7 @@ def write_archives(captures: DataFrame, path: str, id_col: str = "page_id", url_
                     file, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = fs.open_output_stream(f"{root}/{file}", compression=None)
                 digest, ts = digest32(payload), capture_time(id_)
-                data = _gzip(record(url, ts, id_, payload, digest, refers, name))
+                data = _gzip(record(url, ts, id_, payload, digest, refers, name, f"{file}/{at}"))
                 out.write(data)
                 run.append((url_key(url), ts, id_, file, at, len(data), digest, "response" if refers is None else "revisit", refers, len(payload)))
                 at += len(data)
@@ -192,10 +198,10 @@ class LoserTree:
 def merge_runs(runs: DataFrame, n_ranges: int | None = None) -> DataFrame:
     """All index entries in global order: range ``seq_range`` by range, ``seq`` within it.
 
-    A range is sized by the shuffle partition count; entries with equal URL keys are told apart by time, id and place,
+    A range has about RANGE_ENTRIES entries at most; entries with equal URL keys are told apart by time, id and place,
     so a hot URL or host spans as many ranges as it needs.
     """
-    n = n_ranges or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n_ranges or max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ENTRIES))
     dealt = runs.repartitionByRange(n, "urlkey", "ts", F.col("id").asc_nulls_first(), "file", "offset")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +225,15 @@ def merge_runs(runs: DataFrame, n_ranges: int | None = None) -> DataFrame:
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, headers, HTTP body) of each record of a .warc.gz."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        z = zlib.decompressobj(31)
-        raw = z.decompress(memoryview(data)[at:])
+        z, raw, end = zlib.decompressobj(31), [], at
+        while not z.eof and end < len(data):  # in pieces, as what a record leaves over is copied
+            raw.append(z.decompress(view[end : end + PIECE]))
+            end += PIECE
         if not z.eof:
             return
+        raw, end = b"".join(raw), min(end, len(data)) - len(z.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8").split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -232,7 +241,7 @@ def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
         fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
         block = rest[: int(fields["Content-Length"])]
         yield at, fields, block.partition(b"\r\n\r\n")[2]
-        at = len(data) - len(z.unused_data)
+        at = end
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,11 @@ def bucket_count(docs: DataFrame, bucket_bytes: int, expansion: int = 4) -> int:
     return max(1, math.ceil(n * expansion / bucket_bytes))
 
 
+def _key(f: T.StructField) -> Column:
+    """A column by which rows can be hashed and sorted: maps, which can't, as text."""
+    return F.to_json(F.struct(F.col(f.name))) if "map<" in f.dataType.simpleString() else F.col(f.name)
+
+
 def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 20240501, bucket_bytes: int = 32 << 20, n_buckets: int | None = None, path: str | None = None) -> DataFrame:
     """Write docs in random order as ``path``/shard=N/ and return them with shard and slot.
 
@@ -45,7 +50,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 2024050
     bounded_batches(spark)
     docs = docs.select(*[c for c in docs.columns if c not in OUT])
     n_buckets = n_buckets or bucket_count(docs, bucket_bytes)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *docs.columns), F.lit(n_buckets)).cast("int")
+    keys = [_key(f) for f in docs.schema.fields]
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n_buckets)).cast("int")
     scattered = docs.withColumn("__bucket", bucket)
     # one count for each bucket: bounded by input size / bucket size
     counts = np.zeros(n_buckets, np.int64)
@@ -87,7 +93,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 2024050
     path = path or fresh_path(spark, "shards")
     (
         scattered.repartition(n_buckets, "__bucket")
-        .sortWithinPartitions("__bucket", *docs.columns)
+        .sortWithinPartitions("__bucket", *keys)
         .mapInArrow(lean(permute), schema)
         .write.partitionBy("shard").parquet(path)
     )

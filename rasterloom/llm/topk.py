@@ -12,9 +12,11 @@ best rows of a query, which keeps results whole under any number of ties.
 Queries are worked off in blocks of at most ``block`` vectors; only one block (block x dimension x 8 bytes) is
 broadcast at a time, so the bound does not depend on the data.
 
-Defined results: rows take no part if the id or the vector is null or empty, or a component is null or not finite. Vectors of
+Defined results: rows take no part if the id or the vector is null, or a component is null or not finite. Vectors of
 another length than a query's are no candidates for it. Rows with a query's id are its own. Among repeated query ids
 the smallest vector counts. Fewer than k candidates: all are returned. Empty tables give empty results.
+Vectors with a component so large that scores might not fit in a long (over sqrt(2**60 / components) after scaling) take no part.
+Columns other than the id and the vector play no role, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,15 +36,20 @@ from rasterloom.llm.common import bounded_batches, lean, stage
 #: Scores held at once in a worker.
 CELLS = 1 << 21
 RADIX_BITS = 11
+#: Largest score that counts.
+LARGEST = 1 << 60
 
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(vec_id, v): v = floor(scale * x) of usable vectors."""
+    """(vec_id, v): v = floor(scale * x) of usable vectors. Empty ones are usable; their products are 0."""
     x = F.col(vec_col)
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull() & (F.size(x) > 0) & usable).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long")).alias("v"))
+    scaled = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double"))
+    # any product of two vectors fits: each component is at most the root of LARGEST / components
+    fits = F.forall(scaled, lambda c: F.abs(c) <= F.sqrt(F.lit(float(LARGEST)) / F.size(x)))
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & usable & fits).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(scaled, lambda c: c.cast("long")).alias("v"))
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -54,9 +61,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float
     largest, longest = base.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))), F.max(F.size("v"))).first()
     if longest is None:
         return spark.createDataFrame([], FOUND)
-    bound = int(largest or 0) ** 2 * int(longest)
-    if bound >= 1 << 62:
-        raise ValueError("scores don't fit in a long")
+    bound = min(int(largest or 0) ** 2 * int(longest), LARGEST)
     n_queries = chosen.count()
     n_blocks = math.ceil(n_queries / block)
     if not n_blocks:
@@ -76,7 +81,7 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
     spark = base.sparkSession
     kind = np.float64 if bound < 1 << 53 else np.int64  # float products are exact below 2**53
     dims = sorted({len(v) for v in vectors})
-    held = spark.sparkContext.broadcast({"ids": np.array(ids, np.int64), "of": {d: (np.array([i for i, v in enumerate(vectors) if len(v) == d]), np.array([v for v in vectors if len(v) == d], kind).reshape(-1, d)) for d in dims}})
+    held = spark.sparkContext.broadcast({"ids": np.array(ids, np.int64), "of": {d: (np.array([i for i, v in enumerate(vectors) if len(v) == d]), np.array([v for v in vectors if len(v) == d], kind).reshape(sum(len(v) == d for v in vectors), d)) for d in dims}})
     n = len(ids)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,7 +96,7 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
                 step = max(1, CELLS // len(which))
                 for i in range(0, len(rows), step):
                     r = rows[i : i + step]
-                    m = values[at[r][:, None] + np.arange(d)].astype(kind) if len(r) < len(size) else values.reshape(-1, d).astype(kind)
+                    m = values[at[r][:, None] + np.arange(d)].astype(kind) if len(r) < len(size) else values.reshape(len(r), d).astype(kind)
                     s = (q @ m.T).astype(np.int64)
                     yield which, cand[r], s, h["ids"][which][:, None] != cand[r][None, :]
 

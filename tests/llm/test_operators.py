@@ -316,6 +316,43 @@ def test_statistics_by_hand():
     assert s["upper"] == pytest.approx(2 / 15) and s["again"] == pytest.approx(2 / 5) and s["top_word"] == pytest.approx(3 / 5) and s["distinct"] == pytest.approx(3 / 5) and s["shout"] == pytest.approx(1 / 15)
 
 
+def test_top_k_of_empty_and_large_vectors(spark):
+    vectors = [(0, []), (10, []), (20, [1e300, 1.0]), (30, [2.0, 3.0]), (31, [4e5, -1.0]), (32, [1.0, 5.0]), (33, None), (34, []), (40, [float("inf"), 1.0])]
+    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, score string")
+    got = rows(topk.exact_top_k(df, F.col("vec_id") % 10 == 0, k=2, scale=1.0), "query_id", "rank", "vec_id", "score")
+    assert sorted(got) == [(0, 1, 10, 0), (0, 2, 34, 0), (10, 1, 0, 0), (10, 2, 34, 0), (30, 1, 31, 799997), (30, 2, 32, 17)]
+
+
+def test_shards_of_rows_with_maps(spark, docs):
+    df = docs.select("doc_id", "text", F.create_map(F.lit("en"), F.col("doc_id").cast("double")).alias("langs"))
+    got = sharding.shuffle_into_shards(df, n_shards=5, bucket_bytes=1 << 14).select("doc_id", "text", "langs", "shard", "slot").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows(docs, "doc_id", "text"))
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and all(sorted(r.slot for r in got if r.shard == k) == list(range(n)) for k, n in sizes.items())
+    assert all(r.langs == {"en": None if r.doc_id is None else float(r.doc_id)} for r in got)
+
+
+def test_archives_are_read_in_pieces():
+    r = random.Random(3)
+    payloads = [bytes(r.randrange(256) for _ in range(r.choice((0, 10, 40_000)))) for _ in range(40)]
+    blobs = [warc._gzip(warc.record("http://a/b", warc.capture_time(1), 1, p, warc.digest32(p), None, "n", f"f/{i}")) for i, p in enumerate(payloads)]
+    got = list(warc.parse_archive(b"".join(blobs)))
+    assert [b for _, _, b in got] == payloads and [at for at, _, _ in got] == [sum(map(len, blobs[:i])) for i in range(len(blobs))]
+    assert len(list(warc.parse_archive(b"".join(blobs)[:-3]))) == 39
+    twice = [warc.record(None, "t", None, b"", "D", None, "n", p) for p in ("f/0", "f/9")]
+    assert twice[0] != twice[1]
+
+
+def test_training_rows_are_the_least_hashes(spark, monkeypatch):
+    stats = spark.createDataFrame([(i, [float(i)] * len(quality.FEATURES)) for i in range(5000)], "doc_id long, stats array<float>").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 6000)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, **o: seen.append((x[:, 0].tolist(), y.tolist())))
+    quality.train(stats, labels, max_rows=300)
+    want = [r.doc_id for r in stats.orderBy(F.xxhash64("doc_id")).limit(300).collect()]
+    assert seen == [([float(i) for i in want], [float(i % 2) for i in want])]
+
+
 def hits(text, items, window):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     w = words(text)

@@ -125,6 +125,13 @@ def chunks(n_bytes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def parted(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` text bytes."""
+    for batch in batches:
+        for i, j in chunks(np.diff(text_bytes(batch.column(text_at))[1]), limit):
+            yield batch.slice(i, j - i)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of uint64 values (xor-shift and odd multipliers), in place where it can."""
     x = x ^ (x >> np.uint64(30))

@@ -19,8 +19,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _F = struct.Struct("f")
-#: Pairs of pieces that a model keeps: some 20 MB.
-KEPT_PAIRS = 1 << 16
+#: Pairs of pieces that a model keeps: some 40 MB.
+KEPT_PAIRS = 1 << 17
 
 
 def single(x: float) -> float:
@@ -28,8 +28,11 @@ def single(x: float) -> float:
 
 
 class PieceModel:
-    def __init__(self, data: bytes, kind: int | None = None) -> None:
-        """kind: overrides the model's own type (UNIGRAM reads a BPE vocabulary's scores as a unigram model's)."""
+    def __init__(self, data: bytes, kind: int | None = None, double: bool = False) -> None:
+        """kind: overrides the model's own type (UNIGRAM reads a BPE vocabulary's scores as a unigram model's).
+
+        double: scores add up in double precision instead of the library's single one.
+        """
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -50,7 +53,7 @@ class PieceModel:
         normal = [self.scores[i] for i in self.ids.values()]
         self.unk_score = single(min(normal, default=0.0) - 10.0)
         exact = all(s == int(s) for s in normal) and max(map(abs, normal), default=0) < 1 << 17
-        self.exact = exact
+        self.exact = exact = exact or double
         self.add = (lambda a, b: a + b) if exact else (lambda a, b: single(a + b))
         n = m.normalizer_spec
         self.dummy_prefix, self.strip_extra = n.add_dummy_prefix, n.remove_extra_whitespaces

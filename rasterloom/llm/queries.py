@@ -28,7 +28,7 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from rasterloom.llm.sentencepiece_codec import MODEL, read_model
     from rasterloom.llm.token_count import count_tokens
 
-    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL), kinds={"n_tokens": None, "n_unigram": UNIGRAM}, scores={"unigram_score": "n_unigram"})
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), read_model(MODEL), kinds={"n_tokens": None, "n_unigram": UNIGRAM}, scores={"unigram_score": "n_unigram"}, double=True)
     return counted.select("doc_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_tokens", "n_unigram", "unigram_score")))
 
 

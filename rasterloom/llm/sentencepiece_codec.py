@@ -23,19 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches, lean
+from rasterloom.llm.common import bounded_batches, lean, parted
 from rasterloom.llm.piece_model import CONTROL, MARK, UNIGRAM, PieceModel
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of words that a worker keeps, with what Python adds to each.
-KEPT_BYTES, WORD_BYTES = 32 << 20, 200
+KEPT_BYTES, WORD_BYTES = 48 << 20, 200
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
 
 class Encoder:
     def __init__(self, model: PieceModel, unigram: PieceModel | None = None) -> None:
-        """unigram: the same vocabulary read as a unigram model; its best scores are carried along (``path_score``)."""
+        """unigram: the same vocabulary read as a unigram model; its best scores are carried along (``path_score``), in double precision."""
         self.m, self.u = model, unigram
         self.reset()
 
@@ -52,7 +52,7 @@ class Encoder:
         score: list[float] = [0.0]
         active: list[list[tuple[int, dict]]] = [[]]  # per position: starts from which the vocabulary trie is still walked
         path, own_scores, u = [0.0], [], self.u  # per position: best score of the unigram reading
-        u_scores, u_add, u_unknown = (u.scores, u.add, u.unk_score) if u else ([], None, 0.0)
+        u_scores, u_unknown = (u.scores, u.unk_score) if u else ([], 0.0)
         before, flat, sizes = "", [], []
         pair, add, scores = m.pair, m.add, m.scores
         for word in new:
@@ -73,7 +73,7 @@ class Encoder:
                     if id_ is None:
                         continue
                     alone |= s == i
-                    if u and (x := u_add(path[s], u_scores[id_])) > top:
+                    if u and (x := path[s] + u_scores[id_]) > top:
                         top = x
                     if unigram:
                         x = add(score[s], scores[id_])
@@ -88,7 +88,7 @@ class Encoder:
                             best, found = x, (i, c, None)
                     elif found is None:
                         found = (i, c, None)
-                    if u and (x := u_add(path[i], u_unknown)) > top:
+                    if u and (x := path[i] + u_unknown) > top:
                         top = x
                 last.append(found)
                 path.append(top if u else 0.0)
@@ -106,13 +106,27 @@ class Encoder:
             sizes.append(len(own))
         n = len(self.code)
         self.code.update(zip(new, range(n, n + len(new))))
-        self.used += sum(map(len, new)) + WORD_BYTES * len(new)
         self.score = np.concatenate([self.score, np.array(own_scores, float)])
         sizes = np.array(sizes, np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])]) if len(sizes) else self.start
         self.size = np.concatenate([self.size, sizes])
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
 
+    def forget(self, known: int, new: list[str], stays: np.ndarray) -> None:
+        """Of the words learned last, keep those that came more than once: most others never come again."""
+        for w, yes in zip(new, stays.tolist()):
+            if not yes:
+                del self.code[w]
+        own = [w for w, yes in zip(new, stays.tolist()) if yes]
+        self.code.update(zip(own, range(known, known + len(own))))
+        self.used += sum(map(len, own)) + WORD_BYTES * len(own)
+        rows = known + np.flatnonzero(stays)
+        size, cut = self.size[rows], int(self.start[known]) if len(self.start) > known else len(self.flat)
+        at = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(self.start[rows] - at[:-1], size) + np.arange(at[-1])]
+        self.flat, self.start, self.size = np.concatenate([self.flat[:cut], flat]), np.concatenate([self.start[:known], cut + at[:-1]]), np.concatenate([self.size[:known], size])
+        self.score = np.concatenate([self.score[:known], self.score[rows]])
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and offsets."""
         return self.encode_scored(texts)[:2]
@@ -126,7 +140,8 @@ class Encoder:
             if t:
                 units += self.m.units(self.m.normalise(t))
             ends.append(len(units))
-        self.learn(sorted(set(units) - self.code.keys()))
+        known, new = len(self.code), sorted(set(units) - self.code.keys())
+        self.learn(new)
         codes = np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
         size = self.size[codes]
         at = np.concatenate([[0], np.cumsum(size)])
@@ -139,6 +154,7 @@ class Encoder:
             offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
             ids = ids[keep]
         total = np.concatenate([[0.0], np.cumsum(self.score[codes])])[np.array(ends)]
+        self.forget(known, new, np.bincount(codes, minlength=len(self.size))[known:] > 1)
         return ids, offsets, np.diff(total)
 
 
@@ -168,19 +184,6 @@ class Decoder:
         return out
 
 
-_LOADED: dict[tuple[int, int | None, bool], tuple[Encoder, Decoder]] = {}
-
-
-def _loaded(data: bytes, kind: int | None, scored: bool = False) -> tuple[Encoder, Decoder]:
-    """A worker holds one model at a time."""
-    key = (hash(data), kind, scored)
-    if key not in _LOADED:
-        _LOADED.clear()
-        m = PieceModel(data, kind)
-        _LOADED[key] = Encoder(m, PieceModel(data, UNIGRAM) if scored else None), Decoder(m)
-    return _LOADED[key]
-
-
 def read_model(path: str) -> bytes:
     """The model's bytes, read in the driver; tasks get them with the query."""
     with open(path, "rb") as f:
@@ -192,7 +195,7 @@ ADDED = (T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField
 
 def encode(docs: DataFrame, model: bytes, text_col: str = "text", kind: int | None = None, decoded: bool = False, scored: bool = False) -> DataFrame:
     """docs with token_ids; with the text decoded from them again and with path_score, the score of the best path of the
-    vocabulary read as a unigram model, if asked."""
+    vocabulary read as a unigram model (in double precision), if asked."""
     spark = docs.sparkSession
     bounded_batches(spark)
     added = [ADDED[0], *ADDED[1:2] * decoded, *ADDED[2:] * scored]
@@ -201,8 +204,10 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", kind: int | No
     at, held = docs.columns.index(text_col), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, dec = _loaded(held.value, kind, scored)
-        for batch in batches:
+        # a task's models go with it: workers outlive tasks, and what they keep adds up
+        m = PieceModel(held.value, kind)
+        enc, dec = Encoder(m, PieceModel(held.value, UNIGRAM, double=True) if scored else None), Decoder(m)
+        for batch in parted(batches, at):
             col = batch.column(at)
             ids, offsets, score = enc.encode_scored(col.to_pylist())
             gone = np.asarray(col.is_null())
@@ -225,7 +230,7 @@ def decode(tokens: DataFrame, model: bytes, ids_col: str = "token_ids") -> DataF
     at, held = tokens.columns.index(ids_col), spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, dec = _loaded(held.value, None)
+        dec = Decoder(PieceModel(held.value))
         for batch in batches:
             col = batch.column(at)
             size = np.array([len(x) if x is not None else 0 for x in col.to_pylist()], np.int64)

@@ -7,7 +7,7 @@ fallback, or once for each run without it.
 
 The distinct words (units) of a batch go through the automaton side by side: a step takes one character of each, in numpy.
 Words longer than ``SIDE_BY_SIDE`` characters, of which few stand beside each other, go one by one by the same rules. Counts of
-words are kept between batches up to a bound in bytes.
+words that come more than once in a batch are kept for the next ones, up to a bound in bytes.
 
 Defined results: a null text has a null count and score, an empty one 0 and 0.0. Result columns replace input columns of
 their names. Repeated rows are counted each for itself; an empty table gives an empty result.
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches, lean
+from rasterloom.llm.common import bounded_batches, lean, parted
 from rasterloom.llm.piece_model import UNIGRAM, PieceModel
 
 #: Bytes of words that a worker keeps (with what Python adds to each), and longest word that is counted beside others.
-KEPT_BYTES, WORD_BYTES, SIDE_BY_SIDE = 32 << 20, 200, 96
+KEPT_BYTES, WORD_BYTES, SIDE_BY_SIDE = 48 << 20, 200, 96
 #: Pairs of pieces that a worker keeps.
 KEPT_PAIRS = 1 << 18
 _CHARS = 0x110000
@@ -268,7 +268,8 @@ class Counter:
         end = place + size
         return [(r.count[end], r.first[end], r.unknown[end], r.score[end].astype(np.float64)) for r in self.rules]
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str]) -> list[str]:
+        """Count new words; gives them in the order of their numbers."""
         short, long = [w for w in new if len(w) <= SIDE_BY_SIDE], [w for w in new if len(w) > SIDE_BY_SIDE]
         short.sort(key=len, reverse=True)
         found = self.side_by_side(short) if short else [()] * len(self.models)
@@ -279,7 +280,19 @@ class Counter:
                 kind = of[i].dtype
                 of[i] = np.concatenate([of[i], *([found[i][k].astype(kind)] if short else []), np.array(x, kind)])
         self.code.update(zip([*short, *long], range(len(self.code), len(self.code) + len(new))))
-        self.used += sum(map(len, new)) + WORD_BYTES * len(new)
+        return [*short, *long]
+
+    def forget(self, known: int, new: list[str], stays: np.ndarray) -> None:
+        """Of the words learned last, keep those that came more than once: most others never come again."""
+        for w, yes in zip(new, stays.tolist()):
+            if not yes:
+                del self.code[w]
+        own = [w for w, yes in zip(new, stays.tolist()) if yes]
+        self.code.update(zip(own, range(known, known + len(own))))
+        self.used += sum(map(len, own)) + WORD_BYTES * len(own)
+        rows = np.concatenate([np.arange(known), known + np.flatnonzero(stays)])
+        for of in (self.count, self.first, self.last, self.score):
+            of[:] = [x[rows] for x in of]
 
     def count_all(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(tokens, score) of all texts by each segmentation."""
@@ -290,7 +303,8 @@ class Counter:
             if t:
                 units += self.m.units(self.m.normalise(t))
             ends.append(len(units))
-        self.learn(list(set(units) - self.code.keys()))
+        known = len(self.code)
+        new = self.learn(list(set(units) - self.code.keys()))
         codes = np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
         at = np.array(ends)
         out = []
@@ -304,25 +318,15 @@ class Counter:
             total = np.concatenate([[0], np.cumsum(n)])
             score = np.concatenate([[0.0], np.cumsum(self.score[i][codes])])
             out.append((total[at[1:]] - total[at[:-1]], score[at[1:]] - score[at[:-1]]))
+        self.forget(known, new, np.bincount(codes, minlength=len(self.code))[known:] > 1)
         return out
 
 
-_LOADED: dict[tuple[int, tuple[int | None, ...]], Counter] = {}
-
-
-def _loaded(data: bytes, kinds: tuple[int | None, ...]) -> Counter:
-    """A worker holds one counter at a time."""
-    key = (hash(data), kinds)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Counter([PieceModel(data, k) for k in kinds])
-    return _LOADED[key]
-
-
-def count_tokens(docs: DataFrame, model: bytes, out: str = "n_tokens", kinds: dict[str, int | None] | None = None, text_col: str = "text", scores: dict[str, str] | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, model: bytes, out: str = "n_tokens", kinds: dict[str, int | None] | None = None, text_col: str = "text", scores: dict[str, str] | None = None, double: bool = False) -> DataFrame:
     """docs with token counts. kinds: result columns and the segmentation that each follows (None: the model's own).
 
-    scores: further result columns with the best path's score of a text, each by the name of its count's column.
+    scores: further result columns with the best path's score of a text, each by the name of its count's column. double: scores add up in
+    double precision instead of the library's single one.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -333,8 +337,8 @@ def count_tokens(docs: DataFrame, model: bytes, out: str = "n_tokens", kinds: di
     names = list(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _loaded(held.value, tuple(kinds.values()))
-        for batch in batches:
+        counter = Counter([PieceModel(held.value, k, double) for k in kinds.values()])  # goes with the task, as workers outlive tasks
+        for batch in parted(batches, at):
             col = batch.column(at)
             gone = np.asarray(col.is_null())
             found = counter.count_all(col.to_pylist())

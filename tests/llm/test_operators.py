@@ -83,7 +83,7 @@ def best_paths(m, word):
 
 def test_unigram_scores_of_both_operators(docs):
     """Scores and counts of the unigram reading against every segmentation; both operators give the same score."""
-    m = PieceModel(MODEL, UNIGRAM)
+    m = PieceModel(MODEL, UNIGRAM, double=True)
     r = random.Random(5)
     words = ["▁" + "".join(r.choice("abcdetionshé漢🙂ß.,0") for _ in range(r.randint(0, 30))) for _ in range(300)] + ["▁" + "ab漢" * 60]
     counter = token_count.Counter([PieceModel(MODEL), m])
@@ -94,7 +94,7 @@ def test_unigram_scores_of_both_operators(docs):
         score, n = best_paths(m, w)
         k = counter.code[w]
         assert (counter.score[1][k], counter.count[1][k]) == (score, n) and enc.score[enc.code[w]] == score
-    counted = token_count.count_tokens(docs, MODEL, kinds={"n_tokens": None, "n_unigram": UNIGRAM}, scores={"unigram_score": "n_unigram"})
+    counted = token_count.count_tokens(docs, MODEL, kinds={"n_tokens": None, "n_unigram": UNIGRAM}, scores={"unigram_score": "n_unigram"}, double=True)
     a = Counter(rows(counted, "doc_id", "text", "unigram_score"))
     assert a == Counter(rows(sentencepiece_codec.encode(docs, MODEL, scored=True), "doc_id", "text", "path_score"))
     assert all((t is None) == (s is None) for _, t, s in a)

@@ -8,6 +8,7 @@ tests, a local folder is made and set as the checkpoint folder; on a cluster it
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,7 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that one Arrow batch sent to a Python worker holds at most (a single longer row is a batch of its own).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+#: Bytes that the writer of a staged table holds in memory at most.
+ROW_GROUP = 32 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -48,7 +51,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df below the shared folder and read it back: its lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path  # for drop_staged
     return out
@@ -86,7 +89,8 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def give_back() -> None:
-    """Return free memory of Arrow's pool and of the C library to the system."""
+    """Free what only cycles hold, and return free memory of Arrow's pool and of the C library to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

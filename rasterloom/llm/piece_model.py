@@ -19,8 +19,8 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 _F = struct.Struct("f")
-#: Pairs of pieces that a model keeps: some 40 MB.
-KEPT_PAIRS = 1 << 17
+#: Pairs of pieces that a model keeps: some 10 MB.
+KEPT_PAIRS = 1 << 15
 
 
 def single(x: float) -> float:

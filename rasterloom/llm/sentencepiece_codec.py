@@ -28,7 +28,7 @@ from rasterloom.llm.piece_model import CONTROL, MARK, UNIGRAM, PieceModel
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of words that a worker keeps, with what Python adds to each.
-KEPT_BYTES, WORD_BYTES = 48 << 20, 200
+KEPT_BYTES, WORD_BYTES = 16 << 20, 200
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 

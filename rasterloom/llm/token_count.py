@@ -27,7 +27,7 @@ from rasterloom.llm.common import bounded_batches, lean, parted
 from rasterloom.llm.piece_model import UNIGRAM, PieceModel
 
 #: Bytes of words that a worker keeps (with what Python adds to each), and longest word that is counted beside others.
-KEPT_BYTES, WORD_BYTES, SIDE_BY_SIDE = 48 << 20, 200, 96
+KEPT_BYTES, WORD_BYTES, SIDE_BY_SIDE = 16 << 20, 200, 96
 #: Pairs of pieces that a worker keeps.
 KEPT_PAIRS = 1 << 18
 _CHARS = 0x110000

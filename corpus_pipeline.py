@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each the next one's input.
 
 Every stage but the last returns the columns of ``documents``. Defined results: an empty table passes through; null texts count
-as empty in the first four stages and have null ids in the last; extra columns are carried along.
+as empty in the first four stages and have null ids in the last; extra columns are carried along to the last stage. Of
+near copies and repeated rows the one with the smallest id stays (of equal ids, the first in the order of set keys and texts).
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sentencepiece", to_tokens),
 ]
 
-#: The first stage is a learned classifier, which SQL can't express; tests hold every stage against brute force.
+#: The first stage is a learned classifier, which SQL can't express. Tests hold the operators against brute force, and of the stages
+#: check columns, falling counts, that no linked pair is left and that ids decode to their texts.
 ORACLE_SQL = None
 
 

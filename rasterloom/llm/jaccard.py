@@ -44,6 +44,8 @@ CHUNK = 2 << 20
 BLOCK_MEMBERS, HOT = 1024, 64
 #: Entries of short lists from which counting replaces the heap.
 COUNTED = 4096
+#: Ids that are broadcast at most (some 56 bytes each as a hash table); more are joined by a shuffle of the documents.
+MOST_IDS = 2_000_000
 
 
 def set_keys(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -316,14 +318,17 @@ def representatives(docs: DataFrame, size: int = 5, num: int = 75, den: int = 10
     """
     found = stage(components(docs, size, num, den, id_col, text_col, bits), "components")
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = first.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("n_shingles").alias("least"))
     # an id of one row decides by itself; others need their keys as well
-    alone = ids.where("n = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"))
     shared = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"))
-    one = docs.join(alone, docs[id_col].cast("long") == F.col("__id"), "left_semi")
+    shared = stage(shared, "shared")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id"))
+    gone = stage(gone.unionByName(shared).where("__id IS NOT NULL").distinct(), "gone")
+    # only ids that go are joined: while they are few enough to broadcast, the texts need no shuffle
+    gone = F.broadcast(gone) if gone.count() <= MOST_IDS else gone.hint("merge")
+    own = docs[id_col].cast("long")
+    one = docs.where(own.isNotNull()).join(gone, own == F.col("__id"), "left_anti")
     if shared.isEmpty():
         return one
-    one = one.join(shared, one[id_col].cast("long") == F.col("__id"), "left_anti")
     several = _keyed(docs.join(shared, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi"), size, text_col)
     roots = first.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "n_shingles", F.col("root").alias("__root")).distinct()
     several = several.join(roots, several[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))

@@ -200,7 +200,7 @@ def word_sets(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_jaccard_components(spark, docs, empty):
+def test_jaccard_components(spark, docs, empty, monkeypatch):
     all_ = rows(docs, "doc_id", "text")
     sets = [word_sets(t) for _, t in all_]
     parent = list(range(len(all_)))
@@ -225,6 +225,8 @@ def test_jaccard_components(spark, docs, empty):
     assert kept.columns == docs.columns
     groups = Counter(find(i) if sets[i] else ("none", i) for i in range(len(all_)))
     assert kept.count() == len(groups)
+    monkeypatch.setattr(jaccard, "MOST_IDS", -1)  # the way for more ids than are broadcast
+    assert Counter(rows(jaccard.representatives(docs, bits=2), "doc_id", "text")) == Counter(rows(kept, "doc_id", "text"))
     assert jaccard.components(empty, bits=2).count() == 0
 
 

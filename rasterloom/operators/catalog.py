@@ -207,6 +207,33 @@ def append_new(old: DataFrame, new: DataFrame, key: str = "uri") -> DataFrame:
     return old.unionByName(fresh.select(*old.columns))
 
 
+# Fields of a stored catalog entry, their columns and what a missing one is.
+ENTRY = {
+    "filePath": ("file_path", ""), "fileName": ("file_name", ""), "lastEditedAt": ("last_edited_at", 0), "devParamsJson": ("settings_json", ""), "masksJson": ("masks_json", ""),
+    "rating": ("rating", 0), "pickStatus": ("pick_status", "NONE"), "colorLabel": ("colour_label", "NONE"), "captureDate": ("capture_date", ""), "cameraModel": ("camera", ""),
+    "lensModel": ("lens", ""), "fNumber": ("f_number", ""), "exposureTime": ("exposure_time", ""), "isoSpeed": ("iso_speed", ""), "focalLength": ("focal_length", ""),
+}
+
+
+def stored_entries(df: DataFrame, json: str = "json") -> DataFrame:
+    """Entries of stored catalogs (JSON arrays of objects), newest first by ``position`` (from 1; equal times in stored order).
+
+    Missing and null fields take their defaults. An entry without uri or with a time or rating that is no number ends its
+    catalog: it and what follows are left out. A text that is no JSON array has no entries.
+    """
+    held = F.from_json(json, "array<struct<uri:string," + ",".join(f"{k}:string" for k in ENTRY) + ">>")
+    number = lambda c: F.coalesce(c.try_cast("long"), c.try_cast("double").cast("long"))
+    numeric = [k for k, (_, v) in ENTRY.items() if v == 0]
+    wrong = lambda e: e.isNull() | e["uri"].isNull() | F.greatest(*[e[k].isNotNull() & number(e[k]).isNull() for k in numeric])
+    value = lambda e, k: F.coalesce(number(e[k]) if k in numeric else e[k], F.lit(ENTRY[k][1])).alias(ENTRY[k][0])
+    end = F.array_position(F.transform("_held", wrong), True)
+    good = F.slice("_held", F.lit(1), F.when(end > 0, end - 1).otherwise(F.size("_held")).cast("int"))
+    entry = lambda e, i: F.struct((-value(e, "lastEditedAt")).alias("_at"), i.alias("_k"), e["uri"].alias("uri"), *[value(e, k) for k in ENTRY])
+    rest = [c for c in df.columns if c != json]
+    out = df.withColumn("_held", held).where("_held IS NOT NULL").select(*rest, F.posexplode(F.array_sort(F.transform(good, entry))).alias("_p", "_e"))
+    return out.select(*rest, (F.col("_p") + 1).alias("position"), "_e.uri", *[F.col(f"_e.{c}") for c, _ in ENTRY.values()])
+
+
 def save_entries(old: DataFrame, new: DataFrame, cap: int = 50, key: str = "uri", at: str = "last_edited_at") -> DataFrame:
     """New entries over old ones of the same key (empty texts and nulls keep the old value), the newest ``cap`` of all."""
     prior = old.select(F.col(key), *[F.col(c).alias(f"_{c}") for c in old.columns if c != key])

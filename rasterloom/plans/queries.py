@@ -633,6 +633,16 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
     return dims.enums(spark)
 
 
+@register("s16_recipes", "SELECT * FROM (VALUES (0, 'recipe_print_16bit', 'TIFF16', 'AdobeRGB', NULL, 0, 'tif'), (1, 'recipe_web_webp', 'WebP', 'sRGB', 95, 0, 'webp'), (2, 'recipe_sns_jpeg', 'JPEG', 'sRGB', 92, 2048, 'jpg')) v(ord, recipe, format, space, quality, longest, suffix)")
+def s16_recipes(spark: SparkSession, d: str) -> DataFrame:
+    return dims.export_recipes(spark).select("ord", "recipe", "format", "space", "quality", "longest", catalog.file_type(F.col("format"))[0].alias("suffix"))
+
+
+@register("s16_brands", "SELECT * FROM (VALUES ('Sony', 'ILCE-7RM5', 4000, 100, 94), ('Canon', 'EOS R5 Mark II', 3125, 100, 88), ('Nikon', 'Z 8', 5000, 64, 91), ('Fujifilm', 'GFX100 II', 6250, 80, 85), ('Panasonic', 'LUMIX S1R', 4000, 100, 79)) v(brand, camera, microseconds, iso, battery)")
+def s16_brands(spark: SparkSession, d: str) -> DataFrame:
+    return dims.brands(spark).select("brand", "camera", F.round(F.col("exposure_time") * 1e6).cast("int").alias("microseconds"), "iso", "battery")
+
+
 @register("j02_lens_profile", "WITH l AS (" + " UNION ALL ".join(f"SELECT {i} AS ord, '{r[0]}' AS mk, '{r[1]}' AS md, {r[3]}e0 AS lo, {r[4]}e0 AS hi" for i, r in enumerate(dims.LENSES)) + "), s AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'Sony' WHEN 1 THEN 'Canon' WHEN 2 THEN 'Sig' ELSE '' END AS make, CASE s_suppkey % 5 WHEN 0 THEN 'XCD 45mm F4 P' WHEN 1 THEN '70mm F2.8' ELSE '' END AS lens, CAST(s_suppkey % 100 AS DOUBLE) AS focal FROM supplier), m AS (SELECT id, ord, md, CASE WHEN lens <> '' AND (contains(md, lens) OR contains(lens, md)) THEN 0 WHEN make <> '' AND contains(mk, make) AND (focal <= 0 OR focal BETWEEN lo AND hi) THEN 1 WHEN ord = 0 THEN 2 END AS tier FROM s, l) SELECT id, tier, md AS lens_model FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, ord) = 1")
 def j02(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").selectExpr("s_suppkey AS id", "CASE s_suppkey % 4 WHEN 0 THEN 'Sony' WHEN 1 THEN 'Canon' WHEN 2 THEN 'Sig' ELSE '' END AS make", "CASE s_suppkey % 5 WHEN 0 THEN 'XCD 45mm F4 P' WHEN 1 THEN '70mm F2.8' ELSE '' END AS lens", "CAST(s_suppkey % 100 AS DOUBLE) AS focal")

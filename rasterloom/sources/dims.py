@@ -31,6 +31,22 @@ PATCHES = (
     ("Neutral 6.5", 66.77, -0.73, -0.50), ("Neutral 5", 50.87, -0.15, -0.27), ("Neutral 3.5", 35.66, -0.42, -1.23), ("Black 2", 20.46, -0.08, -0.97),
 )
 
+# Export recipes (id, name, format, colour space, quality, longest side or 0, edge sharpening and its amount, watermark); null where a recipe says nothing.
+RECIPES = (
+    ("recipe_print_16bit", "Print Master 16-bit TIFF (AdobeRGB)", "TIFF16", "AdobeRGB", None, 0, False, None, False),
+    ("recipe_web_webp", "Web Master Ultra-Quality WebP (sRGB)", "WebP", "sRGB", 95, 0, False, None, False),
+    ("recipe_sns_jpeg", "SNS 2048px Optimized JPEG (sRGB + High-Pass Sharpness)", "JPEG", "sRGB", 92, 2048, True, 45.0, True),
+)
+
+# Settings of tethered cameras by brand (brand, camera, lens, seconds as a fraction of one, aperture, ISO, battery per cent).
+BRANDS = (
+    ("Sony", "ILCE-7RM5", "FE 24-70mm F2.8 GM II", 250, 2.8, 100, 94),
+    ("Canon", "EOS R5 Mark II", "RF 24-70mm F2.8 L IS USM", 320, 2.8, 100, 88),
+    ("Nikon", "Z 8", "NIKKOR Z 24-70mm f/2.8 S", 200, 4.0, 64, 91),
+    ("Fujifilm", "GFX100 II", "GF 55mm F1.7 R WR", 160, 1.7, 80, 85),
+    ("Panasonic", "LUMIX S1R", "Lumix S PRO 24-70mm F2.8", 250, 2.8, 100, 79),
+)
+
 # Names of enumerations in the order of their codes.
 ENUMS = {
     "mask_type": ("linear", "radial", "polygon", "brush", "luminance", "colour", "depth", "edge"),
@@ -56,3 +72,12 @@ def patches(spark: SparkSession) -> DataFrame:
 
 def enums(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, i, v) for k, names in ENUMS.items() for i, v in enumerate(names)], "enum string, code int, name string")
+
+
+def export_recipes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(RECIPES)], "ord int, recipe string, name string, format string, space string, quality int, longest int, sharpen boolean, sharpening double, watermark boolean")
+
+
+def brands(spark: SparkSession) -> DataFrame:
+    rows = [(i, brand, camera, lens, 1.0 / part, aperture, iso, battery) for i, (brand, camera, lens, part, aperture, iso, battery) in enumerate(BRANDS)]
+    return spark.createDataFrame(rows, "ord int, brand string, camera string, lens string, exposure_time double, aperture double, iso int, battery int")

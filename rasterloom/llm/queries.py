@@ -108,9 +108,34 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for every benchmark item."""
+    from rasterloom.llm.lexical_search import build_index
+
+    index = build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return index.search(table(spark, sf_dir, "benchmark").select("item_id", "text"), k=20)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors projected on the first 8 components of their covariance, with unit variance."""
+    from rasterloom.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), k=8, scale=1024, shift=100_000).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All whole texts as byte-level BPE ids, and the texts that decoding gives."""
+    import public_tokenizers
+    from rasterloom.llm.byte_bpe import encode, read_ranks
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    coded = encode(docs, read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, results=("n_tokens", "token_data", "decoded_bytes"))
+    return coded.select("doc_id", "n_tokens", F.sha2("token_data", 256).alias("ids_sha256"), F.sha2("decoded_bytes", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_langid, op3_top_k, op4_warc, op5_token_count, op6_jaccard, op7_shard, op8_quality, op9_decontaminate, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_langid, op3_top_k, op4_warc, op5_token_count, op6_jaccard, op7_shard, op8_quality, op9_decontaminate, op10_suffix_dedup, op11_lexical_search, op12_whitening, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC, "op6_jaccard": oracles.JACCARD, "op10_suffix_dedup": oracles.SUFFIX_DEDUP, "op9_decontaminate": oracles.DECONTAMINATE}
+    return {"op3_top_k": oracles.TOP_K, "op4_warc": oracles.WARC, "op6_jaccard": oracles.JACCARD, "op10_suffix_dedup": oracles.SUFFIX_DEDUP, "op9_decontaminate": oracles.DECONTAMINATE, "op11_lexical_search": oracles.LEXICAL}

@@ -10,28 +10,16 @@ from pyspark.sql import Window as W
 
 from rasterloom.functions import colour as c
 from rasterloom.functions.dialect import DUCK, SPARK, Dialect, Layer, apply, num, per_channel, smoothstep, sql
-from rasterloom.operators import calibrate, catalog, develop, geometry, history, masks, scopes, stack, stencil
+from rasterloom.operators import calibrate, catalog, develop, geometry, masks, scopes, stack, stencil
+from rasterloom.plans.registry import QUERIES, SQL, Query, register
 from rasterloom.sources import dims
 from rasterloom.sources.views import CATALOG, HEIGHT, PIXEL_COLUMNS, PIXELS, SAMPLES, WIDTH, height, pixels, samples, table
 from rasterloom.sources.views import catalog as catalog_view
 from rasterloom.streaming import tether
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 W_, RGB = str(WIDTH), ("r", "g", "b")
 
 
-def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if oracle:
-            SQL[name] = oracle
-        return f
-
-    return put
-
-
 def rounded(cols: tuple[str, ...] = RGB, keys: tuple[str, ...] = ("x", "y"), digits: int = 6) -> list[str]:
     return [*keys, *(f"round(CAST({k} AS DOUBLE), {digits}) AS {k}" for k in cols)]
 
@@ -712,43 +700,6 @@ def f15(spark: SparkSession, d: str) -> DataFrame:
     return catalog_view(spark, d).join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi").where("doc_id <> 3").select("doc_id")
 
 
-# history (2.10)
-NODES = "(SELECT conv_id AS tree, conv_id * 1000 + turn AS id, CASE WHEN turn > 0 THEN conv_id * 1000 + CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn - 1 END END AS parent_id, turn % 4 // 3 AS branch_id, turn AS ts FROM conversations)"
-
-
-def nodes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").selectExpr("conv_id AS tree", "conv_id * 1000 + turn AS id", "CASE WHEN turn > 0 THEN conv_id * 1000 + CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn - 1 END END AS parent_id", "turn % 4 div 3 AS branch_id", "turn AS ts")
-
-
-@register("h01_forks", f"SELECT id, parent_id IS NOT NULL AND row_number() OVER (PARTITION BY parent_id ORDER BY ts, id) > 1 AS is_fork FROM {NODES}")
-def h01(spark: SparkSession, d: str) -> DataFrame:
-    return history.forks(nodes(spark, d)).select("id", "is_fork")
-
-
-LEAF = f"(SELECT max(id) FROM {NODES} WHERE tree = 1)"
-
-
-@register("h02_ancestors", f"WITH RECURSIVE n AS (SELECT * FROM {NODES}), up AS (SELECT id, parent_id, 0 AS back FROM n WHERE id = {LEAF} UNION ALL SELECT n.id, n.parent_id, back + 1 FROM up JOIN n ON n.id = up.parent_id WHERE back < 100) SELECT id, back FROM up")
-def h02(spark: SparkSession, d: str) -> DataFrame:
-    n = nodes(spark, d)
-    return history.ancestors(spark, n, n.where("tree = 1").agg(F.max("id")).first()[0] or 0)
-
-
-@register("h03_timeline")
-def h03(spark: SparkSession, d: str) -> DataFrame:
-    return history.timeline(spark, nodes(spark, d), 1001, 0)
-
-
-@register("h04_evict", f"WITH k AS (SELECT * FROM {NODES} QUALIFY row_number() OVER (PARTITION BY tree ORDER BY ts DESC, id DESC) <= 4) SELECT k.id, p.id AS parent_id FROM k LEFT JOIN k p ON p.tree = k.tree AND p.id = k.parent_id")
-def h04(spark: SparkSession, d: str) -> DataFrame:
-    return history.evict(nodes(spark, d), -1, 4).select("id", "parent_id")
-
-
-@register("j13_children", f"SELECT parent_id AS id, id AS child_id FROM {NODES} WHERE parent_id IS NOT NULL")
-def j13(spark: SparkSession, d: str) -> DataFrame:
-    return history.children(nodes(spark, d))
-
-
 # streams (2.10)
 @register("x01_packets", "SELECT event_id, CAST(12 + event_id % 5 AS BIGINT) AS length, 4 AS type, 16386 AS code, event_id AS tx, CAST(event_id % 5 AS BIGINT) AS payload_bytes FROM events")
 def x01(spark: SparkSession, d: str) -> DataFrame:
@@ -874,3 +825,7 @@ def s04(spark: SparkSession, d: str) -> DataFrame:
     from rasterloom.sources.images import synthetic
 
     return synthetic(spark, 96, 64).selectExpr(*rounded())
+
+
+# further queries register themselves
+from rasterloom.plans import history_queries  # noqa: E402, F401

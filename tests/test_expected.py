@@ -1,5 +1,7 @@
 """Expected behaviour on small built rasters, stacks and texts."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -268,16 +270,86 @@ def test_exposure_texts(spark):
     assert [r[0] for r in df.select(catalog.exposure_seconds(F.col("t"))).collect()] == [0.004, None, 0.5, None, None]
 
 
-def test_history(spark):
-    rows = [(0, None, 0, 0), *((i, i - 1, 0, i) for i in range(1, 51)), (51, 25, 1, 51)]
-    n = spark.createDataFrame(rows, "id long, parent_id long, branch_id int, ts long")
-    assert history.ancestors(spark, n, 50).agg(F.max("back")).first()[0] == 50
+def replayed(commands, most):
+    """One tree, command by command, with plain Python objects."""
+    nodes, branches, now, active, numbers = {}, {}, None, 0, 1
+    kids = lambda i: [n for n in nodes if nodes[n]["parent"] == i]
+    for op, x in commands:
+        if op == "add":
+            fork = now is not None and bool(kids(now))
+            branch = (numbers if fork else active) if now is not None else 0
+            if fork:
+                branches[branch], numbers = [now, x], numbers + 1
+            branches.setdefault(branch, [x, x])[1] = x
+            nodes[x] = {"parent": now, "branch": branch, "step": nodes[now]["step"] + 1 if now is not None else 0}
+            now, active = x, branch
+        elif op == "undo":
+            while x and nodes[now]["parent"] is not None:
+                now, x = nodes[now]["parent"], x - 1
+        elif op == "redo":
+            while x and kids(now):
+                now = min(kids(now), key=lambda n: (nodes[n]["branch"] != active, n))
+                active, x = nodes[now]["branch"], x - 1
+        elif op == "switch" and x in branches:
+            active, now = x, branches[x][1] if branches[x][1] in nodes else now
+        elif op == "jump" and x in nodes:
+            now, active = x, nodes[x]["branch"]
+        if op == "add" and len(nodes) > most:
+            for old in sorted(n for n in nodes if n != now)[: len(nodes) - most]:
+                del nodes[old]
+            for n in nodes.values():
+                n["parent"] = n["parent"] if n["parent"] in nodes else None
+            branches = {b: v for b, v in branches.items() if v[0] in nodes or v[1] in nodes}
+    line, i = [], now
+    while i is not None:
+        line, i = [i, *line], nodes[i]["parent"]
+    while kids(line[-1]):
+        line.append(min(kids(line[-1]), key=lambda n: (nodes[n]["branch"] != active, n)))
+    return {(i, n["parent"], n["branch"], n["step"]) for i, n in nodes.items()}, {(b, *v) for b, v in branches.items()}, (now, active, numbers), line
+
+
+@pytest.mark.parametrize("seed, most", [(1, 100), (2, 5)])
+def test_histories_of_many_trees(spark, seed, most):
+    """Rounds of commands for all trees at once against one tree after the other."""
+    r = random.Random(seed)
+    trees, ids = range(1, 7), {}
+    logs = {t: [] for t in trees}
+    schema = "tree long, id long, ts long, label string"
+    h = history.opened(spark.createDataFrame([], schema))
+    for k in range(2):
+        batch = [(t, ids.setdefault(t, 0) + i) for t in trees for i in range(r.randint(1, 5)) if k == 0 or r.random() < 0.8]
+        for t in trees:
+            own = sorted(i for u, i in batch if u == t)
+            logs[t] += [("add", i) for i in own]
+            ids[t] = (own[-1] if own else ids[t]) + 1
+        h = history.append(h, spark.createDataFrame([(t, i, i, "x") for t, i in batch], schema), most=most)
+        for name, op, what in (("undo", history.back, "n"), ("redo", history.ahead, "n"), ("switch", history.switch, "branch_id"), ("jump", history.jump_to, "id")):
+            some = [(t, r.randint(0, 4)) for t in trees if r.random() < 0.5 and logs[t]]
+            for t, x in some:
+                logs[t].append((name, x))
+            h = op(h, spark.createDataFrame(some, f"tree long, {what} {'int' if what == 'branch_id' else 'long'}"))
+    nodes, branches, cursors, lines = h.nodes.collect(), h.branches.collect(), {c.tree: c for c in h.cursors.collect()}, history.timeline(h).collect()
+    for t in trees:
+        n, b, c, line = replayed(logs[t], most)
+        assert {(x.id, x.parent_id, x.branch_id, x.step_index) for x in nodes if x.tree == t} == n
+        assert {(x.branch_id, x.root_id, x.leaf_id) for x in branches if x.tree == t} == b
+        assert (cursors[t].current_id, cursors[t].active_branch, cursors[t].next_branch) == c
+        assert [x.id for x in sorted((x for x in lines if x.tree == t), key=lambda x: x.at)] == line
+
+
+def test_long_history(spark):
+    rows = [(1, 0, None, 0), *((1, i, i - 1, i) for i in range(1, 51)), (1, 51, 25, 51), (None, 1, None, 1), (2, None, None, 1)]
+    n = spark.createDataFrame(rows, "tree long, id long, parent_id long, ts long")
+    h = history.append(history.opened(n), n)
+    assert h.nodes.count() == 52 and h.nodes.where("id = 51 AND branch_id = 1 AND step_index = 26").count() == 1
+    assert len(history.jumps(history.parents(n))) == 6  # 32 states and no more than that in one jump
+    move = spark.createDataFrame([(1, 1000)], "tree long, n long")
+    top = history.back(h, move)
+    assert top.cursors.first()["current_id"] == 0 and history.ahead(top, move).cursors.first()["current_id"] == 50  # the first state's child has branch 0, which becomes active
     assert history.children(n).where("id = 25").count() == 2
-    assert history.forks(n).where("is_fork").first()["id"] == 51
-    line = {r.at: r.id for r in history.timeline(spark, n, 25, 1).collect()}
-    assert line[0] == 25 and line[1] == 51 and line[-25] == 0
-    kept = history.evict(n, 3, 10)
+    kept = history.evict(n.where("tree = 1 AND id IS NOT NULL"), spark.createDataFrame([(1, 3)], "tree long, current_id long"), 10)
     assert kept.count() == 10 and kept.where("id = 3").count() == 1 and kept.where("id = 44").first()["parent_id"] == 43
+    assert history.append(history.opened(n), n.limit(0)).nodes.count() == 0
 
 
 def test_packets_and_sessions(spark):

@@ -193,8 +193,10 @@ def read_model(path: str) -> bytes:
 ADDED = (T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("path_score", T.DoubleType()))
 
 
-def encode(docs: DataFrame, model: bytes, text_col: str = "text", kind: int | None = None, decoded: bool = False, scored: bool = False) -> DataFrame:
-    """docs with token_ids; with the text decoded from them again and with path_score, the score of the best path of the
+def encode(docs: DataFrame, model: bytes, text_col: str = "text", kind: int | None = None, decoded: bool = False, scored: bool = False, slice_bytes: int = 2 << 20) -> DataFrame:
+    """slice_bytes: text that a worker takes at once; less takes less memory and more time.
+
+    docs with token_ids; with the text decoded from them again and with path_score, the score of the best path of the
     vocabulary read as a unigram model (in double precision), if asked."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -207,7 +209,7 @@ def encode(docs: DataFrame, model: bytes, text_col: str = "text", kind: int | No
         # a task's models go with it: workers outlive tasks, and what they keep adds up
         m = PieceModel(held.value, kind)
         enc, dec = Encoder(m, PieceModel(held.value, UNIGRAM, double=True) if scored else None), Decoder(m)
-        for batch in parted(batches, at):
+        for batch in parted(batches, at, slice_bytes):
             col = batch.column(at)
             ids, offsets, score = enc.encode_scored(col.to_pylist())
             gone = np.asarray(col.is_null())

@@ -50,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, token_ids and whether decoding gives the text again."""
-    coded = sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(sentencepiece_codec.MODEL), decoded=True)
+    coded = sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(sentencepiece_codec.MODEL), decoded=True, slice_bytes=512 << 10)
     return coded.select("doc_id", "lang", "source", F.coalesce(F.array_size("token_ids"), F.lit(0)).cast("long").alias("n_tokens"), "token_ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 

@@ -828,4 +828,6 @@ def s04(spark: SparkSession, d: str) -> DataFrame:
 
 
 # further queries register themselves
-from rasterloom.plans import history_queries, json_queries  # noqa: E402, F401
+from rasterloom.plans import history_queries, json_queries, mask_queries  # noqa: E402, F401
+
+mask_queries._register(SOBEL)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from rasterloom.functions.colour import delta_e00, from_lab, to_lab
 from rasterloom.functions.dialect import apply
 from rasterloom.sources.dims import patches
+from rasterloom.sources.staging import cut as staged
 
 Corners = tuple[tuple[float, float], tuple[float, float], tuple[float, float], tuple[float, float]]
 WHOLE: Corners = ((0.05, 0.05), (0.95, 0.05), (0.05, 0.95), (0.95, 0.95))
@@ -121,51 +122,60 @@ def triangles(stars: DataFrame, most: int = 30, least: float = 4.0) -> DataFrame
     return t.select("frame_id", *[F.col("s")[i]["v"].alias(f"v{i}") for i in range(3)], (F.col("s")[1]["len"] / F.col("s")[0]["len"]).alias("r1"), (F.col("s")[2]["len"] / F.col("s")[0]["len"]).alias("r2"))
 
 
-def match_triangles(ref: DataFrame, tgt: DataFrame, tol: float = 0.025) -> DataFrame:
-    """Pairs of stars of like triangles (ref, tgt): a band join as an equi-join on cells of width tol and their neighbours, then checked."""
+def match_triangles(ref: DataFrame, tgt: DataFrame, tol: float = 0.025, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of stars of like triangles (ref, tgt) within equal columns by: a band join as an equi-join on cells of width tol and their neighbours, then checked."""
     cell = lambda c: F.floor(F.col(c) / tol)
-    r = ref.select(cell("r1").alias("c1"), cell("r2").alias("c2"), F.struct("v0", "v1", "v2", "r1", "r2").alias("a"))
+    r = ref.select(*by, cell("r1").alias("c1"), cell("r2").alias("c2"), F.struct("v0", "v1", "v2", "r1", "r2").alias("a"))
     near = lambda c: F.explode(F.array(*[cell(c) + k for k in (-1, 0, 1)]))
-    t = tgt.select(F.struct("v0", "v1", "v2", "r1", "r2").alias("b"), near("r1").alias("c1"), "r2").select("b", "c1", near("r2").alias("c2"))
-    hit = r.join(t, ["c1", "c2"]).where((F.abs(F.col("a.r1") - F.col("b.r1")) < tol) & (F.abs(F.col("a.r2") - F.col("b.r2")) < tol))
-    return hit.select(F.explode(F.array(*[F.struct(F.col(f"a.v{i}").alias("ref"), F.col(f"b.v{i}").alias("tgt")) for i in range(3)])).alias("p")).select("p.ref", "p.tgt")
+    t = tgt.select(*by, F.struct("v0", "v1", "v2", "r1", "r2").alias("b"), near("r1").alias("c1"), "r2").select(*by, "b", "c1", near("r2").alias("c2"))
+    hit = r.join(t, [*by, "c1", "c2"]).where((F.abs(F.col("a.r1") - F.col("b.r1")) < tol) & (F.abs(F.col("a.r2") - F.col("b.r2")) < tol))
+    return hit.select(*by, F.explode(F.array(*[F.struct(F.col(f"a.v{i}").alias("ref"), F.col(f"b.v{i}").alias("tgt")) for i in range(3)])).alias("p")).select(*by, "p.ref", "p.tgt")
 
 
-def estimate_transform(ref: DataFrame, tgt: DataFrame, reach: float = 2.5, candidates: int = 200) -> tuple[float, ...] | None:
-    """(m00, m01, tx, m10, m11, ty) from ref to tgt stars of one frame each, or None with fewer than three stars.
+PAIR = ("ref_frame", "tgt_frame")
+TRANSFORM = ("m00", "m01", "tx", "m10", "m11", "ty")
+#: Fixed multipliers by which proposals are drawn: the same ones in every run and at every place.
+DRAW, PRIME = (48271, 69621), 2147483647
 
-    Pairs of star matches propose similarity transforms; the one with the most matches within reach wins. Proposals
-    come from the matches that most triangles agree on (a fixed number, without random numbers). Without three matches the
-    brightest stars' offset is taken.
-    """
-    if ref.count() < 3 or tgt.count() < 3:
-        return None
-    pair = match_triangles(triangles(ref), triangles(tgt)).groupBy("ref", "tgt").agg(F.count(F.lit(1)).alias("votes"))
-    at = lambda s, n: s.select(F.col("star").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
-    pair = pair.join(F.broadcast(at(ref, "ref")), "ref").join(F.broadcast(at(tgt, "tgt")), "tgt")
-    rows = pair.orderBy(F.desc("votes"), "ref", "tgt").limit(900).collect()  # 30 x 30 pairs at most
-    first = lambda s: s.orderBy("star").first()
-    a, b = first(ref), first(tgt)
-    fallback = (1.0, 0.0, b["x"] - a["x"], 0.0, 1.0, b["y"] - a["y"])
-    if len(rows) < 3:
-        return fallback
-    best, found = 0, None
-    tried = 0
-    for i in range(len(rows)):
-        for j in range(i):
-            if tried >= candidates:
-                break
-            p, q = rows[j], rows[i]
-            dx, dy, ex, ey = q.refx - p.refx, q.refy - p.refy, q.tgtx - p.tgtx, q.tgty - p.tgty
-            size = dx * dx + dy * dy
-            if size < 1e-4:
-                continue
-            tried += 1
-            m, n = (ex * dx + ey * dy) / size, (ey * dx - ex * dy) / size
-            t = (m, -n, p.tgtx - (m * p.refx - n * p.refy), n, m, p.tgty - (n * p.refx + m * p.refy))
-            inliers = sum(r.votes for r in rows if math.hypot(t[0] * r.refx + t[1] * r.refy + t[2] - r.tgtx, t[3] * r.refx + t[4] * r.refy + t[5] - r.tgty) < reach)
-            if inliers > best:
-                best, found = inliers, t
-    return found if best >= 3 else fallback
 
+def align(stars: DataFrame, pairs: DataFrame, reach: float = 2.5, proposals: int = 100, most: int = 30) -> DataFrame:
+    """For every pair (ref_frame, tgt_frame) the transform of its stars (m00, m01, tx, m10, m11, ty) and its inliers.
 
+    Random sample consensus by sets: matches of stars that like triangles agree on are rows with their votes; each proposal draws two of
+    them by its number, weighted by votes, and gives a similarity transform; a join counts the votes that it brings within reach, and
+    the best proposal of each pair stays, the first among equals. A frame's ``most`` brightest stars are used, so a pair has most * most
+    matches at most. With fewer than three inliers the brightest stars' offset is taken. Pairs with fewer than three stars on a side have no row.
+    """
+    enough = stars.groupBy("frame_id").agg(F.count("*").alias("n"), F.min_by(F.struct("x", "y"), "star").alias("lead")).where("n >= 3")
+    side = lambda c, p: enough.select(F.col("frame_id").alias(c), F.col("lead").alias(p))
+    pairs = pairs.select(*PAIR).distinct().join(side("ref_frame", "_r"), "ref_frame").join(side("tgt_frame", "_t"), "tgt_frame")
+    tri = triangles(stars, most)
+    of = lambda c: pairs.select(*PAIR).join(tri.withColumnRenamed("frame_id", c), c)
+    votes = match_triangles(of("ref_frame"), of("tgt_frame"), by=PAIR).groupBy(*PAIR, "ref", "tgt").agg(F.count("*").alias("votes"))
+    at = lambda c, n: stars.select(F.col("frame_id").alias(c), F.col("star").alias(n), F.col("x").alias(f"{n}x"), F.col("y").alias(f"{n}y"))
+    matches = votes.join(at("ref_frame", "ref"), ["ref_frame", "ref"]).join(at("tgt_frame", "tgt"), ["tgt_frame", "tgt"])
+    order = W.partitionBy(*PAIR).orderBy("ref", "tgt")
+    matches = staged(matches.withColumn("upto", F.sum("votes").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))))
+
+    totals = matches.groupBy(*PAIR).agg(F.sum("votes").alias("total")).where("total >= 3")
+    numbered = totals.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(proposals)))).withColumn("draw", F.col("draw").cast("long"))
+    drawn = numbered.select(*PAIR, "draw", *[(F.col("draw") * DRAW[i] % PRIME * DRAW[1 - i] % PRIME % F.col("total")).alias(f"at{i}") for i in (0, 1)])
+    for i, p in enumerate("pq"):
+        m = matches.select(*PAIR, (F.col("upto") - F.col("votes")).alias("_from"), F.col("upto").alias("_to"), F.struct("refx", "refy", "tgtx", "tgty").alias(p))
+        drawn = drawn.join(m, [*PAIR]).where((F.col(f"at{i}") >= F.col("_from")) & (F.col(f"at{i}") < F.col("_to"))).drop("_from", "_to")
+    d = drawn.selectExpr(*PAIR, "draw", "p", "q.refx - p.refx AS dx", "q.refy - p.refy AS dy", "q.tgtx - p.tgtx AS ex", "q.tgty - p.tgty AS ey").where("dx * dx + dy * dy >= 1e-4")
+    d = d.selectExpr(*PAIR, "draw", "p", "try_divide(ex * dx + ey * dy, dx * dx + dy * dy) AS c", "try_divide(ey * dx - ex * dy, dx * dx + dy * dy) AS s")
+    proposed = d.selectExpr(*PAIR, "draw", "c AS m00", "-s AS m01", "p.tgtx - (c * p.refx - s * p.refy) AS tx", "s AS m10", "c AS m11", "p.tgty - (s * p.refx + c * p.refy) AS ty")
+    off = F.expr("sqrt(pow(m00 * refx + m01 * refy + tx - tgtx, 2e0) + pow(m10 * refx + m11 * refy + ty - tgty, 2e0))")
+    scored = proposed.join(matches, [*PAIR]).where(off < reach).groupBy(*PAIR, "draw", *TRANSFORM).agg(F.sum("votes").alias("inliers"))
+    best = scored.where("inliers >= 3").groupBy(*PAIR).agg(F.max_by(F.struct(*TRANSFORM, "inliers"), F.struct("inliers", -F.col("draw"))).alias("b"))
+    out = pairs.join(best, [*PAIR], "left")
+    plain = dict(zip(TRANSFORM, ("1e0", "0e0", "_t.x - _r.x", "0e0", "1e0", "_t.y - _r.y")))
+    return out.selectExpr(*PAIR, *[f"coalesce(b.{k}, {v}) AS {k}" for k, v in plain.items()], "coalesce(b.inliers, 0) AS inliers")
+
+
+def estimate_transform(ref: DataFrame, tgt: DataFrame, reach: float = 2.5, proposals: int = 100) -> tuple[float, ...] | None:
+    """The transform from ref to tgt stars of one frame each, or None with fewer than three stars."""
+    stars = ref.withColumn("frame_id", F.lit(0)).unionByName(tgt.withColumn("frame_id", F.lit(1)), allowMissingColumns=True)
+    found = align(stars, ref.sparkSession.createDataFrame([(0, 1)], "ref_frame int, tgt_frame int"), reach, proposals).first()
+    return None if found is None else tuple(found[k] for k in TRANSFORM)

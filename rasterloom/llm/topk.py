@@ -9,13 +9,16 @@ A partition reports only its top bins that hold its own k best scores (the globa
 partition's), so at most k bins leave a partition for a query. In the last pass a partition reports at most its own k
 best rows of a query, which keeps results whole under any number of ties.
 
-Queries are worked off in blocks of at most ``block`` vectors; only one block (block x dimension x 8 bytes) is
-broadcast at a time, so the bound does not depend on the data.
+Queries are worked off in blocks of about ``block`` vectors; only one block (block x dimension x 16 bytes) is broadcast at a time and
+freed when its results are written, so neither the bound nor a plan depends on the number of queries.
+
+Scores are exact for components of any size: products that may pass 2**53 are added up modulo 2**64, and where even the sum of their
+sizes may not fit in a long, a score in doubles with its error tells whether it does; in doubt Python's integers decide.
 
 Defined results: rows take no part if the id or the vector is null, or a component is null or not finite. Vectors of
 another length than a query's are no candidates for it. Rows with a query's id are its own. Among repeated query ids
 the smallest vector counts. Fewer than k candidates: all are returned. Empty tables give empty results.
-Vectors with a component so large that scores might not fit in a long (over sqrt(2**60 / components) after scaling) take no part.
+A score that doesn't fit in a long is an error that names its pair.
 Columns other than the id and the vector play no role, whatever their names.
 """
 
@@ -31,25 +34,53 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from rasterloom.llm.common import bounded_batches, lean, stage
+from rasterloom.llm.common import bounded_batches, drop_staged, fresh_path, lean, stage
 
 #: Scores held at once in a worker.
 CELLS = 1 << 21
 RADIX_BITS = 11
-#: Largest score that counts.
-LARGEST = 1 << 60
+LONG = 1 << 63
 
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(vec_id, v): v = floor(scale * x) of usable vectors. Empty ones are usable; their products are 0."""
+    """(vec_id, v): v = floor(scale * x) of usable vectors, as doubles that hold whole numbers. Empty ones are usable; their products are 0."""
     x = F.col(vec_col)
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    scaled = F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("double"))
-    # any product of two vectors fits: each component is at most the root of LARGEST / components
-    fits = F.forall(scaled, lambda c: F.abs(c) <= F.sqrt(F.lit(float(LARGEST)) / F.size(x)))
-    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & usable & fits).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(scaled, lambda c: c.cast("long")).alias("v"))
+    # doubles from 2**52 on are whole
+    whole = lambda z: F.when(F.abs(z) < float(1 << 52), F.floor(z).cast("double")).otherwise(z)
+    v = F.transform(F.transform(x, lambda c: F.lit(float(scale)) * c.cast("double")), whole)
+    return vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & usable).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
+
+
+def wrapped(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in doubles, modulo 2**64, as int64."""
+    big = np.abs(x) >= float(LONG)
+    out = np.where(big, 0, x).astype(np.int64)
+    if big.any():
+        out[big] = np.array([int(v) % (1 << 64) for v in x[big]], np.uint64).view(np.int64)
+    return out
+
+
+def exact_scores(q: np.ndarray, q_wrapped: np.ndarray, m: np.ndarray, q_ids: np.ndarray, m_ids: np.ndarray) -> np.ndarray:
+    """Inner products of rows of q and m (whole numbers in doubles) as int64."""
+    if not q.shape[1]:
+        return np.zeros((len(q), len(m)), np.int64)
+    most = np.abs(q).max(1, initial=0)[:, None] * np.abs(m).sum(1)[None, :]
+    top = most.max(initial=0)
+    if top < 1 << 53:
+        return (q @ m.T).astype(np.int64)
+    s = q_wrapped @ wrapped(m).T
+    if not top < 1 << 62:
+        with np.errstate(over="ignore", invalid="ignore"):
+            sizes = np.abs(q) @ np.abs(m).T
+            near, off = q @ m.T, sizes * (2.0 * q.shape[1] * np.finfo(float).eps)
+        for i, j in np.argwhere(~(sizes < 1 << 62) & ~(np.abs(near) + off < float(LONG)) & (q_ids[:, None] != m_ids[None, :])):
+            true = sum(int(a) * int(b) for a, b in zip(q[i], m[j]))
+            if not -LONG <= true < LONG:
+                raise OverflowError(f"the score of query {q_ids[i]} and vector {m_ids[j]} doesn't fit in a long")
+    return s
 
 
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float = 1024, block: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -59,29 +90,31 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float
     base = quantised(vectors, id_col, vec_col, scale)
     chosen = quantised(vectors.where(is_query), id_col, vec_col, scale).groupBy("vec_id").agg(F.min("v").alias("v"))
     largest, longest = base.agg(F.max(F.array_max(F.transform("v", lambda c: F.abs(c)))), F.max(F.size("v"))).first()
-    if longest is None:
-        return spark.createDataFrame([], FOUND)
-    bound = min(int(largest or 0) ** 2 * int(longest), LARGEST)
-    n_queries = chosen.count()
-    n_blocks = math.ceil(n_queries / block)
+    n_blocks = math.ceil(chosen.count() / block) if longest is not None else 0
     if not n_blocks:
         return spark.createDataFrame([], FOUND)
+    bound = min(int(largest or 0) ** 2 * int(longest), LONG - 1)
     # blocks by hash: about ``block`` queries each
     parts = stage(chosen.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))), "queries")
-    found = None
+    path, wrote = fresh_path(spark, "top-k"), False
     for b in range(n_blocks):
         rows = parts.where(F.col("block") == b).select("vec_id", "v").orderBy("vec_id").collect()  # one block
         if rows:
-            one = _one_block(base, [r[0] for r in rows], [r[1] for r in rows], k, bound)
-            found = one if found is None else found.unionByName(one)
-    return found
+            found, held = _one_block(base, [r[0] for r in rows], [r[1] for r in rows], k, bound)
+            found.write.mode("append").parquet(path)
+            wrote = True
+            for x in held:
+                x.destroy()
+    drop_staged(parts)
+    return spark.read.schema(FOUND).parquet(path) if wrote else spark.createDataFrame([], FOUND)
 
 
-def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int, bound: int) -> DataFrame:
+def _one_block(base: DataFrame, ids: list[int], vectors: list[list[float]], k: int, bound: int) -> tuple[DataFrame, list]:
+    """The block's results, and what to free when they are written."""
     spark = base.sparkSession
-    kind = np.float64 if bound < 1 << 53 else np.int64  # float products are exact below 2**53
     dims = sorted({len(v) for v in vectors})
-    held = spark.sparkContext.broadcast({"ids": np.array(ids, np.int64), "of": {d: (np.array([i for i, v in enumerate(vectors) if len(v) == d]), np.array([v for v in vectors if len(v) == d], kind).reshape(sum(len(v) == d for v in vectors), d)) for d in dims}})
+    of = {d: (np.array([i for i, v in enumerate(vectors) if len(v) == d]), np.array([v for v in vectors if len(v) == d], np.float64).reshape(-1, d) if d else np.zeros((sum(not v for v in vectors), 0))) for d in dims}
+    held = spark.sparkContext.broadcast({"ids": np.array(ids, np.int64), "of": {d: (which, q, wrapped(q)) for d, (which, q) in of.items()}})
     n = len(ids)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,13 +124,13 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
             cand, lists = batch.column(0).to_numpy(), batch.column(1)
             size, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
             at = np.concatenate([[0], np.cumsum(size)])
-            for d, (which, q) in h["of"].items():
+            for d, (which, q, q_wrapped) in h["of"].items():
                 rows = np.flatnonzero(size == d)
                 step = max(1, CELLS // len(which))
                 for i in range(0, len(rows), step):
                     r = rows[i : i + step]
-                    m = values[at[r][:, None] + np.arange(d)].astype(kind) if len(r) < len(size) else values.reshape(len(r), d).astype(kind)
-                    s = (q @ m.T).astype(np.int64)
+                    m = values[at[r][:, None] + np.arange(d)] if len(r) < len(size) else values.reshape(len(r), d)
+                    s = exact_scores(q, q_wrapped, m, h["ids"][which], cand[r])
                     yield which, cand[r], s, h["ids"][which][:, None] != cand[r][None, :]
 
     low, left = np.full(n, -bound, np.int64), np.full(n, k, np.int64)  # start of each query's range, rank of the wanted value in it
@@ -112,8 +145,9 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
             low, left, few = state.value
             hist = np.zeros((n, bins), np.int64)
             for which, _, s, ok in scored(batches):
-                bin_ = (s - low[which][:, None]) >> shift
-                ok &= (bin_ >= 0) & (bin_ < bins) & ~few[which][:, None]
+                from_ = low[which][:, None]
+                bin_ = ((s.view(np.uint64) - from_.view(np.uint64)) >> np.uint64(shift)).astype(np.int64)  # a distance may be over 63 bits
+                ok &= (s >= from_) & (bin_ >= 0) & (bin_ < bins) & ~few[which][:, None]
                 flat = (which[:, None] * bins + bin_)[ok]
                 hist += np.bincount(flat, minlength=n * bins).reshape(n, bins)
             above = np.cumsum(hist[:, ::-1], 1)[:, ::-1] - hist  # scores in higher bins
@@ -132,7 +166,7 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
             .select("q", "at.bin", "at.above")
             .collect()  # one row for each query of the block
         )
-        state.unpersist()
+        state.destroy()
         seen = np.zeros(n, bool)
         for q, bin_, above in hit:
             seen[q] = True
@@ -167,4 +201,4 @@ def _one_block(base: DataFrame, ids: list[int], vectors: list[list[int]], k: int
             yield pa.RecordBatch.from_arrays([pa.array(held.value["ids"][q_all[0]]), pa.array(c_all[0]), pa.array(s_all[0])], ["query_id", "vec_id", "score"])
 
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return base.mapInArrow(lean(best), "query_id long, vec_id long, score long").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return base.mapInArrow(lean(best), "query_id long, vec_id long, score long").withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), [held, kth]

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -319,10 +320,29 @@ def test_statistics_by_hand():
 
 
 def test_top_k_of_empty_and_large_vectors(spark):
-    vectors = [(0, []), (10, []), (20, [1e300, 1.0]), (30, [2.0, 3.0]), (31, [4e5, -1.0]), (32, [1.0, 5.0]), (33, None), (34, []), (40, [float("inf"), 1.0])]
-    df = spark.createDataFrame([(i, v, "x") for i, v in vectors], "vec_id long, embedding array<double>, score string")
-    got = rows(topk.exact_top_k(df, F.col("vec_id") % 10 == 0, k=2, scale=1.0), "query_id", "rank", "vec_id", "score")
-    assert sorted(got) == [(0, 1, 10, 0), (0, 2, 34, 0), (10, 1, 0, 0), (10, 2, 34, 0), (30, 1, 31, 799997), (30, 2, 32, 17)]
+    """Components of any size take part, also those over 2**63 and products that cancel; against Python's integers."""
+    r = random.Random(4)
+    vectors = [(0, []), (10, []), (34, []), (33, None), (40, [float("inf"), 1.0]), (50, [1e300, 1e300]), (51, [3.0, -3.0]), (20, [2.0**62, 1.0]), (21, [1.0, 2.0**62]), (30, [4e5, -1.0])]
+    vectors += [(100 + i, [r.choice((-1, 1)) * r.random() * 10.0 ** r.randint(0, 8) for _ in range(3)]) for i in range(60)] + [(200, [2e5] * 64), (201, [-2e5] * 64), (202, [3e7] * 64), (203, [1.0] * 64), (210, [3e7] * 63 + [-1e7])]
+    usable = {i: v for i, v in vectors if v is not None and all(x != float("inf") for x in v)}
+
+    def best(query, k):
+        score = lambda v: sum(int(a) * int(b) for a, b in zip(map(math.floor, usable[query]), map(math.floor, v)))
+        found = sorted((-score(v), i) for i, v in usable.items() if i != query and len(v) == len(usable[query]))
+        return [(query, n, i, -s) for n, (s, i) in enumerate(found[:k], 1)]
+
+    def run(ids):
+        df = spark.createDataFrame([(i, v, "x") for i, v in vectors if i in ids], "vec_id long, embedding array<double>, score string").repartition(3)
+        return sorted(rows(topk.exact_top_k(df, F.col("vec_id") % 10 == 0, k=5, scale=1.0, block=3), "query_id", "rank", "vec_id", "score"))
+
+    fits = {i for i in usable if i not in (50, 51, 20, 21)}
+    held, usable = usable, {i: v for i, v in usable.items() if i in fits}
+    assert run(fits) == sorted(x for q in fits if q % 10 == 0 for x in best(q, 5))
+    # 1e300 * 3 - 1e300 * 3 is 0, and 2**62 + 2**62 doesn't fit
+    usable = {i: held[i] for i in (50, 51)}
+    assert run({50, 51}) == [(50, 1, 51, 0)]
+    with pytest.raises(Exception, match="query 20 and vector 21 doesn't fit in a long"):
+        run({20, 21})
 
 
 def test_shards_of_rows_with_maps(spark, docs):

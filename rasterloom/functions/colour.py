@@ -134,8 +134,8 @@ def delta_e00(one: tuple[str, str, str], two: tuple[str, str, str], out: str = "
 
 
 def ire(r: str = "r", g: str = "g", b: str = "b") -> str:
-    """Exposure level: encoded luma as a percentage, from 0 to 100."""
-    return f"({clamp(luma(r, g, b), 0, 1)} * 100e0)"
+    """Exposure level: encoded luma as a percentage, from 0 to 100; 0 for what is no number."""
+    return f"(CASE WHEN isnan({luma(r, g, b)}) THEN 0e0 ELSE {clamp(luma(r, g, b), 0, 1)} * 100e0 END)"
 
 
 # Exposure zones as (upper bound, bound included, red, green, blue); the last has no bound.

@@ -218,17 +218,20 @@ ENTRY = {
 def stored_entries(df: DataFrame, json: str = "json") -> DataFrame:
     """Entries of stored catalogs (JSON arrays of objects), newest first by ``position`` (from 1; equal times in stored order).
 
-    Missing and null fields take their defaults. An entry without uri or with a time or rating that is no number ends its
-    catalog: it and what follows are left out. A text that is no JSON array has no entries.
+    A missing field takes its default; a text that is null reads 'null'. What is no object, has no uri, or has a time or rating that is
+    there but no number (null is none) ends its catalog: it and what follows are left out. A text that is no JSON array has no entries.
     """
-    held = F.from_json(json, "array<struct<uri:string," + ",".join(f"{k}:string" for k in ENTRY) + ">>")
+    held = F.transform(F.from_json(json, "array<string>"), lambda e: F.from_json(e, "map<string,string>"))
     number = lambda c: F.coalesce(c.try_cast("long"), c.try_cast("double").cast("long"))
     numeric = [k for k, (_, v) in ENTRY.items() if v == 0]
-    wrong = lambda e: e.isNull() | e["uri"].isNull() | F.greatest(*[e[k].isNotNull() & number(e[k]).isNull() for k in numeric])
-    value = lambda e, k: F.coalesce(number(e[k]) if k in numeric else e[k], F.lit(ENTRY[k][1])).alias(ENTRY[k][0])
+    there = lambda e, k: F.map_contains_key(e, F.lit(k))
+    at = lambda e, k: F.try_element_at(e, F.lit(k))
+    wrong = lambda e: e.isNull() | ~there(e, "uri") | F.greatest(*[there(e, k) & number(at(e, k)).isNull() for k in numeric])
+    read = lambda e, k: number(at(e, k)) if k in numeric else F.coalesce(at(e, k), F.lit("null"))
+    value = lambda e, k: F.when(there(e, k), read(e, k)).otherwise(F.lit(ENTRY[k][1])).alias(ENTRY[k][0])
     end = F.array_position(F.transform("_held", wrong), True)
     good = F.slice("_held", F.lit(1), F.when(end > 0, end - 1).otherwise(F.size("_held")).cast("int"))
-    entry = lambda e, i: F.struct((-value(e, "lastEditedAt")).alias("_at"), i.alias("_k"), e["uri"].alias("uri"), *[value(e, k) for k in ENTRY])
+    entry = lambda e, i: F.struct((-value(e, "lastEditedAt")).alias("_at"), i.alias("_k"), read(e, "uri").alias("uri"), *[value(e, k) for k in ENTRY])
     rest = [c for c in df.columns if c != json]
     out = df.withColumn("_held", held).where("_held IS NOT NULL").select(*rest, F.posexplode(F.array_sort(F.transform(good, entry))).alias("_p", "_e"))
     return out.select(*rest, (F.col("_p") + 1).alias("position"), "_e.uri", *[F.col(f"_e.{c}") for c, _ in ENTRY.values()])

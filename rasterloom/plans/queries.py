@@ -517,11 +517,11 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
     return catalog_view(spark, d).select("doc_id", catalog.is_raw("name").alias("raw"))
 
 
-@register("s13_stored_entries", "WITH e AS (SELECT doc_id, 0 AS k, 'a://' || doc_id AS uri, '' AS file_name, coalesce(n_chars, 0) AS edited, doc_id % 6 AS rating, 'PICKED' AS pick_status FROM documents UNION ALL SELECT doc_id, 1, 'b://' || doc_id, 'n \"1\".dng', 1000, 0, 'NONE' FROM documents) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY edited DESC, k) AS INTEGER) AS position, uri, file_name, CAST(edited AS BIGINT) AS last_edited_at, CAST(rating AS BIGINT) AS rating, pick_status FROM e WHERE doc_id % 4 <> 0")
+@register("s13_stored_entries", "WITH e AS (SELECT doc_id, 0 AS k, 'a://' || doc_id AS uri, '' AS file_name, coalesce(n_chars, 0) AS edited, doc_id % 6 AS rating, 'PICKED' AS pick_status FROM documents UNION ALL SELECT doc_id, 1, 'b://' || doc_id, 'n \"1\".dng', 1000, 0, 'NONE' FROM documents WHERE doc_id % 3 <> 0) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY edited DESC, k) AS INTEGER) AS position, uri, file_name, CAST(edited AS BIGINT) AS last_edited_at, CAST(rating AS BIGINT) AS rating, pick_status FROM e WHERE doc_id % 4 <> 0")
 def s13(spark: SparkSession, d: str) -> DataFrame:
     first = """concat('{"uri":"a://', doc_id, '","lastEditedAt":', coalesce(n_chars, 0), ',"rating":"', doc_id % 6, '","pickStatus":"PICKED"}')"""
-    second = r"""concat('{"uri":"b://', doc_id, '","fileName":"n \\"1\\".dng","lastEditedAt":1000,"rating":null}')"""
-    # a broken text, an entry without uri before another, a rating that is no number, a plain catalog
+    second = r"""concat('{"uri":"b://', doc_id, '","fileName":"n \\"1\\".dng","lastEditedAt":1000', CASE WHEN doc_id % 3 = 0 THEN ',"rating":null}' ELSE '}' END)"""
+    # a broken text, an entry without uri before another, a rating that is no number, a plain catalog; null ratings
     tail = """CASE doc_id % 4 WHEN 0 THEN ',{"uri"' WHEN 1 THEN ',{"rating":1},{"uri":"c://"}]' WHEN 2 THEN ',{"uri":"d://","rating":"x"}]' ELSE ']' END"""
     stored = table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", F.expr(f"concat('[', {first}, ',', {second}, {tail})").alias("json"))
     return catalog.stored_entries(stored).select("doc_id", "position", "uri", "file_name", "last_edited_at", "rating", "pick_status")

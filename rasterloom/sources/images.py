@@ -302,34 +302,48 @@ def halo_tiles(df: DataFrame, size: int = 2048, pad: int = 16) -> DataFrame:
     return df.withColumn("tile_x", F.explode(span("x"))).withColumn("tile_y", F.explode(span("y")))
 
 
-# 5 x 7 glyphs, a number of seven bits (lowest on top) for each of five columns.
+# 5 x 7 glyphs of the printable characters from the space on, a number of seven bits (lowest on top) for each of five columns.
 GLYPHS = {
-    " ": (0x00, 0x00, 0x00, 0x00, 0x00), "(": (0x00, 0x1C, 0x22, 0x41, 0x00), ")": (0x00, 0x41, 0x22, 0x1C, 0x00), "-": (0x08, 0x08, 0x08, 0x08, 0x08),
-    ".": (0x00, 0x60, 0x60, 0x00, 0x00), "/": (0x20, 0x10, 0x08, 0x04, 0x02), "0": (0x3E, 0x51, 0x49, 0x45, 0x3E), "1": (0x00, 0x42, 0x7F, 0x40, 0x00),
-    "2": (0x42, 0x61, 0x51, 0x49, 0x46), "4": (0x18, 0x14, 0x12, 0x7F, 0x10), "5": (0x27, 0x45, 0x45, 0x45, 0x39), "6": (0x3C, 0x4A, 0x49, 0x49, 0x30),
-    "7": (0x01, 0x71, 0x09, 0x05, 0x03), "8": (0x36, 0x49, 0x49, 0x49, 0x36), "A": (0x7E, 0x11, 0x11, 0x11, 0x7E), "C": (0x3E, 0x41, 0x41, 0x41, 0x22),
+    " ": (0x00, 0x00, 0x00, 0x00, 0x00), "!": (0x00, 0x00, 0x5F, 0x00, 0x00), '"': (0x00, 0x07, 0x00, 0x07, 0x00), "#": (0x14, 0x7F, 0x14, 0x7F, 0x14),
+    "$": (0x24, 0x2A, 0x7F, 0x2A, 0x12), "%": (0x23, 0x13, 0x08, 0x64, 0x62), "&": (0x36, 0x49, 0x55, 0x22, 0x50), "'": (0x00, 0x05, 0x03, 0x00, 0x00),
+    "(": (0x00, 0x1C, 0x22, 0x41, 0x00), ")": (0x00, 0x41, 0x22, 0x1C, 0x00), "*": (0x08, 0x2A, 0x1C, 0x2A, 0x08), "+": (0x08, 0x08, 0x3E, 0x08, 0x08),
+    ",": (0x00, 0x50, 0x30, 0x00, 0x00), "-": (0x08, 0x08, 0x08, 0x08, 0x08), ".": (0x00, 0x60, 0x60, 0x00, 0x00), "/": (0x20, 0x10, 0x08, 0x04, 0x02),
+    "0": (0x3E, 0x51, 0x49, 0x45, 0x3E), "1": (0x00, 0x42, 0x7F, 0x40, 0x00), "2": (0x42, 0x61, 0x51, 0x49, 0x46), "3": (0x21, 0x41, 0x45, 0x4B, 0x31),
+    "4": (0x18, 0x14, 0x12, 0x7F, 0x10), "5": (0x27, 0x45, 0x45, 0x45, 0x39), "6": (0x3C, 0x4A, 0x49, 0x49, 0x30), "7": (0x01, 0x71, 0x09, 0x05, 0x03),
+    "8": (0x36, 0x49, 0x49, 0x49, 0x36), "9": (0x06, 0x49, 0x49, 0x29, 0x1E), ":": (0x00, 0x36, 0x36, 0x00, 0x00), ";": (0x00, 0x56, 0x36, 0x00, 0x00),
+    "<": (0x08, 0x14, 0x22, 0x41, 0x00), "=": (0x14, 0x14, 0x14, 0x14, 0x14), ">": (0x00, 0x41, 0x22, 0x14, 0x08), "?": (0x02, 0x01, 0x51, 0x09, 0x06),
+    "@": (0x32, 0x49, 0x79, 0x41, 0x3E), "A": (0x7E, 0x11, 0x11, 0x11, 0x7E), "B": (0x7F, 0x49, 0x49, 0x49, 0x36), "C": (0x3E, 0x41, 0x41, 0x41, 0x22),
     "D": (0x7F, 0x41, 0x41, 0x22, 0x1C), "E": (0x7F, 0x49, 0x49, 0x49, 0x41), "F": (0x7F, 0x09, 0x09, 0x09, 0x01), "G": (0x3E, 0x41, 0x49, 0x49, 0x7A),
-    "I": (0x00, 0x41, 0x7F, 0x41, 0x00), "L": (0x7F, 0x40, 0x40, 0x40, 0x40), "M": (0x7F, 0x02, 0x0C, 0x02, 0x7F), "N": (0x7F, 0x04, 0x08, 0x10, 0x7F),
-    "O": (0x3E, 0x41, 0x41, 0x41, 0x3E), "R": (0x7F, 0x09, 0x19, 0x29, 0x46), "S": (0x46, 0x49, 0x49, 0x49, 0x31), "T": (0x01, 0x01, 0x7F, 0x01, 0x01),
-    "U": (0x3F, 0x40, 0x40, 0x40, 0x3F), "Y": (0x07, 0x08, 0x70, 0x08, 0x07), "f": (0x08, 0x7E, 0x09, 0x01, 0x02), "m": (0x7C, 0x04, 0x18, 0x04, 0x78),
-    "s": (0x48, 0x54, 0x54, 0x54, 0x20), "|": (0x00, 0x00, 0x7F, 0x00, 0x00),
+    "H": (0x7F, 0x08, 0x08, 0x08, 0x7F), "I": (0x00, 0x41, 0x7F, 0x41, 0x00), "J": (0x20, 0x40, 0x41, 0x3F, 0x01), "K": (0x7F, 0x08, 0x14, 0x22, 0x41),
+    "L": (0x7F, 0x40, 0x40, 0x40, 0x40), "M": (0x7F, 0x02, 0x0C, 0x02, 0x7F), "N": (0x7F, 0x04, 0x08, 0x10, 0x7F), "O": (0x3E, 0x41, 0x41, 0x41, 0x3E),
+    "P": (0x7F, 0x09, 0x09, 0x09, 0x06), "Q": (0x3E, 0x41, 0x51, 0x21, 0x5E), "R": (0x7F, 0x09, 0x19, 0x29, 0x46), "S": (0x46, 0x49, 0x49, 0x49, 0x31),
+    "T": (0x01, 0x01, 0x7F, 0x01, 0x01), "U": (0x3F, 0x40, 0x40, 0x40, 0x3F), "V": (0x1F, 0x20, 0x40, 0x20, 0x1F), "W": (0x3F, 0x40, 0x38, 0x40, 0x3F),
+    "X": (0x63, 0x14, 0x08, 0x14, 0x63), "Y": (0x07, 0x08, 0x70, 0x08, 0x07), "Z": (0x61, 0x51, 0x49, 0x45, 0x43), "[": (0x00, 0x7F, 0x41, 0x41, 0x00),
+    "\\": (0x02, 0x04, 0x08, 0x10, 0x20), "]": (0x00, 0x41, 0x41, 0x7F, 0x00), "^": (0x04, 0x02, 0x01, 0x02, 0x04), "_": (0x40, 0x40, 0x40, 0x40, 0x40),
+    "`": (0x00, 0x01, 0x02, 0x04, 0x00), "a": (0x20, 0x54, 0x54, 0x54, 0x78), "b": (0x7F, 0x48, 0x44, 0x44, 0x38), "c": (0x38, 0x44, 0x44, 0x44, 0x20),
+    "d": (0x38, 0x44, 0x44, 0x48, 0x7F), "e": (0x38, 0x54, 0x54, 0x54, 0x18), "f": (0x08, 0x7E, 0x09, 0x01, 0x02), "g": (0x08, 0x14, 0x54, 0x54, 0x3C),
+    "h": (0x7F, 0x08, 0x04, 0x04, 0x78), "i": (0x00, 0x44, 0x7D, 0x40, 0x00), "j": (0x20, 0x40, 0x44, 0x3D, 0x00), "k": (0x7F, 0x10, 0x28, 0x44, 0x00),
+    "l": (0x00, 0x41, 0x7F, 0x40, 0x00), "m": (0x7C, 0x04, 0x18, 0x04, 0x78), "n": (0x7C, 0x08, 0x04, 0x04, 0x78), "o": (0x38, 0x44, 0x44, 0x44, 0x38),
+    "p": (0x7C, 0x14, 0x14, 0x14, 0x08), "q": (0x08, 0x14, 0x14, 0x18, 0x7C), "r": (0x7C, 0x08, 0x04, 0x04, 0x08), "s": (0x48, 0x54, 0x54, 0x54, 0x20),
+    "t": (0x04, 0x3F, 0x44, 0x40, 0x20), "u": (0x3C, 0x40, 0x40, 0x20, 0x7C), "v": (0x1C, 0x20, 0x40, 0x20, 0x1C), "w": (0x3C, 0x40, 0x30, 0x40, 0x3C),
+    "x": (0x44, 0x28, 0x10, 0x28, 0x44), "y": (0x0C, 0x50, 0x50, 0x50, 0x3C), "z": (0x44, 0x64, 0x54, 0x4C, 0x44), "{": (0x00, 0x08, 0x36, 0x41, 0x00),
+    "|": (0x00, 0x00, 0x7F, 0x00, 0x00), "}": (0x00, 0x41, 0x36, 0x08, 0x00), "~": (0x08, 0x08, 0x2A, 0x1C, 0x08),
 }
 
 
 def glyph_cells(text: str, scale: int, font: dict[str, tuple[int, ...]]) -> set[tuple[int, int]]:
-    """Places of a text's ink from its upper left corner. A character that the font lacks is an error."""
-    if missing := sorted(set(text) - font.keys()):
-        raise ValueError(f"the font has no glyph for {missing}; give one that has")
-    return {((7 * i + col) * scale + dx, row * scale + dy) for i, ch in enumerate(text) for col, bits in enumerate(font[ch]) for row in range(7) if bits >> row & 1 for dx in range(scale) for dy in range(scale)}
+    """Places of a text's ink from its upper left corner, a place for each byte of it; what the font lacks is a blank."""
+    signs = [font.get(chr(b), (0,) * 5) for b in text.encode()]
+    return {((7 * i + col) * scale + dx, row * scale + dy) for i, sign in enumerate(signs) for col, bits in enumerate(sign) for row in range(7) if bits >> row & 1 for dx in range(scale) for dy in range(scale)}
 
 
 def watermark(df: DataFrame, width: int, height: int, text: str, font: dict[str, tuple[int, ...]] = GLYPHS, below: bool = True) -> DataFrame:
     """K6: quantised pixels with centred text on a dark margin below (its rows are generated), or blended into the lower right corner.
 
-    font: five column numbers for each character; the default one has some of the printable characters only. Glyph cells are few and broadcast.
+    font: five column numbers for each character; the default one has the printable ones. Glyph cells are few and broadcast.
     """
     scale = max(1, width // 1000)
-    tall, long = max(60, int(height * 0.08)), 7 * scale * len(text)
+    tall, long = max(60, int(height * 0.08)), 7 * scale * len(text.encode())
     left, top = (max(20, (width - long) // 2), height + (tall - 7 * scale) // 2) if below else (max(20, width - long - 30 * scale), height - 31 * scale)
     cells = sorted((left + x, top + y) for x, y in glyph_cells(text, scale, font) if left + x < width and 0 <= top + y < height + tall * below)
     spark, cols = df.sparkSession, ("r8", "g8", "b8")

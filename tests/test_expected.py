@@ -461,11 +461,71 @@ def test_watermark_prints_a_camera_line(spark):
     assert out.count() == 120 * 100 and ink == len(glyph_cells("(C) 2026", 1, GLYPHS)) and out.where("y >= 40 AND r8 = 15 AND b8 = 18").count() == 120 * 60 - ink
     over = watermark(df, 120, 40, "ISO", below=False)
     assert over.count() == 4800 and sorted({r.r8 for r in over.select("r8").collect()}) == [60, (60 * 30 + 255 * 225) // 255]
-    with pytest.raises(ValueError, match="no glyph"):
-        watermark(df, 120, 40, "é")
+    assert [chr(i) for i in range(32, 127)] == list(GLYPHS) and len(glyph_cells("35mm Photo", 1, GLYPHS)) > 80
+    # a character that isn't printable is a blank for each of its bytes
+    assert glyph_cells("éI", 1, GLYPHS) == glyph_cells("  I", 1, GLYPHS)
 
 
 def test_shown_exif_by_hand(spark):
     df = spark.createDataFrame([(1 / 250, 2.8, 100, 50.9), (0.3, 4.0, 0, 0.0), (2.0, 0.0, 64, 24.0), (0.0, 1.4, 1, 8.0)], "exposure_time double, f_number double, iso_speed int, focal_length double")
     got = [tuple(r)[4:] for r in catalog.shown_exif(df).collect()]
     assert got == [("1/250s", "f/2.8", "ISO 100", "50mm"), ("1/3s", "f/4.0", "", ""), ("2.0s", "", "ISO 64", "24mm"), ("", "f/1.4", "ISO 1", "8mm")]
+
+
+def test_levels_of_no_number(spark):
+    df = spark.createDataFrame([(float("nan"), 0.5, 0.5), (1.0, 1.0, 1.0), (-1.0, 0.0, 0.0)], "r double, g double, b double")
+    assert [round(r[0], 6) for r in df.select(F.expr(c.ire())).collect()] == [0.0, 100.0, 0.0]
+
+
+def test_stored_entries_end_at_null_numbers(spark):
+    texts = ['[{"uri":"a","rating":3,"fileName":null},{"uri":"b","rating":null},{"uri":"c"}]', '[{"uri":null,"lastEditedAt":"7"},5,{"uri":"x"}]', '[{"lastEditedAt":1}]', "{", None, "[]"]
+    got = catalog.stored_entries(spark.createDataFrame(list(enumerate(texts)), "k int, json string")).select("k", "position", "uri", "file_name", "rating", "last_edited_at").collect()
+    assert [tuple(r) for r in got] == [(0, 1, "a", "null", 3, 0), (1, 1, "null", "", 0, 7)]
+
+
+def test_settings_and_layers_as_json(spark):
+    """Against Python's own JSON reader: what is written has all fields in order, and reads back the same."""
+    import json
+
+    from rasterloom.operators import settings_json as sj
+
+    def default(f):
+        if isinstance(f, sj.Group):
+            one = {x.name: x.default for x in f.fields}
+            return [one] * (f.size or 0) if f.many else one
+        return list(f.default) if isinstance(f.default, tuple) else f.default
+
+    texts = ["", "nothing", "{}", '{"kelvin": 1e999, "tint": 1}', '{"colorProfile": "a\\"b/c\\\\é\\n", "toneCurveLUT": [0, "x", 1.5]}', '{"tint": true, "contrast": 5}', '{"tint": 2, "primaryRed": 1, "geometry": {"steps": 2}}', None]
+    df = sj.read_settings(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string"), "t", "s")
+    rows = {r.k: (r.s, r.j) for r in df.select("k", "s", F.expr(sj.write_settings("s")).alias("j")).collect()}
+    plain = {f.name: default(f) for f in sj.SETTINGS}
+    single = lambda v: json.loads(json.dumps(v), parse_float=lambda x: float(np.float32(x)), parse_int=float)
+    for k in (0, 1, 2, 5, 7):
+        read = json.loads(rows[k][1], parse_int=float)
+        assert list(read) == [f.name for f in sj.SETTINGS] and read == single(plain)
+    assert rows[3][1] is None and rows[3][0].tint == 1 and rows[3][0].kelvin == float("inf")
+    assert rows[4][0].colorProfile == 'a"b/c\\é\n' and json.loads(rows[4][1])["colorProfile"] == 'a"b/c\\é\n' and "b\\/c" in rows[4][1] and rows[4][0].toneCurveLUT == [0, 0, 1.5]
+    assert rows[6][0].tint == 2 and rows[6][0].geometry.steps == 0
+    again = sj.read_settings(df.where("k <> 3").select("k", "s", F.expr(sj.write_settings("s")).alias("j")), "j", "s2")
+    assert again.where("s = s2").count() == 7
+
+    layers = ["", "[]", "[5]", '[{"id":"a","brushStrokes":[{"x":1}]},{"polygonVertices":3}]', '[{"name":"x/\\"y"},{}]', None]
+    df = sj.read_layers(spark.createDataFrame(list(enumerate(layers)), "k int, t string"), "t", "l")
+    got = {r.k: (r.l, r.j) for r in df.select("k", "l", F.expr(sj.write_layers("l")).alias("j")).collect()}
+    assert all(got[k] == ([], "") for k in (0, 1, 2, 5)) and [m.id for m in got[3][0]] == ["a"] and got[3][0][0].brushStrokes[0].r == 25
+    assert [(m["id"], m["name"]) for m in json.loads(got[4][1])] == [("mask-0", 'x/"y'), ("mask-1", "Mask Layer")]
+    assert list(json.loads(got[4][1])[1]) == [f.name for f in sj.LAYER]
+
+
+def test_masks_of_frames_without_layers(spark):
+    from rasterloom.operators import mask_rows, settings_json as sj
+
+    made = [f"{sj.default_of(f)} AS {f.name}" for f in sj.LAYER if f.name not in ("type", "booleanOp", "inverted", "opacity")]
+    rows = [(0, 0, "DEPTH_MAP", "UNION", True, 1.0), (0, 1, "LINEAR_GRADIENT", "SUBTRACT", False, 1.0), (2, 0, "LINEAR_GRADIENT", "INTERSECT", False, 0.5), (3, 0, "BRUSH", "UNION", True, 1.0)]
+    layers = spark.createDataFrame(rows, "frame_id int, ord int, type string, booleanOp string, inverted boolean, opacity double").selectExpr("*", *made)
+    strokes = spark.createDataFrame([(3, 0, 0, 70.0, 1.0, 1.0, 3.0, 1.0, False)], "frame_id int, ord int, seq int, x double, y double, p double, r double, f double, er boolean")
+    px = spark.createDataFrame([(f, x, y, 0.5, 0.5, 0.5) for f in range(4) for x in (0, 70, 99) for y in (0, 1)], "frame_id int, x long, y long, r double, g double, b double")
+    got = {(r.frame_id, r.x, r.y): r.w for r in mask_rows.masked(px, layers, strokes, "100", "2").collect()}
+    # without depth that layer stands nowhere; a subtraction from nothing is nothing; frame 1 has no layers
+    assert all(got[f, x, y] == 0 for f in (0, 1) for x in (0, 70, 99) for y in (0, 1))
+    assert got[2, 0, 0] == 0 and got[2, 99, 1] == 0.5 and got[3, 70, 1] == 0 and got[3, 0, 0] == 1

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from rasterloom.functions.dialect import num
+from rasterloom.operators import xmp
 
 # Suffixes of raw files, and file types by format.
 RAW = ("dng", "arw", "cr2", "cr3", "nef", "raf", "orf", "rw2", "pef")
@@ -64,13 +65,6 @@ def sample_size(width: Column, height: Column, wanted: int) -> Column:
     return F.when(longest < 1, 1).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(longest)))).cast("int")
 
 
-def tag(xml: Column | str, name: str) -> Column:
-    """The value of a tag: its attribute form first, then its element form; null if there is neither."""
-    c = F.col(xml) if isinstance(xml, str) else xml
-    attr, elem = rf'\b{name}="([^"]*)"', rf"<{name}>([^<]*)</{name}>"
-    return F.when(F.regexp_count(c, F.lit(attr)) > 0, F.regexp_extract(c, attr, 1)).when(F.regexp_count(c, F.lit(elem)) > 0, F.regexp_extract(c, elem, 1))
-
-
 # Sidecar tags of development settings.
 SETTINGS = {
     "exposure_ev": "crs:Exposure2012", "kelvin": "crs:Temperature", "tint": "crs:Tint", "contrast": "crs:Contrast2012", "highlights": "crs:Highlights2012",
@@ -82,30 +76,30 @@ LABELS = ("none", "red", "yellow", "green", "blue", "purple")
 
 def read_sidecar(df: DataFrame, xml: str = "xml") -> DataFrame:
     """Rating, label, pick, dates and settings of sidecar texts; what is absent or no number is null (pick and label: none)."""
-    pick = F.coalesce(tag(xml, "crs:Pick"), tag(xml, "photoshop:Urgency")).try_cast("int")
-    label = F.lower(tag(xml, "xmp:Label"))
-    return df.select(
+    t = lambda *names: F.coalesce(*[xmp.value("_tags", n) for n in names])
+    pick, label = t("crs:Pick", "photoshop:Urgency").try_cast("int"), F.lower(t("xmp:Label"))
+    return xmp.tokens(df, xml).select(
         *[c for c in df.columns if c != xml],
-        tag(xml, "xmp:Rating").try_cast("int").alias("rating"),
+        t("xmp:Rating").try_cast("int").alias("rating"),
         F.when(label.isin(*LABELS), label).otherwise("none").alias("label"),
         F.when(pick.isin(-1, 1), pick).otherwise(0).alias("pick"),
-        F.coalesce(tag(xml, "xmp:CreateDate"), tag(xml, "photoshop:DateCreated"), tag(xml, "exif:DateTimeOriginal")).alias("capture_date"),
-        tag(xml, "tiff:Make").alias("make"),
-        tag(xml, "tiff:Model").alias("model"),
-        F.coalesce(tag(xml, "aux:Lens"), tag(xml, "exif:LensModel")).alias("lens"),
-        *[tag(xml, t).try_cast("double").alias(c) for c, t in SETTINGS.items() if c != "chroma_nr"],
+        t("xmp:CreateDate", "photoshop:DateCreated", "exif:DateTimeOriginal").alias("capture_date"),
+        t("tiff:Make").alias("make"),
+        t("tiff:Model").alias("model"),
+        t("aux:Lens", "exif:LensModel").alias("lens"),
+        *[t(name).try_cast("double").alias(c) for c, name in SETTINGS.items() if c != "chroma_nr"],
     )
 
 
 def read_preset(df: DataFrame, xml: str = "xml", default: str = "Imported Preset") -> DataFrame:
-    """Name, category (upper case), settings and the grey flag of preset texts."""
-    c = F.col(xml)
-    full = lambda p, i=1: F.when(F.regexp_count(c, F.lit(p)) > 0, F.trim(F.regexp_extract(c, p, i)))
-    number = lambda t: F.coalesce(full(rf'{t}="([+-]?\d*\.?\d+)"'), full(rf"<{t}>([+-]?\d*\.?\d+)</{t}>")).try_cast("double")
-    name = F.coalesce(full(r"<(crs:PresetName|dc:title|xmp:Name)[^>]*>([^<]+)</(crs:PresetName|dc:title|xmp:Name)>", 2), full(r'crs:PresetName="([^"]+)"'), F.lit(default))
-    group = F.coalesce(full(r"<(crs:Group|crs:Cluster)[^>]*>([^<]+)</(crs:Group|crs:Cluster)>", 2), full(r'crs:Group="([^"]+)"'), F.lit("USER"))
-    grey = c.contains('crs:ConvertToGrayscale="True"') | c.contains("<crs:ConvertToGrayscale>True</crs:ConvertToGrayscale>")
-    return df.select(*[k for k in df.columns if k != xml], name.alias("name"), F.upper(group).alias("category"), *[number(t).alias(k) for k, t in SETTINGS.items()], grey.alias("monochrome"))
+    """Name, category (upper case), settings and the grey flag of preset texts. Names are looked for in elements first, settings in attributes."""
+    own = lambda *names: F.trim(xmp.first("_tags", "elements", *names, filled=True))
+    attribute = lambda name: F.trim(xmp.first("_tags", "attributes", name, filled=True))
+    number = lambda name: F.coalesce(*[xmp.plain_number(xmp.first("_tags", kind, name)) for kind in ("attributes", "elements")])
+    name = F.coalesce(own("crs:PresetName", "dc:title", "xmp:Name"), attribute("crs:PresetName"), F.lit(default))
+    group = F.coalesce(own("crs:Group", "crs:Cluster"), attribute("crs:Group"), F.lit("USER"))
+    grey = F.exists(F.concat("_tags.attributes", "_tags.elements"), lambda t: (t["name"] == "crs:ConvertToGrayscale") & (t["value"] == "True"))
+    return xmp.tokens(df, xml).select(*[k for k in df.columns if k != xml], name.alias("name"), F.upper(group).alias("category"), *[number(t).alias(k) for k, t in SETTINGS.items()], grey.alias("monochrome"))
 
 
 def escape_xml(c: Column) -> Column:
@@ -131,17 +125,8 @@ def write_packet(tags: dict[str, Column]) -> Column:
 
 
 def upsert_tags(xml: Column, tags: dict[str, Column]) -> Column:
-    """K7: each tag replaced where it stands (attribute, else element) or put into the description's opening tag."""
-    for t, v in tags.items():
-        attr, elem, head = rf'\b{t}="[^"]*"', rf"<{t}>[^<]*</{t}>", r"(<rdf:Description[^>]*?)(\s*/?>)"
-        safe = F.regexp_replace(v, r"([\\$])", r"\\$1")
-        put = F.concat(F.lit(t + '="'), safe, F.lit('"'))
-        xml = (
-            F.when(F.regexp_count(xml, F.lit(attr)) > 0, F.regexp_replace(xml, F.lit(attr), put))
-            .when(F.regexp_count(xml, F.lit(elem)) > 0, F.regexp_replace(xml, F.lit(elem), F.concat(F.lit(f"<{t}>"), safe, F.lit(f"</{t}>"))))
-            .otherwise(F.regexp_replace(xml, F.lit(head), F.concat(F.lit("$1\n   "), put, F.lit("$2"))))
-        )
-    return xml
+    """K7: each tag replaced where it stands (attribute, else element) or put into the first description's opening tag."""
+    return xmp.changed(xml, tags)
 
 
 # Bits of a batch sync and the settings that each copies; limits of preset blends.

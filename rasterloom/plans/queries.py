@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from rasterloom.functions import colour as c
 from rasterloom.functions.dialect import DUCK, SPARK, Dialect, Layer, apply, num, per_channel, smoothstep, sql
-from rasterloom.operators import calibrate, catalog, develop, geometry, masks, scopes, stack, stencil
+from rasterloom.operators import calibrate, catalog, develop, geometry, masks, scopes, stack, stencil, xmp
 from rasterloom.plans.registry import QUERIES, SQL, Query, register
 from rasterloom.sources import dims
 from rasterloom.sources.views import CATALOG, HEIGHT, PIXEL_COLUMNS, PIXELS, SAMPLES, WIDTH, height, pixels, samples, table
@@ -575,7 +575,29 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
 
 @register("s11_markup", r"""SELECT page_id, CASE WHEN regexp_matches(html, '\blang="([^"]*)"') THEN regexp_extract(html, '\blang="([^"]*)"', 1) END AS lang, CASE WHEN regexp_matches(html, '\btitle="([^"]*)"') THEN regexp_extract(html, '\btitle="([^"]*)"', 1) WHEN regexp_matches(html, '<title>([^<]*)</title>') THEN regexp_extract(html, '<title>([^<]*)</title>', 1) END AS title FROM pages""")
 def s11(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", catalog.tag("html", "lang").alias("lang"), catalog.tag("html", "title").alias("title"))
+    return xmp.tokens(table(spark, d, "pages").select("page_id", "html"), "html", entities=False).select("page_id", xmp.value("_tags", "lang").alias("lang"), xmp.value("_tags", "title").alias("title"))
+
+
+# sidecars of every document: attributes or elements, either place of the pick, labels in any case, texts that are no numbers, entities
+_SIDECAR = """concat('<x:xmpmeta><rdf:RDF><rdf:Description rdf:about="" tiff:Make="A &amp; B > ', doc_id % 3, '"', CASE WHEN doc_id % 2 = 0 THEN concat(' xmp:Rating="', doc_id % 6, '" xmp:Rating="9"') ELSE '' END, CASE doc_id % 3 WHEN 0 THEN ' crs:Pick="1"' WHEN 1 THEN ' photoshop:Urgency="-1"' ELSE ' crs:Pick="4"' END,
+  ' crs:Temperature="', CASE WHEN doc_id % 5 = 0 THEN 'warm' ELSE concat('', 5000 + doc_id % 900) END, '">', CASE WHEN doc_id % 2 = 1 THEN concat('<xmp:Rating>', doc_id % 6, '</xmp:Rating>') ELSE '<xmp:Rating>8</xmp:Rating>' END, '<xmp:Label>', CASE doc_id % 4 WHEN 0 THEN 'GREEN' WHEN 1 THEN 'Blue' WHEN 2 THEN 'mauve' ELSE '' END, '</xmp:Label><dc:title><rdf:li>x</rdf:li></dc:title>',
+  CASE WHEN doc_id % 7 = 0 THEN '' ELSE concat('<exif:LensModel>L&lt;', doc_id % 4, '&gt;</exif:LensModel>') END, '</rdf:Description></rdf:RDF></x:xmpmeta>')"""
+
+
+@register("s11_sidecars", "SELECT doc_id, CAST(doc_id % 6 AS INTEGER) AS rating, CASE doc_id % 4 WHEN 0 THEN 'green' WHEN 1 THEN 'blue' ELSE 'none' END AS label, CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS pick, 'A & B > ' || doc_id % 3 AS make, CASE WHEN doc_id % 7 <> 0 THEN 'L<' || doc_id % 4 || '>' END AS lens, CASE WHEN doc_id % 5 <> 0 THEN 5000e0 + doc_id % 900 END AS kelvin FROM documents")
+def s11_sidecars(spark: SparkSession, d: str) -> DataFrame:
+    """Sidecar texts read by one pass over their tokens."""
+    return catalog.read_sidecar(table(spark, d, "documents").selectExpr("doc_id", f"{_SIDECAR} AS xml")).select("doc_id", "rating", "label", "pick", "make", "lens", "kelvin")
+
+
+@register("k07_upsert_texts", """SELECT doc_id, concat('<rdf:Description crs:Tint="', CASE WHEN doc_id % 3 = 0 THEN '7' ELSE '1' END, '"', CASE doc_id % 3 WHEN 0 THEN concat('\n   xmp:Rating="', doc_id % 6, '"\n   xmp:Label="Red" ') WHEN 1 THEN concat(' xmp:Rating="', doc_id % 6, '"\n   crs:Tint2="x"') ELSE ' xmp:Rating="9"' END, CASE WHEN doc_id % 3 = 0 THEN '/>' ELSE concat('><xmp:Label>', CASE WHEN doc_id % 3 = 1 THEN 'Red' ELSE 'old' END, '</xmp:Label></rdf:Description>') END, '<rdf:Description/>') AS xml FROM documents""")
+def k07_upsert_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of sidecars after changes: values in place, or new attributes in the first description."""
+    start = """CASE WHEN doc_id % 3 = 0 THEN '<rdf:Description crs:Tint="1" /><rdf:Description/>' ELSE '<rdf:Description crs:Tint="1" xmp:Rating="9"><xmp:Label>old</xmp:Label></rdf:Description><rdf:Description/>' END"""
+    t = table(spark, d, "documents").selectExpr("doc_id", f"{start} AS xml", "CAST(doc_id % 6 AS STRING) AS stars")
+    both, one = {"xmp:Rating": F.col("stars"), "xmp:Label": F.lit("Red")}, {"crs:Tint": F.lit("7")}
+    changed = F.when(F.col("doc_id") % 3 == 0, catalog.upsert_tags(F.col("xml"), one | both)).when(F.col("doc_id") % 3 == 1, catalog.upsert_tags(F.col("xml"), both | {"crs:Tint2": F.lit("x")})).otherwise(F.col("xml"))
+    return t.select("doc_id", changed.alias("xml"))
 
 
 @register("s12_presets")
@@ -585,7 +607,7 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     return catalog.read_preset(p.select("p_partkey", xml.alias("xml"))).select("p_partkey", "name", "category", "exposure_ev", "kelvin", "tint", "monochrome")
 
 
-SQL["s12_presets"] = "SELECT p_partkey, trim(replace(p_name, '&', '&amp;')) AS name, upper(p_brand) AS category, CAST(printf('%.2f', p_size / 25e0 - 1) AS DOUBLE) AS exposure_ev, CAST(p_size * 100 + 2500 AS DOUBLE) AS kelvin, CAST(printf('%.1f', p_size / 3e0) AS DOUBLE) AS tint, FALSE AS monochrome FROM part"
+SQL["s12_presets"] = "SELECT p_partkey, trim(p_name) AS name, upper(p_brand) AS category, CAST(printf('%.2f', p_size / 25e0 - 1) AS DOUBLE) AS exposure_ev, CAST(p_size * 100 + 2500 AS DOUBLE) AS kelvin, CAST(printf('%.1f', p_size / 3e0) AS DOUBLE) AS tint, FALSE AS monochrome FROM part"
 
 
 @register("k07_sidecar_upsert")

@@ -21,6 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 4 << 20
 #: Bytes that the writer of a staged table holds in memory at most.
 ROW_GROUP = 32 << 20
+#: Shuffle partitions at most. A task works off its ranges or buckets one after the other, so more of them need no more tasks; the driver
+#: keeps a bit for each pair of tasks (2 kB for a map task), which grows no further.
+MOST_TASKS = 1 << 14
+
+
+def tasks_for(spark: SparkSession, ranges: int) -> int:
+    """Shuffle partitions for so many ranges: one for each up to MOST_TASKS, and no fewer than the session asks for."""
+    return max(min(ranges, MOST_TASKS), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -92,7 +92,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """10-word windows of all benchmark items in all documents; n_near: items of which 10 words stand in 20 in any order."""
+    """10-word windows of all benchmark items in all documents; n_near: items of which one of the phrases of 10 words into
+    which they are cut, one behind the other, has its words in a stretch of 20 in any order (windows between two of these aren't searched)."""
     from rasterloom.llm.decontaminate import decontaminate
 
     found = decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10, near=20)

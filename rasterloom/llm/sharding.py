@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches, fresh_path, input_bytes, lean
+from rasterloom.llm.common import bounded_batches, fresh_path, input_bytes, lean, tasks_for
 
 OUT = ("shard", "slot")
 
@@ -92,7 +92,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = 2024050
 
     path = path or fresh_path(spark, "shards")
     (
-        scattered.repartition(n_buckets, "__bucket")
+        scattered.repartition(tasks_for(spark, n_buckets), "__bucket")
         .sortWithinPartitions("__bucket", *keys)
         .mapInArrow(lean(permute), schema)
         .write.partitionBy("shard").parquet(path)

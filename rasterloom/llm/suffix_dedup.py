@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rasterloom.llm.common import bounded_batches, chunks, drop_path, input_bytes, lean, mix64, stage, text_bytes
+from rasterloom.llm.common import bounded_batches, chunks, drop_path, input_bytes, lean, mix64, stage, text_bytes, tasks_for
 
 #: Text bytes of a batch, bytes of an anchor, and places whose hashes are made at once.
 BATCH, GRAM, BLOCK = 4 << 20, 20, 1 << 16
@@ -558,7 +558,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     if bits is None:
         bits = min(22, max(6, ((input_bytes(docs) or 1) >> 21).bit_length()))
     docs, job, schema = _prepare(docs, length, id_col, text_col, kept, max(1, bits), hot, level)
-    n_tasks = max(1 << job.bits, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_tasks = tasks_for(docs.sparkSession, 1 << job.bits)
     heads = docs.mapInArrow(lean(job.heads), ROW)
     batches = lambda rows: rows.repartition(n_tasks, "batch").sortWithinPartitions("batch", "part")
     shared = _dealt(docs.mapInArrow(lean(job.scatter), ROW), n_tasks).mapInArrow(lean(job.find_shared), ROW)
@@ -594,7 +594,7 @@ class StoredFamily:
         """What ``remove_repeats`` gives, against all documents so far; their strings then belong to the family."""
         spark = self.spark
         docs, job, schema = _prepare(docs, self.length, id_col, text_col, kept, self.bits, HOT, LEVEL)
-        n_tasks = max(1 << job.bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        n_tasks = tasks_for(spark, 1 << job.bits)
         dealt = stage(docs.mapInArrow(lean(job.deal_all), ROW), "strings")
         older = self._read([n for n, _ in self.levels])
         found = _dealt(dealt if older is None else dealt.unionByName(older), n_tasks).mapInArrow(lean(job.find), ROW)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from rasterloom.llm.common import bounded_batches, lean
+from rasterloom.llm.common import bounded_batches, lean, tasks_for
 
 REST = np.uint64(40)
 MASK = np.uint64((1 << 40) - 1)
@@ -139,6 +139,6 @@ def exchange(rows: DataFrame, read: Callable[[pa.RecordBatch], Iterator[Batch]],
 
     # heads (part -1) need no range; they are spread by their batch
     dealt = rows.mapInArrow(lean(scatter), BLOCK)
-    n = max(ranges, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = tasks_for(spark, ranges)
     answered = dealt.repartition(n, "part", dealt["ids"].isNotNull().cast("long") * dealt["batch"]).sortWithinPartitions("part", "batch").mapInArrow(lean(invert), BLOCK)
     return answered.repartition(n, "batch").sortWithinPartitions("batch", "part").mapInArrow(lean(gather), schema)

@@ -559,3 +559,20 @@ def test_other_batches_are_an_error():
     table = pa.RecordBatch.from_pylist(rows_, pa.schema([("part", pa.int32()), ("batch", pa.int64()), ("sum", pa.int64()), ("head", pa.binary())]))
     with pytest.raises(RuntimeError, match="other rows"):
         list(suffix_dedup._Job.by_batch(iter([table])))
+
+
+def test_more_ranges_than_tasks(spark, docs, monkeypatch):
+    """Tasks that work off several ranges or buckets give what single ones give."""
+    from rasterloom.llm import common
+
+    few = docs.select("doc_id", "text").where("length(text) < 1000").where("doc_id < 25 OR doc_id IS NULL")
+
+    def results():
+        deduped = suffix_dedup.remove_repeats(few, bits=4)
+        linked = jaccard.components(few)
+        dealt = sharding.shuffle_into_shards(few, n_shards=5, n_buckets=12)
+        return [Counter(map(str, df.drop("kept").collect())) for df in (deduped, linked, dealt)]
+
+    one_each = results()
+    monkeypatch.setattr(common, "MOST_TASKS", 2)
+    assert common.tasks_for(spark, 16) == 4 and results() == one_each

@@ -850,6 +850,6 @@ def s04(spark: SparkSession, d: str) -> DataFrame:
 
 
 # further queries register themselves
-from rasterloom.plans import align_queries, history_queries, json_queries, mask_queries  # noqa: E402, F401
+from rasterloom.plans import align_queries, exif_queries, history_queries, json_queries, mask_queries  # noqa: E402, F401
 
 mask_queries._register(SOBEL)

@@ -529,3 +529,24 @@ def test_masks_of_frames_without_layers(spark):
     # without depth that layer stands nowhere; a subtraction from nothing is nothing; frame 1 has no layers
     assert all(got[f, x, y] == 0 for f in (0, 1) for x in (0, 70, 99) for y in (0, 1))
     assert got[2, 0, 0] == 0 and got[2, 99, 1] == 0.5 and got[3, 70, 1] == 0 and got[3, 0, 0] == 1
+
+
+def test_exif_within_bounds():
+    """Cut, turned and broken files never read outside, and whole ones read back in both byte orders."""
+    from rasterloom.sources import exif
+
+    row = {"make": "A", "model": "A long model name", "orientation": 6, "taken": "2024:01:02 03:04:05", "exposure_time": 1 / 250, "f_number": 2.8, "iso_speed": 100, "focal_length": 50.9, "lens": "é", "latitude": -35.5, "longitude": 139.25}
+    for big in (False, True):
+        data = exif.build(row, big)
+        for whole in (data, exif.in_jpeg(data), b"\xff\xd8\xff\xe0\x00\x04ab" + exif.in_jpeg(data)[2:]):
+            got = exif.parse(whole)
+            assert all(got[k] == pytest.approx(v, abs=1e-5) if isinstance(v, float) else got[k] == v for k, v in row.items()) and got["software"] is None
+        for n in range(len(data)):
+            exif.parse(data[:n])
+        r = random.Random(1)
+        for _ in range(300):
+            broken = bytearray(data)
+            for _ in range(5):
+                broken[r.randrange(8, len(data))] = r.randrange(256)
+            exif.parse(bytes(broken))
+    assert exif.parse(None) is None and exif.parse(b"") is None and exif.parse(b"II*\0") is None and exif.parse(b"\xff\xd8\xff\xd9") is None

@@ -2,14 +2,15 @@
 
 Every stage but the last returns the columns of ``documents``. Defined results: an empty table passes through; null texts count
 as empty in the first four stages and have null ids in the last; extra columns are carried along to the last stage. Of
-near copies and repeated rows the one with the smallest id stays (of equal ids, the first in the order of set keys and texts).
+near copies and repeated rows the one with the smallest id stays (of equal ids, the first in the order of set keys and texts). Extra
+columns may have any name, also one that an operator's results have; very long texts are worked off whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontaminate, jaccard, quality, sentencepiece_codec, suffix_dedup
@@ -20,12 +21,18 @@ from rasterloom.llm.langid import held_out
 LEAST_QUALITY = 0.7
 
 
+def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with every column but doc_id and text under a name that no operator uses, and all columns by their own names."""
+    other = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    return docs.withColumnsRenamed(other), {c: F.col(other.get(c, c)).alias(c) for c in docs.columns}
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from labels of documents that aren't held out."""
     stats = stage(quality.with_statistics(docs.where(~held_out()).select("doc_id", "text")), "stats")
     forest = quality.train(stats, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    columns = docs.columns
-    return quality.score_texts(docs, forest).where(F.col("score") >= LEAST_QUALITY).select(*columns)
+    docs, own = _aside(docs)
+    return quality.score_texts(docs, forest).where(F.col("score") >= LEAST_QUALITY).select(*own.values())
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +42,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 50 bytes that a document with a smaller id has too; characters cut in two go as well."""
-    columns = docs.columns
-    left = suffix_dedup.remove_repeats(docs, length=50, kept="text")
-    left = left.withColumn("text", F.col("kept_text"))
-    if "n_chars" in columns:
-        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*columns)
+    kinds = dict(docs.dtypes)
+    docs, own = _aside(docs)
+    own["text"] = F.col("kept_text").alias("text")
+    if "n_chars" in own:
+        own["n_chars"] = F.length("kept_text").cast(kinds["n_chars"]).alias("n_chars")
+    return suffix_dedup.remove_repeats(docs, length=50, kept="text").select(*own.values())
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from rasterloom.functions.dialect import DUCK, SPARK, Dialect, Layer, apply, num
 from rasterloom.operators import calibrate, catalog, develop, geometry, masks, scopes, stack, stencil, xmp
 from rasterloom.plans.registry import QUERIES, SQL, Query, register
 from rasterloom.sources import dims
+from rasterloom.sources.images import synthetic_colours, synthetic_frames
 from rasterloom.sources.views import CATALOG, HEIGHT, PIXEL_COLUMNS, PIXELS, SAMPLES, WIDTH, height, pixels, samples, table
 from rasterloom.sources.views import catalog as catalog_view
 from rasterloom.streaming import tether
@@ -638,19 +639,30 @@ def s15(spark: SparkSession, d: str) -> DataFrame:
     return s.select("conv_id", catalog.intent_uris(F.col("s"), F.array(*[F.lit(v).cast("long") for v in (-1, 0, 100, 100)])).alias("uris"))
 
 
-@register("s16_dims", " UNION ALL ".join(f"SELECT '{k}' AS enum, {i} AS code, '{v}' AS name" for k, names in dims.ENUMS.items() for i, v in enumerate(names)))
+# fixed tables (2.2), each joined to a given one
+_ENUMS = ", ".join(f"('{k}', {i}, '{v}', {len(names)})" for k, names in dims.ENUMS.items() for i, v in enumerate(names))
+
+
+@register("s16_dims", f"SELECT p_partkey, enum, code, name FROM part JOIN (VALUES {_ENUMS}) v(enum, code, name, n) ON code = p_partkey % n")
 def s16(spark: SparkSession, d: str) -> DataFrame:
-    return dims.enums(spark)
+    """A value of every enumeration for each part, by its code."""
+    e = dims.enums(spark).withColumn("n", F.count("*").over(W.partitionBy("enum")))
+    return table(spark, d, "part").select("p_partkey").join(e, F.col("code") == F.col("p_partkey") % F.col("n")).select("p_partkey", "enum", "code", "name")
 
 
-@register("s16_recipes", "SELECT * FROM (VALUES (0, 'recipe_print_16bit', 'TIFF16', 'AdobeRGB', NULL, 0, 'tif'), (1, 'recipe_web_webp', 'WebP', 'sRGB', 95, 0, 'webp'), (2, 'recipe_sns_jpeg', 'JPEG', 'sRGB', 92, 2048, 'jpg')) v(ord, recipe, format, space, quality, longest, suffix)")
+@register("s16_recipes", "SELECT doc_id, concat('IMG_', doc_id, '.', suffix) AS file, recipe, format, space, quality, longest FROM documents JOIN (VALUES (0, 'recipe_print_16bit', 'TIFF16', 'AdobeRGB', NULL, 0, 'tif'), (1, 'recipe_web_webp', 'WebP', 'sRGB', 95, 0, 'webp'), (2, 'recipe_sns_jpeg', 'JPEG', 'sRGB', 92, 2048, 'jpg')) v(ord, recipe, format, space, quality, longest, suffix) ON ord = doc_id % 3")
 def s16_recipes(spark: SparkSession, d: str) -> DataFrame:
-    return dims.export_recipes(spark).select("ord", "recipe", "format", "space", "quality", "longest", catalog.file_type(F.col("format"))[0].alias("suffix"))
+    """The file that an export recipe gives for each document."""
+    r = dims.export_recipes(spark)
+    joined = table(spark, d, "documents").select("doc_id").join(r, F.col("ord") == F.col("doc_id") % 3)
+    return joined.select("doc_id", F.concat(F.lit("IMG_"), F.col("doc_id").cast("string"), F.lit("."), catalog.file_type(F.col("format"))[0]).alias("file"), "recipe", "format", "space", "quality", "longest")
 
 
-@register("s16_brands", "SELECT * FROM (VALUES ('Sony', 'ILCE-7RM5', 4000, 100, 94), ('Canon', 'EOS R5 Mark II', 3125, 100, 88), ('Nikon', 'Z 8', 5000, 64, 91), ('Fujifilm', 'GFX100 II', 6250, 80, 85), ('Panasonic', 'LUMIX S1R', 4000, 100, 79)) v(brand, camera, microseconds, iso, battery)")
+@register("s16_brands", "SELECT s_suppkey, brand, camera, microseconds, iso, battery FROM supplier JOIN (VALUES (0, 'Sony', 'ILCE-7RM5', 4000, 100, 94), (1, 'Canon', 'EOS R5 Mark II', 3125, 100, 88), (2, 'Nikon', 'Z 8', 5000, 64, 91), (3, 'Fujifilm', 'GFX100 II', 6250, 80, 85), (4, 'Panasonic', 'LUMIX S1R', 4000, 100, 79)) v(ord, brand, camera, microseconds, iso, battery) ON ord = s_suppkey % 5")
 def s16_brands(spark: SparkSession, d: str) -> DataFrame:
-    return dims.brands(spark).select("brand", "camera", F.round(F.col("exposure_time") * 1e6).cast("int").alias("microseconds"), "iso", "battery")
+    """The settings that a supplier's camera starts with."""
+    s = table(spark, d, "supplier").select("s_suppkey").join(dims.brands(spark), F.col("ord") == F.col("s_suppkey") % 5)
+    return s.select("s_suppkey", "brand", "camera", F.round(F.col("exposure_time") * 1e6).cast("int").alias("microseconds"), "iso", "battery")
 
 
 @register("j02_lens_profile", "WITH l AS (" + " UNION ALL ".join(f"SELECT {i} AS ord, '{r[0]}' AS mk, '{r[1]}' AS md, {r[3]}e0 AS lo, {r[4]}e0 AS hi" for i, r in enumerate(dims.LENSES)) + "), s AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'Sony' WHEN 1 THEN 'Canon' WHEN 2 THEN 'Sig' ELSE '' END AS make, CASE s_suppkey % 5 WHEN 0 THEN 'XCD 45mm F4 P' WHEN 1 THEN '70mm F2.8' ELSE '' END AS lens, CAST(s_suppkey % 100 AS DOUBLE) AS focal FROM supplier), m AS (SELECT id, ord, md, CASE WHEN lens <> '' AND (contains(md, lens) OR contains(lens, md)) THEN 0 WHEN make <> '' AND contains(mk, make) AND (focal <= 0 OR focal BETWEEN lo AND hi) THEN 1 WHEN ord = 0 THEN 2 END AS tier FROM s, l) SELECT id, tier, md AS lens_model FROM m WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, ord) = 1")
@@ -842,11 +854,11 @@ def k06(spark: SparkSession, d: str) -> DataFrame:
     return watermark(px8(spark, d), WIDTH, height(spark, d), "RAST").select("x", "y", *E8)
 
 
-@register("s04_synthetic")
+@register("s04_synthetic", "SELECT frame_id, x, y, " + ", ".join(f"round({e}, 6) AS {k}" for k, e in synthetic_colours(96, 64, DUCK).items()) + " FROM (SELECT r_regionkey AS frame_id, r_regionkey / 100e0 AS grain FROM region), range(96) a(x), range(64) b(y)")
 def s04(spark: SparkSession, d: str) -> DataFrame:
-    from rasterloom.sources.images import synthetic
-
-    return synthetic(spark, 96, 64).selectExpr(*rounded())
+    """A generated frame for each region, with its own grain."""
+    frames = table(spark, d, "region").selectExpr("r_regionkey AS frame_id", "r_regionkey / 100e0 AS grain")
+    return synthetic_frames(frames, 96, 64).selectExpr(*rounded(keys=("frame_id", "x", "y")))
 
 
 # further queries register themselves

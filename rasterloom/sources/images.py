@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.colour import noise
-from rasterloom.functions.dialect import SPARK, num
+from rasterloom.functions.dialect import SPARK, Dialect, num
 
 MOST_SIDE, MOST_PIXELS = 16384, 200_000_000
 
@@ -276,17 +276,29 @@ def exif_payload(meta: dict) -> bytes:
     return b"Exif\0\0" + b"II*\0" + struct.pack("<I", 8) + ifd(main(e_at, g_at), 8) + e + (ifd(gps, g_at) if gps else b"")
 
 
-def synthetic(spark: SparkSession, width: int, height: int, frame_id: int = 0, grain: float = 0.01) -> DataFrame:
-    """A generated test frame: sky, twelve patches, frequency bars and edges, with hash noise that depends on the place only."""
+def synthetic_colours(width: int, height: int, d: Dialect = SPARK) -> dict[str, str]:
+    """SQL of a generated test frame at x, y: sky, twelve patches, frequency bars and edges, with noise of column grain that depends on place and frame."""
     u, v = f"(x / {num(width)})", f"(y / {num(height)})"
-    patch = f"CAST(x * 12 div {width} AS INT)"
+    patch = f"CAST({d.idiv('x * 12', str(width))} AS INT)"
     tone = lambda k: f"(0.15e0 + 0.7e0 * (({patch} * {k} + {k}) % 12) / 11e0)"
     bars = f"(0.1e0 + 0.7e0 * (sin(x * 0.1e0 * (10e0 + {u} * 200e0)) * 0.5e0 + 0.5e0))"
     step = lambda f: f"CASE WHEN x % 32 < 16 THEN 0.85e0 ELSE 0.15e0 END * {num(f)}"
     make = lambda sky, k, f: f"CASE WHEN {v} < {num(1 / 3)} THEN {sky} WHEN {v} < {num(2 / 3)} THEN {tone(k)} WHEN {u} < 0.5e0 THEN {bars} ELSE {step(f)} END"
-    grainy = lambda e, s: f"greatest(0e0, {e} + ({noise(SPARK, 'x', 'y', s)} - {noise(SPARK, 'x', 'y', s + 50)}) * {num(grain)})"
-    px = spark.range(width * height).selectExpr(f"{frame_id} AS frame_id", f"CAST(id % {width} AS BIGINT) AS x", f"id div {width} AS y")
-    return px.selectExpr("frame_id", "x", "y", f"{grainy(make(f'0.2e0 + 0.3e0 * {v}', 1, 1.0), 1)} AS r", f"{grainy(make(f'0.4e0 + 0.3e0 * {v}', 5, 0.9), 2)} AS g", f"{grainy(make(f'0.8e0 - 0.2e0 * {v}', 7, 0.8), 3)} AS b")
+    y = f"(y + frame_id * {height})"
+    grainy = lambda e, s: f"greatest(0e0, {e} + ({noise(d, 'x', y, s)} - {noise(d, 'x', y, s + 50)}) * grain)"
+    return {"r": grainy(make(f"0.2e0 + 0.3e0 * {v}", 1, 1.0), 1), "g": grainy(make(f"0.4e0 + 0.3e0 * {v}", 5, 0.9), 2), "b": grainy(make(f"0.8e0 - 0.2e0 * {v}", 7, 0.8), 3)}
+
+
+def synthetic_frames(frames: DataFrame, width: int, height: int) -> DataFrame:
+    """A generated frame for each row of frames (frame_id, grain); rows are made line by line where the frame's row is."""
+    lines = frames.select("frame_id", "grain", F.explode(F.sequence(F.lit(0), F.lit(height - 1)).cast("array<bigint>")).alias("y"))
+    px = lines.select("frame_id", "grain", "y", F.explode(F.sequence(F.lit(0), F.lit(width - 1)).cast("array<bigint>")).alias("x"))
+    return px.selectExpr("frame_id", "x", "y", *[f"{e} AS {k}" for k, e in synthetic_colours(width, height).items()])
+
+
+def synthetic(spark: SparkSession, width: int, height: int, frame_id: int = 0, grain: float = 0.01) -> DataFrame:
+    """One generated frame."""
+    return synthetic_frames(spark.range(1).selectExpr(f"{frame_id} AS frame_id", f"{num(grain)} AS grain"), width, height)
 
 
 def tile(df: DataFrame, x: int, y: int, w: int, h: int, pad: int, width: int, height: int) -> DataFrame:

@@ -750,7 +750,13 @@ def session_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").selectExpr("user_id AS device", "CAST(ts AS TIMESTAMP) AS ts", "event_id", "value", "CASE event_id % 6 WHEN 0 THEN 'connect' WHEN 1 THEN 'opened' WHEN 2 THEN 'transfer' WHEN 3 THEN 'received' WHEN 4 THEN 'developed' ELSE 'disconnect' END AS event")
 
 
-@register("x02_sessions")
+@register("x02_sessions", f"""WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY device ORDER BY ts, event) AS k FROM {EVENTS}), s AS (
+  SELECT device, CAST(0 AS BIGINT) AS k, CAST(NULL AS TIMESTAMP) AS ts, '' AS event, 'disconnected' AS state FROM (SELECT DISTINCT device FROM n)
+  UNION ALL
+  SELECT n.device, n.k, n.ts, n.event, CASE WHEN n.event = 'disconnect' THEN 'disconnected' WHEN n.event = 'connect' AND state = 'disconnected' THEN 'connecting' WHEN n.event = 'opened' AND state = 'connecting' THEN 'connected'
+    WHEN n.event = 'transfer' AND state IN ('connected', 'ready') THEN 'transferring' WHEN n.event = 'received' AND state = 'transferring' THEN 'processing' WHEN n.event = 'developed' AND state = 'processing' THEN 'ready' ELSE state END
+  FROM s JOIN n ON n.device = s.device AND n.k = s.k + 1)
+SELECT CAST(device AS VARCHAR) AS device, ts, event, state FROM s WHERE k > 0""")
 def x02(spark: SparkSession, d: str) -> DataFrame:
     return tether.sessions(session_events(spark, d).withColumn("device", F.col("device").cast("string")).select("device", "ts", "event"))
 
@@ -771,7 +777,11 @@ def x05(spark: SparkSession, d: str) -> DataFrame:
     return tether.debounced(session_events(spark, d).selectExpr("device AS file", "ts", "value"), "6 hours").select("file", "value", "n")
 
 
-@register("x06_throttle")
+@register("x06_throttle", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS device, epoch_us(ts) / 1000e0 AS ts_ms FROM events), p AS (
+  SELECT device, min(ts_ms) AS ts_ms FROM e GROUP BY device
+  UNION ALL
+  SELECT * FROM (SELECT p.device, (SELECT min(ts_ms) FROM e WHERE e.device = p.device AND e.ts_ms >= p.ts_ms + 3.6e6) AS ts_ms FROM p) WHERE ts_ms IS NOT NULL)
+SELECT * FROM p""")
 def x06(spark: SparkSession, d: str) -> DataFrame:
     return tether.throttled(session_events(spark, d).selectExpr("device", "CAST(unix_micros(ts) AS DOUBLE) / 1000e0 AS ts_ms"), 3.6e6)
 

@@ -454,7 +454,9 @@ def g07(spark: SparkSession, d: str) -> DataFrame:
     return geometry.lens_correction(pixels(spark, d), WIDTH, height(spark, d), {"k1": -0.024, "k2": 0.006, "tca_red": 0.00032, "tca_blue": -0.0004}).selectExpr(*rounded())
 
 
-@register("g10_clone")
+@register("g10_clone", f"""WITH p AS (SELECT x, y, r, g, b, sqrt(pow(x - 30, 2) + pow(y - 15, 2)) AS d FROM {PIXELS}),
+  t AS (SELECT *, least(greatest((d - 4.9e0) / (2.1e0 + 1e-7), 0), 1) AS t FROM p), a AS (SELECT *, CASE WHEN d > 7 THEN 0 WHEN d <= 4.9e0 THEN 1 ELSE 1 - t * t * (3 - 2 * t) END AS a FROM t)
+  SELECT a.x, a.y, """ + ", ".join(f"round(a.{k} * (1 - a) + s.{k} * a, 6) AS {k}" for k in RGB) + f" FROM a JOIN {PIXELS} s ON s.x = least(greatest(a.x - 18, 0), 49) AND s.y = least(greatest(a.y - 5, 0), {HEIGHT} - 1)")
 def g10(spark: SparkSession, d: str) -> DataFrame:
     return geometry.clone(pixels(spark, d), WIDTH, height(spark, d), (30.0, 15.0), (12.0, 10.0), 7.0).selectExpr(*rounded())
 

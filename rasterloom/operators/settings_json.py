@@ -5,7 +5,8 @@ description, as its rules say: a field that isn't there keeps its default; one w
 and what comes behind keeps its defaults too. Inside objects and lists a value that doesn't fit is its default. Texts that aren't JSON
 give defaults only. Mask lists end before the first layer that can't be read.
 
-All is done by built-in functions: the text is parsed once into a map of raw values, nested values once more.
+All is done by built-in functions: the text is parsed once into a map of raw values, nested values once more; a list of objects is
+parsed element by element only if one of them isn't an object.
 Numbers are single floats; text that holds a number counts as that number, and text that holds JSON as what it holds. A layer
 without an id is named by its place.
 """
@@ -83,6 +84,7 @@ LAYER: tuple[Field | Group, ...] = (
 )
 
 OBJECT, LIST = "MAP<STRING, STRING>", "ARRAY<STRING>"
+OBJECTS = f"ARRAY<{OBJECT}>"
 
 
 # ---- types and defaults
@@ -146,7 +148,7 @@ def _readable(f: Field | Group, at: str) -> str:
     """Whether the value at hand (raw text, or parsed once more for lists and objects) can be read."""
     if isinstance(f, Group) and f.many:
         seen = f"slice({at}, 1, {f.size})" if f.size else at
-        return f"{at} IS NOT NULL AND forall({seen}, e -> from_json(e, '{OBJECT}') IS NOT NULL)"
+        return f"{at} IS NOT NULL AND forall({seen}, e -> e IS NOT NULL)"
     if isinstance(f, Group) or f.kind == NUMBERS:
         return f"{at} IS NOT NULL"
     if f.values or f.kind == TEXT:
@@ -159,11 +161,11 @@ def _value(f: Field | Group, at: str) -> str:
         if not f.many:
             return _struct(f.fields, lambda x: _optional(x, at))
         one = _struct(f.fields, lambda x: _optional(x, "o"))
-        read = f"transform(transform({at}, e -> from_json(e, '{OBJECT}')), o -> {one})"
+        read = f"transform({at}, o -> {one})"
         if not f.size:
             return read
         # objects before the first one that can't be read stay
-        bad = f"coalesce(nullif(array_position(transform({at}, e -> from_json(e, '{OBJECT}') IS NULL), true), 0) - 1, size({at}))"
+        bad = f"coalesce(nullif(array_position(transform({at}, e -> e IS NULL), true), 0) - 1, size({at}))"
         return f"slice(concat(slice({read}, 1, CAST(least({bad}, {f.size}) AS INT)), {default_of(f)}), 1, {f.size})"
     if f.kind == NUMBERS:
         read = f"transform({at}, e -> CAST(coalesce(try_cast(e AS DOUBLE), 0e0) AS FLOAT))"
@@ -173,10 +175,17 @@ def _value(f: Field | Group, at: str) -> str:
     return _scalar(f, at)
 
 
+def _objects(whole: str, text: str) -> str:
+    """The objects of a list as maps, null where one isn't an object; whole: the text parsed at once, which holds if each element is an object."""
+    return f"CASE WHEN forall({whole}, e -> e IS NOT NULL) THEN {whole} ELSE transform(from_json({text}, '{LIST}'), e -> from_json(e, '{OBJECT}')) END"
+
+
 def _parsed(f: Field | Group, raw_map: str) -> str:
     raw = f"element_at({raw_map}, {f.name!r})"
+    if isinstance(f, Group) and f.many:
+        return f"element_at(transform(array(from_json({raw}, '{OBJECTS}')), w -> {_objects('w', raw)}), 1)"
     if isinstance(f, Group):
-        return f"from_json({raw}, '{LIST if f.many else OBJECT}')"
+        return f"from_json({raw}, '{OBJECT}')"
     return f"from_json({raw}, '{LIST}')" if f.kind == NUMBERS else raw
 
 
@@ -201,7 +210,7 @@ def read_settings(df: DataFrame, text: str, out: str = "settings") -> DataFrame:
 def read_layers(df: DataFrame, text: str, out: str = "layers") -> DataFrame:
     """df with the list of mask layers that column text holds."""
     own = df.columns
-    raw = df.withColumn("_list", F.expr(f"transform(from_json({text}, '{LIST}'), e -> from_json(e, '{OBJECT}'))"))
+    raw = df.withColumn("_whole", F.expr(f"from_json({text}, '{OBJECTS}')")).withColumn("_list", F.expr(_objects("_whole", text)))
     groups = [f for f in LAYER if isinstance(f, Group)]
     # nested values are parsed once for each layer
     inner = ", ".join(f"'{g.name}', {_parsed(g, 'm')}" for g in groups)

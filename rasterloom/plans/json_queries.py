@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import settings_json
 from rasterloom.plans.registry import register
-from rasterloom.sources.views import table
+from rasterloom.sources.views import spread, table
 
 #: Both engines join numbers and texts alike. Every twelfth text has one fault or other.
 SETTINGS_TEXT = """CASE WHEN k % 12 = 0 THEN 'no settings' WHEN k % 12 = 8 THEN '{}' ELSE concat('{"exposureEV":', k % 7 - 3, '.25,"kelvin":', CASE WHEN k % 12 = 3 THEN 'null' ELSE concat('', 5000 + k % 900) END,
@@ -25,7 +25,7 @@ LAYERS_TEXT = """CASE WHEN k % 12 = 0 THEN '' WHEN k % 12 = 8 THEN '[1' ELSE con
 
 
 def texts(spark: SparkSession, d: str, text: str) -> DataFrame:
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k")).selectExpr("k", f"{text} AS t")
+    return spread(table(spark, d, "orders").select(F.col("o_orderkey").alias("k")), "k").selectExpr("k", f"{text} AS t")
 
 
 # j: the parsed text; stop: which of the fields that can be at fault ends the reading
@@ -77,7 +77,8 @@ FROM g WHERE read"""
 
 
 def _layer_rows(df: DataFrame) -> DataFrame:
-    m = df.selectExpr("k", "posexplode(l) AS (pos, m)")
+    # outer: else the optimiser infers a filter on the list's size and works the whole list out once more for it, step by step below
+    m = df.selectExpr("k", "posexplode_outer(l) AS (pos, m)").where("pos IS NOT NULL")
     return m.selectExpr("k", "pos", "m.id", "m.name", "m.enabled", "m.type", "m.booleanOp AS op", "round(CAST(m.opacity AS DOUBLE), 4) AS opacity", "size(m.polygonVertices) AS n_vertices", "CAST(coalesce(try_element_at(m.polygonVertices, 2).x, 0) AS DOUBLE) AS second_x", "size(m.brushStrokes) AS n_strokes", "CAST(coalesce(try_element_at(m.brushStrokes, 1).r, -1) AS DOUBLE) AS first_radius", "CAST(coalesce(try_element_at(m.brushStrokes, 2).r, -1) AS DOUBLE) AS second_radius", "round(CAST(m.lumaMax AS DOUBLE), 4) AS luma_max", "CAST(m.radialAngle AS DOUBLE) AS angle", "CAST(m.adjustments.exposureEV AS DOUBLE) AS exposure")
 
 

@@ -165,13 +165,29 @@ def lens_places(width: int, height: int, k1: float, k2: float, tca: float, stren
     return inside(f"{num(cx)} + {dx} * {f}", width), inside(f"{num(cy)} + {dy} * {f}", height)
 
 
+def quads(source: DataFrame, width: int, height: int, cols: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """(frame_id, _x, _y, _r0 .. _b3): for each place its pixel and its right, lower and lower right neighbours, the frame's edge repeated."""
+    # a pixel is corner (0, 0) of its own place and corner (1, 0) of the place on its left; in the last column both of its own
+    side = lambda c, n: f"filter(array(struct({c} AS at, 0 AS d), struct({c} - 1 AS at, 1 AS d), struct({c} AS at, CASE WHEN {c} = {n - 1} THEN 1 END AS d)), v -> v.at >= 0 AND v.d IS NOT NULL)"
+    each = source.select("frame_id", "x", "y", *cols).withColumn("_i", F.explode(F.expr(side("x", width)))).withColumn("_j", F.explode(F.expr(side("y", height))))
+    corner = each.selectExpr("frame_id", "_i.at AS _x", "_j.at AS _y", "CAST(_j.d * 2 + _i.d AS TINYINT) AS _c", *cols)
+    return corner.groupBy("frame_id", "_x", "_y").agg(*[F.max(F.when(F.col("_c") == i, F.col(c))).alias(f"_{c}{i}") for c in cols for i in range(4)])
+
+
 def lens_correction(df: DataFrame, width: int, height: int, lens: dict[str, float], strength: float = 100.0, tca_strength: float = 100.0) -> DataFrame:
-    """Each channel gathered by its own place."""
-    out = None
+    """Each channel gathered by its own place. All channels' places meet the four pixels around them in one join."""
+    at = []
     for c, tca in zip("rgb", (lens["tca_red"], 0.0, lens["tca_blue"])):
-        one = warp(df, width, height, *lens_places(width, height, lens["k1"], lens["k2"], tca, strength, tca_strength), cols=(c,))
-        out = one if out is None else out.join(one, ["frame_id", "x", "y"])
-    return out
+        sx, sy = lens_places(width, height, lens["k1"], lens["k2"], tca, strength, tca_strength)
+        at.append(f"named_struct('c', '{c}', 'sx', {sx}, 'sy', {sy})")
+    places = targets(df.sparkSession, width, height, df).select("frame_id", F.col("x").alias("_tx"), F.col("y").alias("_ty"), F.explode(F.expr(f"array({', '.join(at)})")).alias("p"))
+    places = places.selectExpr("frame_id", "_tx", "_ty", "p.c AS _channel", "floor(p.sx) AS _x", "floor(p.sy) AS _y", "p.sx - floor(p.sx) AS _fx", "p.sy - floor(p.sy) AS _fy")
+    found = places.join(quads(df, width, height), ["frame_id", "_x", "_y"])
+    mixed = lambda c: " + ".join(f"coalesce(_{c}{2 * j + i} * ({'_fx' if i else '(1 - _fx)'} * {'_fy' if j else '(1 - _fy)'}), 0e0)" for j in (0, 1) for i in (0, 1))
+    value = found.selectExpr("frame_id", "_tx AS x", "_ty AS y", "_channel", "CASE " + " ".join(f"WHEN _channel = '{c}' AND coalesce({', '.join(f'_{c}{i}' for i in range(4))}) IS NOT NULL THEN {mixed(c)}" for c in "rgb") + " END AS v")
+    # pixels all of whose channels have found a place
+    out = value.groupBy("frame_id", "x", "y").agg(*[F.max(F.when(F.col("_channel") == c, F.col("v"))).alias(c) for c in "rgb"], F.count(F.lit(1)).alias("_n"))
+    return out.where("_n = 3").drop("_n")
 
 
 Affine = tuple[float, float, float, float, float, float]

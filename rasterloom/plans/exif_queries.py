@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rasterloom.operators import catalog
 from rasterloom.plans.registry import register
 from rasterloom.sources import exif
-from rasterloom.sources.views import table
+from rasterloom.sources.views import spread, table
 
 #: Fields by part number, in SQL of both engines; every ninth part has no lens, every fourth no place.
 _ROW = {
@@ -21,7 +21,7 @@ _DIGITS = ("exposure_time", "f_number", "focal_length", "latitude", "longitude")
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "part").selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in _ROW.items()])
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_size", "p_name"), "p_partkey").selectExpr("p_partkey", *[f"{v} AS {k}" for k, v in _ROW.items()])
     return exif.write_exif(rows, F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 5 < 2).select("p_partkey", "data")
 
 

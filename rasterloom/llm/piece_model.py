@@ -65,12 +65,6 @@ class PieceModel:
         #: Texts fall into units that no piece can cross.
         self.units = re.compile(".+", re.S).findall if crossing else re.compile(f"{MARK}*[^{MARK}{inert}]+|{MARK}+" + (f"|[{inert}]" if inert else "")).findall
         self.surface = [self._surface(i) for i in range(len(self.pieces))]
-        self.trie: dict = {}
-        for p, i in self.ids.items():
-            node = self.trie
-            for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
         self._traces: dict[str, tuple[tuple, tuple, tuple] | None] = {}
         self.pair = lru_cache(KEPT_PAIRS)(self.stays)
 

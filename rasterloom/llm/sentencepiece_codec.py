@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with a shared-prefix forward pass.
 
-The distinct marked words (units) of a batch are sorted, which is a depth-first order of their trie. The forward states of
-a word's positions stay on a stack, and the next word goes on from the longest prefix that they share. A state
+The distinct marked words (units) of a batch are sorted, which is a depth-first order of their trie. Each prefix has one
+forward state, from which all words that share it go on: in numpy, all prefixes of one length at once; states of words longer
+than ``SIDE_BY_SIDE`` letters stay on a stack, and the next word goes on from the longest prefix that they share. A state
 holds the best score and last piece (unigram), or the one valid last piece (BPE; see piece_model); beside it, the best score of
-the vocabulary's unigram reading can be carried.
+the vocabulary's unigram reading can be carried. An Aho-Corasick automaton gives the pieces that end at each place.
 Each text is then put together from its words' ids with numpy. Words are kept between batches up to a bound.
 
 Decoding joins the pieces' bytes, drops the leading mark that encoding added, and turns each invalid byte into U+FFFD.
@@ -25,10 +26,11 @@ from pyspark.sql import types as T
 
 from rasterloom.llm.common import bounded_batches, lean, parted
 from rasterloom.llm.piece_model import CONTROL, MARK, UNIGRAM, PieceModel
+from rasterloom.llm.token_count import SIDE_BY_SIDE, Automaton
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of words that a worker keeps, with what Python adds to each.
-KEPT_BYTES, WORD_BYTES = 16 << 20, 200
+#: Bytes of words that a worker keeps, with what Python adds to each; bits of the number of pairs of pieces that it keeps.
+KEPT_BYTES, WORD_BYTES, PAIR_BITS = 16 << 20, 200, 19
 
 codecs.register_error("each_byte", lambda e: ("�", e.start + 1))
 
@@ -37,6 +39,13 @@ class Encoder:
     def __init__(self, model: PieceModel, unigram: PieceModel | None = None) -> None:
         """unigram: the same vocabulary read as a unigram model; its best scores are carried along (``path_score``), in double precision."""
         self.m, self.u = model, unigram
+        self.auto = Automaton(model.ids)
+        self.single = np.zeros(0x110000, bool)
+        self.single[[ord(p) for p in model.ids if len(p) == 1]] = True
+        self.float = np.float64 if model.exact else np.float32
+        self.scores = np.array(model.scores, self.float)
+        self.u_scores = np.array(unigram.scores, np.float64) if unigram else None
+        self.pair_key, self.pair_stays = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.reset()
 
     def reset(self) -> None:
@@ -45,33 +54,133 @@ class Encoder:
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.score = np.zeros(0)
 
-    def learn(self, new: list[str]) -> None:
-        """Ids of sorted new units."""
-        m, trie, unigram = self.m, self.m.trie, self.m.kind == UNIGRAM
+    def learn(self, new: list[str]) -> list[str]:
+        """Ids of sorted new units; gives the units in the order of their numbers."""
+        short, long = [w for w in new if len(w) <= SIDE_BY_SIDE], [w for w in new if len(w) > SIDE_BY_SIDE]
+        found = [f(x) for f, x in ((self.side_by_side, short), (self.one_by_one, long)) if x]
+        n = len(self.code)
+        self.code.update(zip([*short, *long], range(n, n + len(new))))
+        for flat, sizes, score in found:
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+            self.score = np.concatenate([self.score, score])
+        return [*short, *long]
+
+    def side_by_side(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, numbers of ids, path scores) of sorted words. All prefixes of one length go a letter on at once; a prefix that several
+        words share is one node with one forward state."""
+        m, a, u, unigram, n = self.m, self.auto, self.u, self.m.kind == UNIGRAM, len(self.m.scores)
+        size = np.array([len(w) for w in words], np.int64)
+        char = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
+        begin = np.cumsum(size) - size
+        place = begin + np.arange(len(words))  # a word of k letters has k + 1 nodes
+        node = np.zeros(len(char) + len(words), np.int32)  # of each word's prefixes; 0 is the empty one
+        most = len(char) + 1
+        state, last, back, count = np.zeros(most, np.int32), np.full(most, -1, np.int32), np.zeros(most, np.int32), np.zeros(most, np.int32)
+        score, path = np.zeros(most if unigram else 0, self.float), np.zeros(most if u else 0)
+        rows, used = np.arange(len(words)), 1
+        for e in range(int(size.max(initial=0))):
+            rows = rows[size[rows] > e]
+            parent, c = node[place[rows] + e], char[begin[rows] + e]
+            new = np.ones(len(rows), bool)
+            new[1:] = (parent[1:] != parent[:-1]) | (c[1:] != c[:-1])
+            node[place[rows] + e + 1] = used + np.cumsum(new) - 1
+            of, parent, c = place[rows[new]], parent[new], c[new]
+            k = len(of)
+            own = slice(used, used + k)
+            used += k
+            state[own] = now = a.walk(state[parent], a.letter[c])
+            alone = self.single[c]
+            piece, start = np.full(k, -1, np.int32), parent.copy()
+            best, top = np.zeros(k, self.float) if unigram else None, np.full(k, -np.inf) if u else None
+            at, o = np.arange(k), a.out[now]
+            while True:  # pieces that end here, longer ones first
+                some = o > 0
+                at, o = at[some], o[some]
+                if not len(at):
+                    break
+                s, p = node[of[at] + (e + 1 - a.depth[o])], a.piece[o]
+                if u:
+                    top[at] = np.maximum(top[at], path[s] + self.u_scores[p])
+                if unigram:
+                    x = score[s] + self.scores[p]
+                    won = (piece[at] < 0) | (x > best[at])
+                    best[at[won]] = x[won]
+                    piece[at[won]], start[at[won]] = p[won], s[won]
+                else:
+                    open_ = np.flatnonzero(piece[at] < 0)
+                    won = open_[self.stay(last[s[open_]], p[open_])]
+                    piece[at[won]], start[at[won]] = p[won], s[won]
+                o = a.more[o]
+            if unigram:
+                x = score[parent] + self.float(m.unk_score)
+                lost = ~alone & ((piece < 0) | (x > best))
+                best[lost] = x[lost]
+                piece[lost], start[lost] = -1, parent[lost]
+                score[own] = best
+            if u:
+                lost = ~alone
+                top[lost] = np.maximum(top[lost], path[parent[lost]] + u.unk_score)
+                path[own] = top
+            no = piece < 0
+            width = 1 + (c > 0x7F).astype(np.int32) + (c > 0x7FF) + (c > 0xFFFF) if m.byte_fallback else 1
+            last[own], back[own], count[own] = np.where(no, n + c, piece), start, count[start] + np.where(no, width, 1)
+        end = node[place + size]
+        sizes = count[end].astype(np.int64)
+        flat, first = np.zeros(int(sizes.sum()), np.int32), np.cumsum(sizes) - sizes
+        at = np.flatnonzero(end)
+        end, first = end[at], first[at]
+        while len(end):  # from the ends of words to their starts
+            x, to = last[end], back[end]
+            spot, known = first + count[to], x < n
+            flat[spot[known]] = x[known]
+            for c in np.unique(x[~known]).tolist():
+                same = spot[x == c]
+                for i, id_ in enumerate(m.ids_of(chr(c - n), None)):
+                    flat[same + i] = id_
+            left = to > 0
+            end, first = to[left], first[left]
+        return flat, sizes, path[node[place + size]] if u else np.zeros(len(words))
+
+    def stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pieces a (-1: the start; from the vocabulary's size on: a character) and b stay as they are side by side."""
+        n = len(self.m.scores)
+        key = (a.astype(np.int64) + 1) * n + b
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, miss = self.pair_stays[slot], np.flatnonzero(self.pair_key[slot] != key)
+        if len(miss):
+            pieces, (distinct, back) = self.m.pieces, np.unique(key[miss], return_inverse=True)
+            own = np.fromiter((self.m.stays("" if i < 0 else pieces[i] if i < n else chr(i - n), pieces[j]) for i, j in zip((distinct // n - 1).tolist(), (distinct % n).tolist())), bool, len(distinct))
+            out[miss] = own[back]
+            # a slot keeps the last of its pairs: key and answer are of the same one
+            at = slot[miss]
+            self.pair_key[at] = key[miss]
+            won = self.pair_key[at] == key[miss]
+            self.pair_stays[at[won]] = out[miss][won]
+        return out
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """side_by_side for long words, of which few stand beside each other: the forward states of a word's positions stay on a stack."""
+        m, a, unigram = self.m, self.auto, self.m.kind == UNIGRAM
         last: list[tuple[int, str, int | None]] = [(0, "", None)]  # per position: start of the last piece, the piece, its id
         score: list[float] = [0.0]
-        active: list[list[tuple[int, dict]]] = [[]]  # per position: starts from which the vocabulary trie is still walked
+        states = [0]  # per position: the automaton's
         path, own_scores, u = [0.0], [], self.u  # per position: best score of the unigram reading
         u_scores, u_unknown = (u.scores, u.unk_score) if u else ([], 0.0)
         before, flat, sizes = "", [], []
         pair, add, scores = m.pair, m.add, m.scores
-        for word in new:
+        for word in words:
             i, n = 0, min(len(before), len(word))
             while i < n and before[i] == word[i]:
                 i += 1
-            del last[i + 1 :], score[i + 1 :], active[i + 1 :], path[i + 1 :]  # what the common prefix gave stays
+            del last[i + 1 :], score[i + 1 :], states[i + 1 :], path[i + 1 :]  # what the common prefix gave stays
             for i in range(i, len(word)):
                 c = word[i]
-                walked, best, found, top = [], None, None, -math.inf
+                state, best, found, top = a.next(states[i], c), None, None, -math.inf
                 alone = False
-                for s, node in (*active[i], (i, trie)):  # longer pieces first
-                    node = node.get(c)
-                    if node is None:
-                        continue
-                    walked.append((s, node))
-                    id_ = node.get("")
-                    if id_ is None:
-                        continue
+                for size, id_ in a.pieces_at(state):  # longer pieces first
+                    s = i + 1 - size
                     alone |= s == i
                     if u and (x := path[s] + u_scores[id_]) > top:
                         top = x
@@ -93,7 +202,7 @@ class Encoder:
                 last.append(found)
                 path.append(top if u else 0.0)
                 score.append(best or 0.0)
-                active.append(walked)
+                states.append(state)
             before = word
             own_scores.append(path[-1])
             at, ids = len(word), []
@@ -104,13 +213,7 @@ class Encoder:
             own = [x for t in reversed(ids) for x in t]
             flat += own
             sizes.append(len(own))
-        n = len(self.code)
-        self.code.update(zip(new, range(n, n + len(new))))
-        self.score = np.concatenate([self.score, np.array(own_scores, float)])
-        sizes = np.array(sizes, np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.concatenate([[0], np.cumsum(sizes)[:-1]])]) if len(sizes) else self.start
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        return np.array(flat, np.int32), np.array(sizes, np.int64), np.array(own_scores, float)
 
     def forget(self, known: int, new: list[str], stays: np.ndarray) -> None:
         """Of the words learned last, keep those that came more than once: most others never come again."""
@@ -141,7 +244,7 @@ class Encoder:
                 units += self.m.units(self.m.normalise(t))
             ends.append(len(units))
         known, new = len(self.code), sorted(set(units) - self.code.keys())
-        self.learn(new)
+        new = self.learn(new)
         codes = np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
         size = self.size[codes]
         at = np.concatenate([[0], np.cumsum(size)])

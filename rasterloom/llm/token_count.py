@@ -120,14 +120,22 @@ class Automaton:
         """For each position of a word the (length, id) of the pieces that end there, longest first."""
         s = 0
         for c in word:
-            while s and c not in self.step[s]:
-                s = int(self.fail[s])
-            s = self.step[s].get(c, 0)
-            found, o = [], int(self.out[s])
-            while o:
-                found.append((int(self.depth[o]), int(self.piece[o])))
-                o = int(self.more[o])
-            yield found
+            s = self.next(s, c)
+            yield self.pieces_at(s)
+
+    def next(self, s: int, c: str) -> int:
+        """The state after one more letter."""
+        while s and c not in self.step[s]:
+            s = int(self.fail[s])
+        return self.step[s].get(c, 0)
+
+    def pieces_at(self, s: int) -> list[tuple[int, int]]:
+        """(length, id) of the pieces that end at a state, longest first."""
+        found, o = [], int(self.out[s])
+        while o:
+            found.append((int(self.depth[o]), int(self.piece[o])))
+            o = int(self.more[o])
+        return found
 
 
 class Rules:

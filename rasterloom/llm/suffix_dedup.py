@@ -47,6 +47,8 @@ from rasterloom.llm.common import bounded_batches, chunks, drop_path, input_byte
 BATCH, GRAM, BLOCK = 4 << 20, 20, 1 << 16
 #: Strings of a batch of the index family, and batches that hold an anchor above which its windows are dealt one by one.
 LEVEL, HOT = 1 << 16, 1 << 12
+#: Strings that are put together at once.
+GATHER = 1 << 12
 #: The part of rows that carry removed spans to their batch; it sorts last.
 SPANS = (1 << 31) - 1
 NONE = np.int64((1 << 63) - 1)
@@ -95,7 +97,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     if n <= 0:
         return (np.zeros(0, np.int64),) * 4
     width = length - GRAM + 1  # anchors that a window may have
-    word, mask, own = _words(data), np.uint64((1 << 24) - 1), np.empty(n, np.int64)
+    word, mask, own = _words(data), np.uint64((1 << 24) - 1), np.empty(n, np.int32 if n < 1 << 31 else np.int64)
     numbers = np.arange(BLOCK + width - 1, dtype=np.uint64)
     for b in range(0, n, BLOCK):
         e = min(n, b + BLOCK)
@@ -108,21 +110,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         if rest := width - span:
             low = np.minimum(low[: len(low) - rest], low[rest:])
         own[b:e] = low[: e - b] & mask
-        own[b:e] += b
+        own[b:e] += own.dtype.type(b)
     inside = np.zeros(n + 1, bool)  # windows that don't cross documents
     inside[:n] = True
     ends = offsets[1:-1]
-    if len(ends):
-        cross = np.zeros(len(data) + 1, np.int32)
-        np.add.at(cross, np.maximum(ends - length + 1, 0), 1)
-        np.add.at(cross, ends, -1)
-        inside[:n] &= np.cumsum(cross[:n]) == 0
+    for k in range(1, length):
+        at = ends - k
+        inside[at[(at >= 0) & (at < n)]] = False
     new = inside[:n].copy()
     new[1:] &= (own[1:] != own[:-1]) | ~inside[: n - 1]
     last = inside[:n].copy()
     last &= np.append(new[1:], True) | ~inside[1:]
     first, last = np.flatnonzero(new), np.flatnonzero(last)
-    return own[first], first, last, np.searchsorted(offsets, first, "right") - 1
+    return own[first].astype(np.int64), first, last, np.searchsorted(offsets, first, "right") - 1
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -248,6 +248,17 @@ class LevelFamily:
         return gone
 
 
+def _gathered(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[b : b + s] for all begins and sizes, one behind the other; places are made for GATHER strings at once."""
+    out, at = np.empty(int(size.sum()), data.dtype), 0
+    for i in range(0, len(begin), GATHER):
+        b, s = begin[i : i + GATHER], size[i : i + GATHER]
+        stop = at + int(s.sum())
+        out[at:stop] = data[np.arange(stop - at) + np.repeat(b - (np.cumsum(s) - s), s)]
+        at = stop
+    return out
+
+
 def find_windows(data: np.ndarray, most: np.ndarray, more: np.ndarray, ids: np.ndarray, length: int, family: LevelFamily | None = None, level: int = LEVEL) -> np.ndarray:
     """For each string and place whether its window stands in a string with a smaller id; batches of ``level`` strings."""
     family = family or LevelFamily()
@@ -257,8 +268,7 @@ def find_windows(data: np.ndarray, most: np.ndarray, more: np.ndarray, ids: np.n
     for i in range(0, len(by), level):
         rows = by[i : i + level]
         size = more[rows] + length
-        t = np.arange(size.sum()) + np.repeat(begin[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-        array, order = SuffixArray.build(data[t], most[rows], more[rows], ids[rows], length)
+        array, order = SuffixArray.build(_gathered(data, begin[rows], size), most[rows], more[rows], ids[rows], length)
         out[rows[order]] = family.take(array)
     return out
 
@@ -468,7 +478,7 @@ class _Job:
         for head, rows in self.by_batch(batches):
             batch = _open_head(head["head"])
             data, offsets = text_bytes(batch.column(text_at))
-            change = np.zeros(len(data) + 1, np.int32)
+            change = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
             for r in rows:
                 if r["part"] == SPANS:
                     spans = np.frombuffer(r["at"], np.int64).reshape(-1, 2)
@@ -476,11 +486,14 @@ class _Job:
                     continue
                 t = _unpack(r["at"], r["n"])
                 np.add.at(change, t, 1), np.add.at(change, t + length, -1)
-            gone = np.cumsum(change[:-1]) > 0
+            gone = np.cumsum(change[:-1], out=change[:-1]) > 0
             left = data[~gone].tobytes()
-            kept_at = np.concatenate([[0], np.cumsum(~gone)])[offsets]
-            edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
-            start = gone & (edge == 1)
+            change[0] = 0
+            np.cumsum(~gone, dtype=change.dtype, out=change[1:])  # now the bytes kept before each place
+            kept_at = change[offsets].astype(np.int64)
+            del change
+            start = gone.copy()
+            start[1:] &= ~gone[:-1]
             inner = offsets[(offsets < len(data))]
             start[inner] = gone[inner]  # runs don't cross documents
             stop = gone.copy()

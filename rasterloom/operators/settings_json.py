@@ -7,6 +7,7 @@ give defaults only. Mask lists end before the first layer that can't be read.
 
 All is done by built-in functions: the text is parsed once into a map of raw values, nested values once more; a list of objects is
 parsed element by element only if one of them isn't an object.
+Lists of layers go shorter ways where these are exact (read_layers, written_layers).
 Numbers are single floats; text that holds a number counts as that number, and text that holds JSON as what it holds. A layer
 without an id is named by its place.
 """
@@ -141,7 +142,11 @@ def _scalar(f: Field, raw: str) -> str:
 
 
 def _optional(f: Field, raw_map: str) -> str:
-    return f"coalesce({_scalar(f, f'element_at({raw_map}, {f.name!r})')}, {default_of(f)})"
+    return _or_default(f, f"element_at({raw_map}, {f.name!r})")
+
+
+def _or_default(f: Field, raw: str) -> str:
+    return f"coalesce({_scalar(f, raw)}, {default_of(f)})"
 
 
 def _readable(f: Field | Group, at: str) -> str:
@@ -180,8 +185,7 @@ def _objects(whole: str, text: str) -> str:
     return f"CASE WHEN forall({whole}, e -> e IS NOT NULL) THEN {whole} ELSE transform(from_json({text}, '{LIST}'), e -> from_json(e, '{OBJECT}')) END"
 
 
-def _parsed(f: Field | Group, raw_map: str) -> str:
-    raw = f"element_at({raw_map}, {f.name!r})"
+def _parsed(f: Field | Group, raw: str) -> str:
     if isinstance(f, Group) and f.many:
         return f"element_at(transform(array(from_json({raw}, '{OBJECTS}')), w -> {_objects('w', raw)}), 1)"
     if isinstance(f, Group):
@@ -194,7 +198,7 @@ def read_settings(df: DataFrame, text: str, out: str = "settings") -> DataFrame:
     own = df.columns
     raw = df.withColumn("_raw", F.from_json(F.col(text), OBJECT))
     raw = raw.withColumn("_raw", F.expr("coalesce(_raw, CAST(map() AS MAP<STRING, STRING>))"))
-    parsed = raw.select(*own, "_raw", F.struct(*[F.expr(_parsed(f, "_raw")).alias(f.name) for f in SETTINGS]).alias("_at"))
+    parsed = raw.select(*own, "_raw", F.struct(*[F.expr(_parsed(f, f"element_at(_raw, {f.name!r})")).alias(f.name) for f in SETTINGS]).alias("_at"))
     stops = [f"CASE WHEN map_contains_key(_raw, '{f.name}') AND NOT ({_readable(f, f'_at.{f.name}')}) THEN {i} END" for i, f in enumerate(SETTINGS)]
     stopped = parsed.withColumn("_stop", F.expr(f"coalesce(least({', '.join(stops)}), {len(SETTINGS)})"))
 
@@ -207,30 +211,103 @@ def read_settings(df: DataFrame, text: str, out: str = "settings") -> DataFrame:
     return stopped.select(*[F.col(c) for c in own if c != out], F.struct(*[F.expr(final(i, f)).alias(f.name) for i, f in enumerate(SETTINGS)]).alias(out))
 
 
-def read_layers(df: DataFrame, text: str, out: str = "layers") -> DataFrame:
-    """df with the list of mask layers that column text holds."""
+def _count(text: str, char: str) -> str:
+    return f"(size(split({text}, '{char}', -1)) - 1)"
+
+
+#: How many keys a layer has in which none is missing, without those of its lists' objects.
+KEYS = len(LAYER) + sum(len(f.fields) for f in LAYER if isinstance(f, Group) and not f.many)
+
+
+def _keys(layers: str) -> str:
+    """How many keys a list of layers has in which none is missing."""
+    many = [f"{len(f.fields)} * size(flatten({layers}.{f.name}))" for f in LAYER if isinstance(f, Group) and f.many]
+    return f"({KEYS} * size({layers}) + {' + '.join(many)})"
+
+
+def _wide(fields: tuple[Field | Group, ...]) -> str:
+    """struct_type with double numbers."""
+    return struct_type(fields).replace(NUMBER, "DOUBLE")
+
+
+def _complete(fields: tuple[Field | Group, ...], at: str) -> str:
+    """Whether all values of a struct with double numbers are there, finite, and of their enumerations; null counts as no."""
+    numbers = [f"{at}.{f.name}" for f in fields if isinstance(f, Field) and f.kind == NUMBER]
+    told = [f"abs({' + '.join(numbers)}) < double('infinity')"]
+    for f in fields:
+        x = f"{at}.{f.name}"
+        if isinstance(f, Group):
+            told.append(f"forall({x}, o -> coalesce({_complete(f.fields, 'o')}, false))" if f.many else _complete(f.fields, x))
+        elif f.values:
+            told.append(f"{x} IN ({', '.join(map(repr, f.values))})")
+        elif f.kind != NUMBER:
+            told.append(f"{x} IS NOT NULL")
+    return " AND ".join(told)
+
+
+def _layers(df: DataFrame, items: str, out: str, value: Callable[[str, str], str], there: Callable[[str, str], str], cast: bool = False) -> DataFrame:
+    """df with the layers of items (objects with raw values) up to the first that can't be read, null where items is.
+
+    cast: numbers are single floats already, null where the raw value was none.
+    """
     own = df.columns
-    raw = df.withColumn("_whole", F.expr(f"from_json({text}, '{OBJECTS}')")).withColumn("_list", F.expr(_objects("_whole", text)))
     groups = [f for f in LAYER if isinstance(f, Group)]
     # nested values are parsed once for each layer
-    inner = ", ".join(f"'{g.name}', {_parsed(g, 'm')}" for g in groups)
-    at = raw.withColumn("_at", F.expr(f"transform(_list, m -> named_struct('raw', m, {inner}))"))
-    fits = " AND ".join(f"(NOT map_contains_key(a.raw, '{g.name}') OR ({_readable(g, f'a.{g.name}')}))" for g in groups)
+    inner = ", ".join(f"'{g.name}', {_parsed(g, value('m', g.name))}" for g in groups)
+    at = df.withColumn("_at", F.expr(f"transform({items}, m -> named_struct('raw', m, {inner}))"))
+    fits = " AND ".join(f"(NOT {there('a.raw', g.name)} OR ({_readable(g, f'a.{g.name}')}))" for g in groups)
     readable = f"transform(_at, a -> a.raw IS NOT NULL AND coalesce({fits}, false))"
     upto = at.withColumn("_ok", F.expr(readable)).withColumn("_n", F.expr("CAST(coalesce(nullif(array_position(_ok, false), 0) - 1, size(_ok), 0) AS INT)"))
 
-    def value(f: Field | Group) -> str:
+    def final(f: Field | Group) -> str:
+        raw = value("a.raw", f.name)
         if isinstance(f, Group):
             return f"CASE WHEN a.{f.name} IS NULL THEN {default_of(f)} ELSE {_value(f, f'a.{f.name}')} END"
-        if f.name == "id":
-            return "CASE WHEN map_contains_key(a.raw, 'id') THEN coalesce(element_at(a.raw, 'id'), 'null') ELSE concat('mask-', i) END"
         if f.kind == TEXT and not f.values:
-            return f"CASE WHEN map_contains_key(a.raw, '{f.name}') THEN coalesce(element_at(a.raw, '{f.name}'), 'null') ELSE {default_of(f)} END"
-        return _optional(f, "a.raw")
+            return f"CASE WHEN {there('a.raw', f.name)} THEN coalesce({raw}, 'null') ELSE " + ("concat('mask-', i)" if f.name == "id" else default_of(f)) + " END"
+        return f"coalesce({raw}, {default_of(f)})" if cast and f.kind == NUMBER else _or_default(f, raw)
 
-    one = ", ".join(f"'{f.name}', {value(f)}" for f in LAYER)
-    layers = f"coalesce(transform(slice(_at, 1, _n), (a, i) -> named_struct({one})), CAST(array() AS ARRAY<{struct_type(LAYER)}>))"
-    return upto.select(*[F.col(c) for c in own if c != out], F.expr(layers).alias(out))
+    one = ", ".join(f"'{f.name}', {final(f)}" for f in LAYER)
+    return upto.select(*own, F.expr(f"transform(slice(_at, 1, _n), (a, i) -> named_struct({one}))").alias(out))
+
+
+def read_layers(df: DataFrame, text: str, out: str = "layers") -> DataFrame:
+    """df with the list of mask layers that column text holds.
+
+    Maps of raw values are right for all texts, but dear. So texts are read in the first of three ways that is exact for them:
+
+    - All at once, if each layer has each field, once and of its own type: no value is missing from what was parsed, and the text
+      has no more colons than these values have keys, so there are no further keys, and no key twice.
+    - With structs of raw values, null where a key isn't there (nulls in the text are made texts, which read alike), if no key comes
+      twice: what was parsed, written again, has as many colons as the text. Texts with escapes or single quotes aren't read so.
+    - With maps of raw values.
+    """
+    own = [c for c in df.columns if c != out]
+    typed = df.withColumn("_colons", F.expr(f"CASE WHEN startswith({text}, '[') THEN {_count(text, ':')} ELSE 0 END"))
+    typed = typed.withColumn("_typed", F.expr(f"CASE WHEN _colons >= {KEYS} THEN from_json({text}, 'ARRAY<{_wide(LAYER)}>') END"))
+    typed = typed.withColumn("_full", F.expr(f"coalesce(_colons = {_keys('_typed')} AND forall(_typed, l -> coalesce({_complete(LAYER, 'l')}, false)), false)"))
+
+    plain = f"NOT _full AND _colons > 0 AND NOT contains({text}, '\\\\') AND NOT contains({text}, '\\'')"
+    nulls = f"""CASE WHEN contains({text}, 'null') THEN regexp_replace({text}, '("\\\\s*:\\\\s*)null', '$1"null"') ELSE {text} END"""
+    strings = typed.withColumn("_plain", F.expr(f"CASE WHEN {plain} THEN {nulls} END"))
+    strings = strings.withColumn("_structs", F.expr(f"from_json(_plain, 'ARRAY<STRUCT<{', '.join(f'{f.name}: STRING' for f in LAYER)}>>')"))
+    strings = strings.withColumn("_again", F.expr("to_json(_structs)"))
+    # an element that is no object ends the list, unless it's a text that holds one; in such lists numbers beyond doubles read otherwise
+    first = "element_at(from_json(_plain, 'ARRAY<STRING>'), CAST(array_position(transform(_structs, e -> e IS NULL), true) AS INT))"
+    whole = f"CASE WHEN exists(_structs, e -> e IS NULL) THEN from_json({first}, '{OBJECT}') IS NULL AND NOT contains(_again, 'Infinity') AND NOT contains(_again, 'NaN') ELSE true END"
+    # an object as an id or name is shown as it stands, with its nulls
+    shown = "concat('|', array_join(_structs.id, '|'), '|', array_join(_structs.name, '|'))"
+    strings = strings.withColumn("_once", F.expr(f"coalesce(_colons = {_count('_again', ':')} AND NOT contains({shown}, '|{{') AND NOT contains({shown}, '|[') AND {whole}, false)"))
+    numbers = [f"ARRAY<STRUCT<{', '.join(f'{f.name}: ' + (kind if isinstance(f, Field) and f.kind == NUMBER else 'STRING') for f in LAYER)}>>" for kind in ("DOUBLE", "FLOAT")]
+    structs = f"CASE WHEN _once THEN CAST(try_cast(_structs AS {numbers[0]}) AS {numbers[1]}) END"
+    strings = strings.select(*own, *([] if text in own else [text]), "_full", "_once", "_typed", F.expr(structs).alias("_structs"))
+    strings = _layers(strings, "_structs", "_plainly", lambda m, name: f"{m}.{name}", lambda m, name: f"{m}.{name} IS NOT NULL", cast=True).drop("_structs")
+
+    rest = strings.withColumn("_rest", F.expr(f"CASE WHEN NOT _full AND NOT _once THEN {text} END"))
+    maps = rest.withColumn("_whole", F.expr(f"from_json(_rest, '{OBJECTS}')")).withColumn("_list", F.expr(_objects("_whole", "_rest"))).drop("_whole")
+    maps = _layers(maps, "_list", "_mapped", lambda m, name: f"element_at({m}, {name!r})", lambda m, name: f"map_contains_key({m}, {name!r})")
+    kind = f"ARRAY<{struct_type(LAYER)}>"
+    return maps.select(*[F.col(c) for c in own], F.expr(f"CASE WHEN _full THEN CAST(_typed AS {kind}) ELSE coalesce(_plainly, _mapped, CAST(array() AS {kind})) END").alias(out))
 
 
 # ---- writing
@@ -269,3 +346,22 @@ def write_settings(settings: str) -> str:
 def write_layers(layers: str) -> str:
     """SQL of the JSON text of a list of layers; no layers give an empty text."""
     return f"CASE WHEN size({layers}) = 0 THEN '' ELSE concat('[', array_join(transform({layers}, l -> {_object(LAYER, 'l')}), ','), ']') END"
+
+
+def written_layers(df: DataFrame, layers: str, out: str = "json") -> DataFrame:
+    """df with the text that write_layers gives for a column of layers as read_layers has them.
+
+    Lists are written at once, and fractions of whole numbers taken off behind. That isn't done if a value is missing (fewer colons),
+    infinite, minus zero or written with an exponent, or if a text has a colon or what could be taken for a fraction: such lists are
+    written field by field.
+    """
+    texts = ", ".join(f"array_join({layers}.{f.name}, '|')" for f in LAYER if isinstance(f, Field) and f.kind == TEXT)
+    told = df.withColumn("_json", F.expr(f"to_json(CAST({layers} AS ARRAY<{_wide(LAYER)}>))")).withColumn("_texts", F.expr(f"concat_ws('|', {texts})"))
+    # the names' own E's are known, so any other is an exponent's
+    large = sum(x.name.count("E") for f in LAYER for x in (f, *(f.fields if isinstance(f, Group) and not f.many else ())))
+    plain = f"NOT contains(_texts, ':') AND NOT contains(_texts, '.0') AND {_count('_json', ':')} = {_keys(layers)} AND {_count('_json', 'E')} = {large} * size({layers}) + {_count('_texts', 'E')}"
+    plain += """ AND NOT contains(_json, 'Infinity"') AND NOT contains(_json, 'NaN"') AND (NOT contains(_json, '-0.0') OR NOT contains(_json, '-0.0,') AND NOT contains(_json, '-0.0}'))"""
+    bare = F.expr("regexp_replace(_json, '\\\\.0([,}])', '$1')")
+    told = told.withColumn("_bare", F.expr(f"size({layers}) > 0 AND {plain}"))
+    own = [c for c in df.columns if c != out]
+    return told.select(*own, F.when(F.col("_bare"), F.replace(bare, F.lit("/"), F.lit("\\/"))).otherwise(F.expr(write_layers(layers))).alias(out))

@@ -91,5 +91,5 @@ def s14_layers(spark: SparkSession, d: str) -> DataFrame:
 @register("k09_layers", _LAYERS)
 def k09_layers(spark: SparkSession, d: str) -> DataFrame:
     """Mask layers written as texts and read back."""
-    first = settings_json.read_layers(texts(spark, d, LAYERS_TEXT), "t", "l").select("k", F.expr(settings_json.write_layers("l")).alias("j"))
+    first = settings_json.written_layers(settings_json.read_layers(texts(spark, d, LAYERS_TEXT), "t", "l"), "l", "j").select("k", "j")
     return _layer_rows(settings_json.read_layers(first, "j", "l"))
